@@ -39,6 +39,11 @@ def java_pattern(pattern: str) -> str:
     return "".join(out)
 
 
+def sql_text(text: str) -> str:
+    """A SQL string literal (in Spark's default escaping)."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def matches(text: Column, pattern: str) -> Column:
     return text.rlike(java_pattern(pattern))
 

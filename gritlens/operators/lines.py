@@ -29,16 +29,17 @@ def explode_lines(files: DataFrame, *keep: str) -> DataFrame:
     Only ``keep`` columns travel along, so the content itself is not repeated.
     """
     carried = [c for c in ("scan_id", "repo", "file_path", *keep) if c in files.columns]
+    routed = files.select(
+        *carried,
+        paths.is_js(F.col("file_path")).alias("is_js"),
+        paths.is_python(F.col("file_path")).alias("is_python"),
+        X.split_lines(F.col("content")).alias("_lines"),
+    )
     return (
-        files.select(
-            *carried,
-            paths.is_js(F.col("file_path")).alias("is_js"),
-            paths.is_python(F.col("file_path")).alias("is_python"),
-            F.posexplode(X.split_lines(F.col("content"))).alias("pos", "line"),
-        )
+        routed.select("*", F.posexplode("_lines").alias("pos", "line"))
         .withColumn("line_no", F.col("pos") + 1)
         .withColumn("trimmed", X.trim(F.col("line")))
-        .drop("pos")
+        .drop("pos", "_lines")
     )
 
 

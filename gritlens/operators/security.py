@@ -9,7 +9,8 @@ from gritlens.functions import paths
 from gritlens.functions import text as X
 from gritlens.operators import dependencies as D
 from gritlens.operators import nodes
-from gritlens.operators.items import NO_ITEMS, no_items
+from gritlens.operators.items import no_items
+from gritlens.operators.lines import line_count
 from gritlens.operators.quality import with_quality_items
 from gritlens.rules import catalogue as C
 from gritlens.rules import compiler
@@ -25,40 +26,45 @@ def with_scan_id(files: DataFrame) -> DataFrame:
     return files.withColumn("scan_id", F.concat(F.lit("scan-"), F.col("repo")))
 
 
-def guarded_lines(files: DataFrame, *keep: str) -> DataFrame:
-    """Lines with everything the compiled rules read."""
-    content = F.coalesce("content", F.lit(""))
-    is_js, is_python = paths.is_js(F.col("file_path")), paths.is_python(F.col("file_path"))
-    conditions = [
-        F.when(is_js | is_python, test).otherwise(F.lit(False)).alias(name)
-        for name, test in compiler.file_conditions(content).items()
-    ]
-    return (
-        files.select(
-            "scan_id", "repo", "file_path", *keep,
-            is_js.alias("is_js"), is_python.alias("is_python"), *conditions,
-            F.posexplode(X.split_lines(content)).alias("pos", "line"),
-        )
-        .withColumn("low", F.lower("line"))
-        .withColumn("trimmed", X.trim(F.col("line")))
-    )
+def _line_columns() -> dict[str, Column]:
+    """What the compiled rules read besides the text, for lines worth testing."""
+    marks = {name: X.starts_with_any(F.col("trimmed"), skip) for skip, name in compiler.COMMENTS.items()}
+    bare = F.when(compiler.needs("bare"), compiler.code_only(F.col("line")))
+    callee = F.when(compiler.needs("callee"), compiler.leftmost_call(F.col("trimmed")))
+    return {**marks, "bare": bare, "callee": F.coalesce(callee, F.lit(""))}
+
 
+def tested_lines(files: DataFrame, keep: dict[str, Column], wanted: Column) -> DataFrame:
+    """The wanted lines of files with everything the compiled rules read.
 
-def with_callee(lines: DataFrame) -> DataFrame:
-    return lines.withColumn(
-        "callee",
-        F.when(compiler.needs_callee(), compiler.leftmost_call(F.col("trimmed"))).otherwise(F.lit("")),
+    ``low`` comes out of a generator, not a projection: the optimiser would copy
+    a projected expression into each of the many tests of ``wanted``.
+    """
+    code = paths.is_js(F.col("file_path")) | paths.is_python(F.col("file_path"))
+    conditions = compiler.file_conditions(F.col("content"), F.col("_low"))
+    flagged = files.withColumn("_low", F.when(code, F.lower("content"))).select(
+        "scan_id", "repo", "file_path",
+        paths.is_js(F.col("file_path")).alias("is_js"), paths.is_python(F.col("file_path")).alias("is_python"),
+        *[F.coalesce(F.when(code, test), F.lit(False)).alias(name) for name, test in conditions.items()],
+        *[value.alias(name) for name, value in keep.items()],
+        X.split_lines(F.col("content")).alias("_lines"),
+    )
+    # Two steps: what stands next to a generator in one select runs per line.
+    exploded = flagged.select("*", F.posexplode("_lines").alias("pos", "line")).drop("_lines")
+    return (
+        exploded.select("*", F.inline(F.array(F.struct(F.lower("line").alias("low")))))
+        .where(wanted)
+        .withColumn("trimmed", X.trim(F.col("line")))
+        .withColumns(_line_columns())
     )
 
 
 def rule_hits(files: DataFrame, anchored: bool = True) -> DataFrame:
     """Every rule match before duplicates go: repo, file_path, line_no, rule_id."""
-    lines = guarded_lines(with_scan_id(files))
-    if anchored:
-        lines = lines.where(compiler.anchor_filter())
+    wanted = compiler.anchor_filter() if anchored else F.lit(True)
     names = F.array(*[F.lit(rule.rule_id) for rule in C.RULES])
     return (
-        with_callee(lines)
+        tested_lines(with_scan_id(files), {}, wanted)
         .select("repo", "file_path", (F.col("pos") + 1).alias("line_no"),
                 F.explode(compiler.all_hits(anchored=anchored)).alias("rule_no"))
         .select("repo", "file_path", "line_no", F.get(names, F.col("rule_no")).alias("rule_id"))
@@ -90,9 +96,9 @@ def scan_items(
     staged = staged.withColumn("file_items", F.concat(sca, F.col("quality_items")))
 
     first = F.col("pos") == 0
-    lines = guarded_lines(staged, "file_items", F.size(X.split_lines(F.col("content"))).alias("n_lines"))
     wanted = (compiler.anchor_filter() if anchored else F.lit(True)) if security else F.lit(False)
-    lines = with_callee(lines.where(first | wanted))
+    carried = {"file_items": F.col("file_items"), "n_lines": line_count(F.col("content"))}
+    lines = tested_lines(staged, carried, first | wanted)
 
     absent = F.lit(None).cast(FILE_ITEM)
     entry = "array<struct<rule_no:int,item:" + FILE_ITEM + ">>"
@@ -111,8 +117,10 @@ def scan_items(
     )
     line_hits = compiler.kept_hits(anchored=anchored) if security else F.array().cast("array<int>")
     return (
-        lines.withColumn("hits", line_hits)
-        .where(first | (F.size("hits") > 0))
+        lines.select(
+            "scan_id", "repo", "file_path", "pos", "line", "trimmed", "callee", "n_lines", "file_items",
+            line_hits.alias("hits"),
+        )
         .withColumn(
             "entry",
             F.explode(F.concat(F.when(first, from_file).otherwise(nothing), entries(F.col("hits")))),

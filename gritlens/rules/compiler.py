@@ -1,19 +1,20 @@
-"""Turns catalogue rows into column expressions over the lines table.
+"""Turns catalogue rows into expressions over the lines table.
 
-A line row carries ``line``, ``trimmed``, ``low`` (lower-cased line), ``is_js``,
-``is_python``, ``callee`` and one boolean per file-level condition.
+The rules become one SQL expression text, so a plan costs one parse however long
+the catalogue is. A line row carries ``line``, ``low`` (lower-cased), ``trimmed``,
+``bare`` (literals and trailing comment out), ``callee``, ``is_js``, ``is_python``,
+one boolean per comment convention and one per file-level condition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritlens.functions import paths
 from gritlens.functions import text as X
+from gritlens.functions.text import sql_text
 from gritlens.rules import catalogue as C
 
 LINE_STAGES = (C.NODES, C.SHARED, C.SECOND_PASS, C.HEURISTIC)
@@ -25,28 +26,23 @@ LEFTMOST_CALL = r"(?<![a-zA-Z0-9_.])([a-zA-Z0-9_.]++)\s*\((.*)\)"
 STRING_LITERAL = r'''"[^"]*"|'[^']*\''''
 TRAILING_COMMENT = r"//.*"
 
+SCOPES = {"js": "is_js", "python": "is_python", "code": "(is_js OR is_python)"}
+SUBJECTS = {"line": "line", "trimmed": "trimmed", "code": "bare"}
+COMMENTS = {
+    C.HEURISTIC_SKIP: "heuristic_comment", C.SHARED_SKIP: "shared_comment",
+    C.PYTHON_SKIP: "python_comment", C.NODE_SKIP: "node_comment",
+}
+CONDITION_NAMES = [*C.GUARD_ABSENT, "no_expiry", "credentials_header"]
+
 
-def file_conditions(content: Column) -> dict[str, Column]:
+def file_conditions(content: Column, low: Column) -> dict[str, Column]:
     """The file-level conditions, by name."""
-    low = F.lower(content)
     found = {name: ~X.contains_any(low, words) for name, words in C.GUARD_ABSENT.items()}
     found["no_expiry"] = ~F.contains(content, F.lit(C.NO_EXPIRY_TEXT))
     found["credentials_header"] = F.contains(content, F.lit(C.CREDENTIALS_HEADER))
     return found
 
 
-CONDITION_NAMES = [*C.GUARD_ABSENT, "no_expiry", "credentials_header"]
-
-
-def scope_test(scope: str) -> Column:
-    return {
-        "all": F.lit(True),
-        "js": F.col("is_js"),
-        "python": F.col("is_python"),
-        "code": F.col("is_js") | F.col("is_python"),
-    }[scope]
-
-
 def code_only(line: Column) -> Column:
     """The line with string literals emptied and a trailing comment cut."""
     bare = F.regexp_replace(line, STRING_LITERAL, '""')
@@ -59,58 +55,67 @@ def leftmost_call(trimmed: Column) -> Column:
     return F.when(F.startswith(trimmed, F.lit("def ")), F.lit("")).otherwise(call)
 
 
-def _both(left: Column, right: Column) -> Column:
-    return left & right
+def _any_word(column: str, words: Iterable[str]) -> str:
+    return "(" + " OR ".join(f"contains({column}, {sql_text(w)})" for w in words) + ")"
+
+
+def _match(column: str, pattern: str) -> str:
+    return f"{column} RLIKE {sql_text(X.java_pattern(pattern))}"
 
 
-def condition(rule: C.Rule, anchored: bool = True) -> Column:
+def condition(rule: C.Rule, anchored: bool = True) -> str:
     """Whether the rule matches the line. Cheap tests come first."""
-    subject = {"line": F.col("line"), "trimmed": F.col("trimmed"), "code": code_only(F.col("line"))}[
-        rule.subject
-    ]
-    tests: list[Column] = []
-    if rule.scope != "all":
-        tests.append(scope_test(rule.scope))
-    if anchored:
-        tests.append(X.contains_any(F.col("low"), rule.anchors))
+    subject = SUBJECTS[rule.subject]
+    tests = [SCOPES[rule.scope]] if rule.scope != "all" else []
     if rule.skip:
-        tests.append(~X.starts_with_any(F.col("trimmed"), rule.skip))
+        tests.append(f"NOT {COMMENTS[rule.skip]}")
+    if anchored:
+        tests.append(_any_word("low", rule.anchors))
     if rule.guard:
-        tests.append(F.col(rule.guard))
+        tests.append(rule.guard)
     if rule.callee:
-        tests.append(X.matches(F.col("callee"), rule.callee))
-    found = [X.matches(subject, pattern) for pattern in rule.every]
+        tests.append(_match("callee", rule.callee))
+    found = " AND ".join(_match(subject, pattern) for pattern in rule.every)
     if rule.instead:
         pattern, name = rule.instead
-        found = [reduce(_both, found) | (F.col(name) & X.matches(subject, pattern))]
-    tests += found
-    tests += [~X.matches(subject, pattern) for pattern in rule.none]
+        found = f"(({found}) OR ({name} AND {_match(subject, pattern)}))"
+    tests += [found] if found else []
+    tests += [f"NOT ({_match(subject, pattern)})" for pattern in rule.none]
     if rule.callee_none:
         name, words = rule.callee_none
-        tests.append((F.col("callee") != name) | ~X.contains_any(subject, words))
-    return reduce(_both, tests)
+        tests.append(f"NOT (callee = {sql_text(name)} AND {_any_word(subject, words)})")
+    return "(" + " AND ".join(tests) + ")"
+
+
+def _shortest(words: set[str]) -> list[str]:
+    """Words of which no other one is a part: enough to find any of them."""
+    kept: list[str] = []
+    for word in sorted(words, key=lambda w: (len(w), w)):
+        if not any(k in word for k in kept):
+            kept.append(word)
+    return kept
 
 
 def anchor_filter(rules: Iterable[C.Rule] = LINE_RULES) -> Column:
     """One cheap necessary test for all rules: lets most lines leave early."""
-    words = sorted({a for rule in rules for a in rule.anchors}, key=len)
-    shortest: list[str] = []
-    for word in words:
-        if not any(kept in word for kept in shortest):
-            shortest.append(word)
-    return X.contains_any(F.col("low"), shortest)
+    return F.expr(_any_word("low", _shortest({a for rule in rules for a in rule.anchors})))
 
 
-def needs_callee(rules: Iterable[C.Rule] = LINE_RULES) -> Column:
-    words = sorted({a for rule in rules if rule.callee for a in rule.anchors})
-    return F.col("is_python") & X.contains_any(F.col("low"), words)
+def needs(column: str, rules: Iterable[C.Rule] = LINE_RULES) -> Column:
+    """Whether any rule that reads ``callee`` or ``bare`` may match the line."""
+    reading = [r for r in rules if (r.callee if column == "callee" else SUBJECTS[r.subject] == column)]
+    scope = SCOPES["python"] if column == "callee" else SCOPES["js"]
+    return F.expr(f"{scope} AND " + _any_word("low", _shortest({a for r in reading for a in r.anchors})))
+
+
+def _number(rule: C.Rule) -> int:
+    return C.RULE_NUMBER[rule.rule_id]
 
 
 def all_hits(rules: Iterable[C.Rule] = LINE_RULES, anchored: bool = True) -> Column:
     """Every rule that matches the line: array of rule numbers."""
-    return F.array_compact(
-        F.array(*[F.when(condition(r, anchored), F.lit(C.RULE_NUMBER[r.rule_id])) for r in rules])
-    )
+    cases = [f"CASE WHEN {condition(r, anchored)} THEN {_number(r)} END" for r in rules]
+    return F.expr(f"array_compact(array({', '.join(cases)}))")
 
 
 def kept_hits(rules: Iterable[C.Rule] = LINE_RULES, anchored: bool = True) -> Column:
@@ -118,25 +123,23 @@ def kept_hits(rules: Iterable[C.Rule] = LINE_RULES, anchored: bool = True) -> Co
 
     Of the rules that name the same weakness only the first in emission order
     reports a line; of a first-match group only the first match counts at all.
-    Both orders are known here, so each weakness is one ``coalesce`` and no row
-    is compared with another.
+    Both orders are known here, so each weakness is one CASE and no row is
+    compared with another.
     """
-    rules = list(rules)
-    earlier: dict[str, list[Column]] = {}
-    by_weakness: dict[str, list[Column]] = {}
+    group: dict[str, list[tuple[str, str | None]]] = {}
+    by_weakness: dict[str, list[str]] = {}
     for rule in rules:
         test = condition(rule, anchored)
         if rule.group:
-            before = earlier.setdefault(rule.group, [])
-            # Same weakness: the coalesce already prefers the earlier rule.
-            others = [t for t, cwe in before if cwe != rule.cwe]
+            before = group.setdefault(rule.group, [])
+            # Same weakness: the CASE already prefers the earlier rule.
+            others = [other for other, cwe in before if cwe != rule.cwe]
             before.append((test, rule.cwe))
             if others:
-                test = test & ~reduce(lambda a, b: a | b, others)
-        by_weakness.setdefault(rule.cwe or rule.title, []).append(
-            F.when(test, F.lit(C.RULE_NUMBER[rule.rule_id]))
-        )
-    return F.array_compact(F.array(*[F.coalesce(*group) for group in by_weakness.values()]))
+                test = f"({test} AND NOT ({' OR '.join(others)}))"
+        by_weakness.setdefault(rule.cwe or rule.title, []).append(f"WHEN {test} THEN {_number(rule)}")
+    cases = [f"CASE {' '.join(branches)} END" for branches in by_weakness.values()]
+    return F.expr(f"array_compact(array({', '.join(cases)}))")
 
 
 RULES_SCHEMA = (
@@ -154,7 +157,3 @@ def rules_table(spark: SparkSession) -> DataFrame:
         for n, r in enumerate(C.RULES)
     ]
     return spark.createDataFrame(rows, RULES_SCHEMA)
-
-
-def line_columns(path: str = "file_path") -> dict[str, Column]:
-    return {"is_js": paths.is_js(F.col(path)), "is_python": paths.is_python(F.col(path))}

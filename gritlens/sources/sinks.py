@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_scans(scans: DataFrame, path: str, mode: str = "append") -> None:
-    """Scans by the day they started, so that history queries prune."""
-    scans.withColumn("scan_date", F.to_date("started_at")).write.mode(mode).partitionBy(
+def write_scans(scans: DataFrame, path: str, mode: str = "append", period: str = "week") -> None:
+    """Scans by the week (month, year) they started, so that history queries prune."""
+    scans.withColumn("scan_date", F.trunc("started_at", period)).write.mode(mode).partitionBy(
         "scan_date"
     ).parquet(path)
 

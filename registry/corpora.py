@@ -208,7 +208,8 @@ def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("l_quantity").cast("int")
     is_dependency = kind == 6
     return table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+                    number.cast("string"))
         .alias("finding_id"),
         F.concat(F.lit("scan-"), F.col("l_orderkey").cast("string")).alias("scan_id"),
         F.when(number > 40, F.lit("CRITICAL")).when(number > 30, F.lit("HIGH"))
@@ -321,7 +322,7 @@ _KIND = f"l_partkey % {len(FINDING_TITLES)} + 1"
 FINDINGS_SQL = f"""findings AS (
   SELECT *, CASE WHEN kind = 6 THEN 'minimist' END AS package_name, CASE WHEN kind = 6 THEN '1.0' END AS installed_version,
     CASE WHEN kind = 6 THEN '1.2.6' END AS fixed_version, CASE WHEN kind = 6 THEN 'CVE-2021-44906' END AS cve
-  FROM (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS finding_id,
+  FROM (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS INTEGER) AS finding_id,
     'scan-' || l_orderkey AS scan_id, {_KIND} AS kind,
     CASE WHEN l_quantity > 40 THEN 'CRITICAL' WHEN l_quantity > 30 THEN 'HIGH' WHEN l_quantity > 20 THEN 'MEDIUM'
          WHEN l_quantity > 5 THEN 'LOW' ELSE 'INFO' END AS severity,

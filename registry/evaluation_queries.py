@@ -24,9 +24,9 @@ METRICS_SQL = """coalesce(round(tp / nullif(tp + fp, 0), 3), 0) AS precision, co
 def _counted(by: str = "") -> str:
     group = f"GROUP BY {by}" if by else ""
     lead = f"{by}, " if by else ""
-    return f"""counted AS (SELECT {lead}{MATRIX_SQL} FROM results {group}),
+    return f"""matrix AS (SELECT {lead}{MATRIX_SQL} FROM results {group}),
 c AS (SELECT *, CAST(true_positives AS DOUBLE) AS tp, CAST(false_positives AS DOUBLE) AS fp, CAST(true_negatives AS DOUBLE) AS tn,
-  CAST(false_negatives AS DOUBLE) AS fn FROM counted)
+  CAST(false_negatives AS DOUBLE) AS fn FROM matrix)
 SELECT {lead}true_positives, false_positives, true_negatives, false_negatives,
   true_positives + false_positives + true_negatives + false_negatives AS total_samples, {METRICS_SQL} FROM c"""
 
@@ -69,7 +69,13 @@ def metrics_by_source(spark, sf_dir):
     return evaluation.metrics(evaluation.confusion(_results(spark, sf_dir), "repo"))
 
 
-@query("evaluation_details", f"""WITH {LABELLED_SQL},
+SAMPLES_SQL = LABELLED_SQL.replace(
+    "'src/doc_' || CAST(d.doc_id AS VARCHAR) || '.' || s.ext",
+    "'benchmark/' || CAST(d.doc_id AS VARCHAR) || CASE WHEN s.ext = 'py' THEN '.py' ELSE '.js' END",
+)
+
+
+@query("evaluation_details", f"""WITH {SAMPLES_SQL},
 ranked AS (SELECT file_path, string_agg({TITLE_SQL}, '|' ORDER BY emit_block, line_no, rule_no) AS titles FROM kept GROUP BY file_path)
 SELECT doc_id, CASE WHEN truth THEN 'VULNERABLE' ELSE 'SAFE' END AS ground_truth, CASE WHEN predicted THEN 'VULNERABLE' ELSE 'SAFE' END AS predicted,
   CASE WHEN truth = predicted THEN 'CORRECT' WHEN predicted THEN 'FALSE_POSITIVE' ELSE 'FALSE_NEGATIVE' END AS status,

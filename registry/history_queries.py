@@ -211,8 +211,8 @@ def findings_search_cve(spark, sf_dir):
 @query("stored_scans", f"""WITH {C.SCANS_SQL} SELECT scan_id, repo, overall, CAST(started_at AS DATE) AS day FROM scans
 WHERE CAST(started_at AS DATE) >= DATE '1998-01-01'""")
 def stored_scans(spark, sf_dir):
-    """Scans written by day and read back; the date filter prunes folders."""
+    """Scans written by month and read back; the date filter prunes folders."""
     path = scratch_path(spark, "scans")
-    sinks.write_scans(C.scans(spark, sf_dir).repartition("started_at"), path)
+    sinks.write_scans(C.scans(spark, sf_dir), path, period="month")
     stored = spark.read.parquet(path).where(F.col("scan_date") >= F.lit("1998-01-01").cast("date"))
     return stored.select("scan_id", "repo", "overall", F.to_date("started_at").alias("day"))

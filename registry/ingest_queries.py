@@ -16,7 +16,7 @@ LANGUAGE_SQL = """CASE
   WHEN ext = 'py' THEN 'python' WHEN ext = 'yml' THEN 'yaml' WHEN ext = 'rb' THEN 'ruby' WHEN ext = 'sh' THEN 'shell'
   WHEN ext IN ('java', 'sql', 'json', 'yaml', 'go', 'php') THEN ext ELSE 'plaintext' END"""
 NAMED_SQL = """named AS (SELECT *, lower(regexp_extract(file_path, '[^/]*$')) AS name,
-  lower(regexp_extract(regexp_extract(file_path, '[^/]*$'), '[^.].*\\.([^.]*)$|^\\.+[^.]+\\.([^.]*)$', 1)) AS ext FROM {source})"""
+  lower(regexp_extract(regexp_extract(file_path, '[^/]*$'), '^.+\\.([^.]*)$', 1)) AS ext FROM {source})"""
 
 
 @query("source_files", f"""WITH {C.SEEDED_SQL}, {NAMED_SQL.format(source="files")}

@@ -153,7 +153,7 @@ SITE_SQL = quoted(r"([\w$.]+)\s*\(\s*(" + R.FIRST_ARGUMENT_BUILT + r")?")
 
 @query("call_sites", f"""WITH {C.DENSE_SQL}, {C.LINES_SQL}, {LIVE_SQL},
 sites AS (SELECT repo, file_path, line_no, unnest(regexp_extract_all(line, {SITE_SQL}, 1)) AS callee,
-    unnest(regexp_extract_all(line, {SITE_SQL}, 2)) AS first,
+    coalesce(unnest(regexp_extract_all(line, {SITE_SQL}, 2)), '') AS first,
     generate_subscripts(regexp_extract_all(line, {SITE_SQL}, 1), 1) - 1 AS site_no FROM js)
 SELECT repo, file_path, CAST(line_no AS INTEGER) AS line_no, CAST(site_no AS INTEGER) AS site_no, callee,
   CASE WHEN first = '' THEN 'plain' WHEN left(first, 1) = '`' THEN 'template' ELSE 'concatenation' END AS first_argument
