@@ -66,6 +66,7 @@ REQUIREMENT = r"^([a-zA-Z0-9_\-]+)\s*(?:==|>=|<=|~=)\s*([0-9.]+)"
 MANIFEST = "dependencies map<string,string>, devDependencies map<string,string>"
 RANGE_MARKS = r"[\^~>=<]"
 
+RULE_OF = {"npm": "D01", "pypi": "D02"}
 DEPENDENCY = "struct<ecosystem:string,package:string,raw:string,version:string,line_no:int,snippet:string,ordinal:int>"
 
 
@@ -151,27 +152,18 @@ def pip_dependencies(content: Column) -> Column:
     ).cast(f"array<{DEPENDENCY}>")
 
 
-def _dependency_item(dep: Column, advisory: Column) -> Column:
-    values = {
+def _dependency_item(rule_id: str, dep: Column, advisory: Column) -> Column:
+    texts = {
+        "package": dep["package"],
+        "version": dep["version"],
+        "fixed": advisory["fixed_version"],
+        "cve": advisory["cve"],
         "title": advisory["title"],
         "about": advisory["about"],
         "advice": advisory["advice"],
-        "fixed": advisory["fixed_version"],
-        "package": dep["package"],
-        "version": dep["version"],
     }
-    info = F.struct(
-        dep["package"].alias("package_name"),
-        dep["version"].alias("installed_version"),
-        advisory["fixed_version"].alias("fixed_version"),
-        advisory["cve"].alias("cve"),
-    )
-
-    def finding(rule_id):
-        return item(rule_id, dep["line_no"], dep["snippet"], values, ordinal=dep["ordinal"],
-                    severity=advisory["severity"], dependency=info)
-
-    return F.when(dep["ecosystem"] == "npm", finding("D01")).otherwise(finding("D02"))
+    return item(rule_id, dep["line_no"], dep["snippet"], texts, ordinal=dep["ordinal"],
+                severity=advisory["severity"])
 
 
 def _literal_advisories(advisories: list[Advisory], ecosystem: str) -> Column:
@@ -209,7 +201,8 @@ def dependency_items(
         )
         if collapse and ecosystem == "npm":
             matched = F.slice(matched, F.lit(1), F.lit(1))
-        return F.transform(matched, lambda m: _dependency_item(m["dep"], m["adv"])).cast(NO_ITEMS)
+        rule_id = RULE_OF[ecosystem]
+        return F.transform(matched, lambda m: _dependency_item(rule_id, m["dep"], m["adv"])).cast(NO_ITEMS)
 
     names = sorted({a.package.lower() for a in advisories if a.ecosystem == "npm"})
     listed = F.filter(npm_entries(content), lambda e: F.lower(e["package"]).isin(names))
@@ -250,7 +243,11 @@ def dependency_findings(files: DataFrame, advisories: DataFrame) -> DataFrame:
         & versions.less_than(deps["dep"]["version"], table["adv"]["fixed_version"]),
     )
     keep = [c for c in deps.columns if c not in ("dep", "package_key")]
-    return hit.select(*keep, _dependency_item(F.col("dep"), F.col("adv")).alias("item"))
+    found = [
+        F.when(F.col("dep.ecosystem") == name, _dependency_item(rule_id, F.col("dep"), F.col("adv")))
+        for name, rule_id in RULE_OF.items()
+    ]
+    return hit.select(*keep, F.coalesce(*found).alias("item"))
 
 
 def project_audit(files: DataFrame, advisories: DataFrame | None = None) -> DataFrame:

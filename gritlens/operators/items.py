@@ -5,41 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gritlens.functions import text as X
 from gritlens.rules import catalogue as C
-from gritlens.schemas import DEPENDENCY_INFO, FILE_ITEM
+from gritlens.schemas import FILE_ITEM
 
 NO_ITEMS = f"array<{FILE_ITEM}>"
 
 
 def no_items() -> Column:
-    return F.array().cast(NO_ITEMS)
+    return F.expr(f"CAST(array() AS {NO_ITEMS})")
 
 
 def item(
     rule_id: str,
     line_no: Column,
     snippet: Column,
-    values: dict[str, Column],
+    texts: dict[str, Column],
     emit_line: Column | None = None,
     ordinal: Column | None = None,
     severity: Column | None = None,
-    dependency: Column | None = None,
 ) -> Column:
+    """One finding; ``texts`` are the values of the markers in the rule's texts."""
     number = C.RULE_NUMBER[rule_id]
-    rule = C.RULES[number]
-    values = {name: value.cast("string") for name, value in values.items()}
+    pairs = [part for name, value in texts.items() for part in (F.lit(name), value.cast("string"))]
     return F.struct(
         F.lit(number).alias("rule_no"),
-        line_no.cast("int").alias("line_no"),
-        (line_no if emit_line is None else emit_line).cast("int").alias("emit_line"),
-        (F.lit(0) if ordinal is None else ordinal).cast("int").alias("ordinal"),
-        (F.lit(rule.severity) if severity is None else severity).alias("severity"),
-        X.fill(F.lit(rule.title), values).alias("title"),
-        X.fill(F.lit(rule.description), values).alias("description"),
-        X.fill(F.lit(rule.recommendation), values).alias("recommendation"),
+        line_no.alias("line_no"),
+        (line_no if emit_line is None else emit_line).alias("emit_line"),
+        (F.lit(0) if ordinal is None else ordinal).alias("ordinal"),
+        (F.lit(C.RULES[number].severity) if severity is None else severity).alias("severity"),
         snippet.alias("snippet"),
-        (F.lit(None) if dependency is None else dependency)
-        .cast(DEPENDENCY_INFO)
-        .alias("dependency_info"),
-    )
+        (F.create_map(*pairs) if pairs else F.expr("CAST(map() AS map<string,string>)")).alias("texts"),
+    ).cast(FILE_ITEM)

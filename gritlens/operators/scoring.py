@@ -62,9 +62,10 @@ def clamp(value: Column, floor: int) -> Column:
 
 def with_scores(sums: DataFrame) -> DataFrame:
     """Add the five scores to penalty sums. No findings count as no penalty."""
-    for score, (_, floor) in SCORED.items():
-        lost = F.coalesce(F.col(f"{score}_penalty"), F.lit(0))
-        sums = sums.withColumn(score, clamp(F.lit(100) - lost, floor).cast("int"))
+    sums = sums.withColumns({
+        score: clamp(F.lit(100) - F.coalesce(F.col(f"{score}_penalty"), F.lit(0)), floor).cast("int")
+        for score, (_, floor) in SCORED.items()
+    })
     parts = [F.col(score).cast("double") * F.lit(share) for score, share in SHARES.items()]
     blended = parts[0] + parts[1] + parts[2] + parts[3]
     return sums.withColumn("overall", clamp(round_half_up(blended), OVERALL_FLOOR).cast("int"))

@@ -102,7 +102,7 @@ def scan_items(
 
     absent = F.lit(None).cast(FILE_ITEM)
     entry = "array<struct<rule_no:int,item:" + FILE_ITEM + ">>"
-    nothing = F.array().cast(entry)
+    nothing = F.expr(f"CAST(array() AS {entry})")
 
     def entries(hits):
         return F.transform(
@@ -115,7 +115,7 @@ def scan_items(
             F.col("file_items"), lambda i: F.struct(i["rule_no"].alias("rule_no"), i.alias("item"))
         ).cast(entry),
     )
-    line_hits = compiler.kept_hits(anchored=anchored) if security else F.array().cast("array<int>")
+    line_hits = compiler.kept_hits(anchored=anchored) if security else F.expr("CAST(array() AS array<int>)")
     return (
         lines.select(
             "scan_id", "repo", "file_path", "pos", "line", "trimmed", "callee", "n_lines", "file_items",
@@ -142,38 +142,58 @@ def graded(items: DataFrame) -> DataFrame:
 
 
 EMIT_ORDER = ["emit_block", "emit_line", "rule_no", "ordinal"]
+TEXT_COLUMNS = {
+    "title": "title_text", "description": "description_text",
+    "recommendation": "recommendation_text", "node_type": "node_text",
+}
+# Marker values of file-level findings. Free text comes last, so that nothing in
+# it is taken for a marker.
+ITEM_TEXTS = ["count", "code", "comments", "ratio", "package", "version", "fixed", "title", "about", "advice"]
 
 
-def as_findings(items: DataFrame, *extra: str) -> DataFrame:
-    """The finding rows of ``scan_items``, with texts filled in."""
-    found = graded(items.where(F.col("rule_no") != FILE_ROW))
-    values = nodes.node_values(F.col("rule_id"))
-    line_no = F.coalesce(F.col("item.line_no"), F.col("pos") + 1)
-    ordinal = F.coalesce("item.ordinal", F.lit(0))
-    of_line = F.col("item").isNull()
+def _marker_values() -> dict[str, Column]:
+    """Every marker's value: from the file-level finding or from the line."""
+    of_line = nodes.node_values(F.col("rule_id"))
+    names = [*[n for n in of_line if n != "argument"], *ITEM_TEXTS, "argument"]
 
-    def text(from_item, template):
-        return F.when(of_line, X.fill(F.col(template), values)).otherwise(F.col(f"item.{from_item}"))
+    def value(name):
+        given = [F.col("item.texts")[name]] if name in ITEM_TEXTS or name == "name" else []
+        return F.coalesce(*given, *([of_line[name]] if name in of_line else []), F.lit(""))
 
-    return (
-        found.withColumn("line_no", line_no)
-        .withColumn("ordinal", ordinal)
-        .withColumn("emit_line", F.coalesce("item.emit_line", F.col("pos") + 1))
-        .withColumn(
-            "finding_id",
-            F.sha2(F.concat_ws("|", "scan_id", "file_path", "line_no", "rule_id", "ordinal"), 256),
-        )
-        .withColumn("title", text("title", "title_text"))
-        .withColumn("description", text("description", "description_text"))
-        .withColumn("recommendation", text("recommendation", "recommendation_text"))
-        .withColumn(
-            "code_snippet",
-            F.when(of_line, nodes.snippets(F.col("rule_id"))).otherwise(F.col("item.snippet")),
-        )
-        .withColumn("node_type", X.fill(F.col("node_text"), values))
-        .withColumn("dependency_info", F.col("item.dependency_info").cast(DEPENDENCY_INFO))
-        .select(*FINDING_COLUMNS, *extra)
+    return {name: value(name) for name in names}
+
+
+def _filled(field: str, names: list[str]) -> Column:
+    """The rule's text with those markers filled that occur in any such text."""
+    templates = [getattr(rule, field) or "" for rule in C.RULES]
+    used = {n: F.col(f"_{n}") for n in names if any("{" + n + "}" in t for t in templates)}
+    return X.fill(F.col(TEXT_COLUMNS[field]), used)
+
+
+def as_findings(items: DataFrame, *extra: str) -> DataFrame:
+    """The finding rows of ``scan_items``, with texts filled in."""
+    values = _marker_values()
+    names = list(values)
+    numbered = graded(items.where(F.col("rule_no") != FILE_ROW)).withColumns({
+        "line_no": F.coalesce(F.col("item.line_no"), F.col("pos") + 1),
+        "emit_line": F.coalesce("item.emit_line", F.col("pos") + 1),
+        "ordinal": F.coalesce("item.ordinal", F.lit(0)),
+        "code_snippet": F.coalesce("item.snippet", nodes.snippets(F.col("rule_id"))),
+        **{f"_{name}": value for name, value in values.items()},
+    })
+    key = F.concat_ws("|", "scan_id", "file_path", "line_no", "rule_id", "ordinal")
+    dependency = F.when(
+        F.col("item.texts")["cve"].isNotNull(),
+        F.struct(
+            F.col("_package").alias("package_name"), F.col("_version").alias("installed_version"),
+            F.col("_fixed").alias("fixed_version"), F.col("item.texts")["cve"].alias("cve"),
+        ),
     )
+    return numbered.withColumns({
+        "finding_id": F.sha2(key, 256),
+        **{field: _filled(field, names) for field in TEXT_COLUMNS},
+        "dependency_info": dependency.cast(DEPENDENCY_INFO),
+    }).select(*FINDING_COLUMNS, *extra)
 
 
 def findings(files: DataFrame, **options) -> DataFrame:

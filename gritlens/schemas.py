@@ -14,11 +14,11 @@ FINDING_COLUMNS = [
     "method", "dependency_info",
 ]
 
-# A finding that was worked out for a whole file, before the rule texts are joined.
+# A finding that was worked out for a whole file, before the rule texts are joined;
+# ``texts`` fills the markers of the rule's texts.
 FILE_ITEM = (
-    "struct<rule_no:int,line_no:int,emit_line:int,ordinal:int,severity:string,title:string,"
-    "description:string,recommendation:string,snippet:string,"
-    f"dependency_info:{DEPENDENCY_INFO}>"
+    "struct<rule_no:int,line_no:int,emit_line:int,ordinal:int,severity:string,snippet:string,"
+    "texts:map<string,string>>"
 )
 
 SCORES = "struct<overall:int,security:int,quality:int,maintainability:int,documentation:int>"

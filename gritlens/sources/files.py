@@ -40,7 +40,10 @@ def read_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 
 def read_folder(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Every file below ``root``; the first folder level is the repository."""
+    """Every file below ``root``; the first folder level is the repository.
+
+    Spark's readers leave out files of length 0.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
