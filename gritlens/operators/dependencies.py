@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gritlens import schemas
 from gritlens.functions import text as X
 from gritlens.functions import versions
+from gritlens.functions.lists import let
 from gritlens.operators.items import NO_ITEMS, item, no_items
 
 
@@ -98,12 +99,18 @@ def _entries(mapping: Column) -> Column:
 
 def npm_entries(content: Column) -> Column:
     """Both maps one after the other, as written; bad JSON gives no entries."""
-    parsed = F.from_json(content, MANIFEST)
-    return F.concat(_entries(parsed["dependencies"]), _entries(parsed["devDependencies"]))
+    return let(
+        F.from_json(content, MANIFEST),
+        lambda parsed: F.concat(_entries(parsed["dependencies"]), _entries(parsed["devDependencies"])),
+    )
 
 
 def npm_dependencies(entries: Column) -> Column:
     """One row per package: first place, last version, range marks dropped."""
+    return let(entries, _npm_dependencies)  # the JSON is parsed once, not per entry
+
+
+def _npm_dependencies(entries: Column) -> Column:
     first = F.filter(
         entries,
         lambda e, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda p: p["package"] == e["package"]),
@@ -289,11 +296,11 @@ def project_audit(files: DataFrame, advisories: DataFrame | None = None) -> Data
 
 
 def _distinct_keys(content: Column) -> Column:
-    parsed = F.from_json(content, MANIFEST)
-
     def keys(mapping):
-        return F.greatest(F.size(F.array_distinct(F.map_keys(mapping))), F.lit(0))
+        return F.coalesce(F.greatest(F.size(F.array_distinct(F.map_keys(mapping))), F.lit(0)), F.lit(0))
 
-    return F.coalesce(keys(parsed["dependencies"]), F.lit(0)) + F.coalesce(
-        keys(parsed["devDependencies"]), F.lit(0)
+    total = let(
+        F.from_json(content, MANIFEST),
+        lambda parsed: keys(parsed["dependencies"]) + keys(parsed["devDependencies"]),
     )
+    return F.coalesce(total, F.lit(0))

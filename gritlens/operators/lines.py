@@ -33,13 +33,13 @@ def explode_lines(files: DataFrame, *keep: str) -> DataFrame:
         *carried,
         paths.is_js(F.col("file_path")).alias("is_js"),
         paths.is_python(F.col("file_path")).alias("is_python"),
-        X.split_lines(F.col("content")).alias("_lines"),
+        "content",
     )
     return (
-        routed.select("*", F.posexplode("_lines").alias("pos", "line"))
+        routed.select("*", F.posexplode(X.split_lines(F.col("content"))).alias("pos", "line"))
         .withColumn("line_no", F.col("pos") + 1)
         .withColumn("trimmed", X.trim(F.col("line")))
-        .drop("pos", "_lines")
+        .drop("pos", "content")
     )
 
 

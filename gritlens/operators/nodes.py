@@ -79,17 +79,23 @@ def python_nodes(lines: DataFrame) -> DataFrame:
     args = F.filter(
         F.transform(F.split(X.extract(t, PYTHON_DEF, 2), ","), X.trim), lambda a: a != ""
     )
-    assigned = X.matches(t, C.PYTHON_ASSIGN) & ~X.starts_with_any(t, NOT_ASSIGNED)
+    def holds(text):
+        return F.contains(t, F.lit(text))
+
+    defined = F.startswith(t, F.lit("def")) & X.matches(t, PYTHON_DEF)
+    assigned = holds("=") & X.matches(t, C.PYTHON_ASSIGN) & ~X.starts_with_any(t, NOT_ASSIGNED)
     found = F.array_compact(
         F.array(
-            node("FunctionDef", X.matches(t, PYTHON_DEF), name=X.extract(t, PYTHON_DEF, 1), args=args),
+            node("FunctionDef", defined, name=X.extract(t, PYTHON_DEF, 1), args=args),
             node("Assign", assigned, name=X.extract(t, C.PYTHON_ASSIGN, 1)),
-            node("Call", leftmost_call(t) != "", callee=leftmost_call(t)),
-            node("TryExcept", X.matches(t, PYTHON_EXCEPT_PASS)),
+            node("Call", F.col("_callee") != "", callee=F.col("_callee")),
+            node("TryExcept", holds("except") & X.matches(t, PYTHON_EXCEPT_PASS)),
         )
     )
+    callee = F.when(holds("("), leftmost_call(t)).otherwise(F.lit(""))
     return (
         lines.where(F.col("is_python") & live)
+        .withColumn("_callee", callee)
         .select("repo", "file_path", "line_no", F.col("trimmed").alias("raw"), F.explode(found).alias("n"))
         .select("repo", "file_path", "line_no", "n.node", "n.name", "n.callee", "n.args", "raw")
     )

@@ -1,8 +1,8 @@
 """Reports: summary rows, Markdown and JSON documents.
 
 A document may be longer than one row or one task should hold. Findings are
-numbered with running sums and gathered in parts of bounded size; the parts of a
-scan, in order, are its document. A scan with few findings has one part.
+gathered in parts of bounded size; the parts of a scan, in order, are its
+document. A scan with few findings has one part.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritlens.operators.scoring import COUNT_NAMES, SCORE_NAMES, report_bands
-from gritlens.plans.skew import running_totals
+from gritlens.plans.skew import join_dimension, running_totals
 
 PART_SIZE = 2_000
 FINDING_ORDER = ["file_path", "line_no", "finding_id"]
@@ -116,66 +116,83 @@ def report_header(title: str = TITLE) -> Column:
     return _text(HEADER, values)
 
 
-def finding_text(number: Column) -> Column:
+def finding_texts() -> Column:
+    """The text of a finding after its number."""
     names = ["severity", "title", "file_path", "line_no", "category", "description", "code_snippet", "recommendation"]
     values = {name: F.col(name) for name in names}
-    values |= {
-        "number": number,
-        "cwe": F.coalesce("cwe", F.lit("N/A")),
-        "owasp": F.coalesce("owasp", F.lit("N/A")),
-    }
-    return _text(FINDING, values)
+    values |= {"cwe": F.coalesce("cwe", F.lit("N/A")), "owasp": F.coalesce("owasp", F.lit("N/A"))}
+    return _text(FINDING.split("{number}")[1], values)
 
 
 def in_parts(findings: DataFrame, order: list[str], part_size: int) -> DataFrame:
-    """Findings with their number within the scan and the part it falls in."""
-    numbered = running_totals(findings, ["scan_id"], order, {"number": F.lit(1)})
-    return numbered.withColumn(
-        "part_no", F.floor((F.col("number") - 1) / F.lit(part_size)).cast("int")
+    """Findings with the part of their scan's document they fall in.
+
+    Only scans with more findings than a part holds need positions; they are
+    found by counting scan ids and go through running sums, the others through
+    nothing at all.
+    """
+    counts = findings.groupBy("scan_id").agg(F.count("*").alias("_n"))
+    large = counts.where(F.col("_n") > part_size).select("scan_id", F.lit(True).alias("_large"))
+    whole = F.lit(0).alias("part_no")
+    if large.isEmpty():
+        return findings.select("*", whole)
+    marked = join_dimension(findings, large, ["scan_id"], spread_by=order)
+    numbered = running_totals(
+        marked.where("_large").drop("_large"), ["scan_id"], order, {"_number": F.lit(1)}
     )
+    part = F.floor((F.col("_number") - 1) / F.lit(part_size)).cast("int").alias("part_no")
+    small = marked.where(F.col("_large").isNull()).select(*findings.columns, whole)
+    return small.unionByName(numbered.select(*findings.columns, part))
 
 
-def markdown_documents(
-    scans: DataFrame,
-    findings: DataFrame,
-    order: list[str] = FINDING_ORDER,
-    part_size: int = PART_SIZE,
-    title: str = TITLE,
+def gathered(
+    scans: DataFrame, findings: DataFrame, value: Column, order: list[str], part_size: int
 ) -> DataFrame:
-    """The Markdown report: scan_id, part_no, text."""
-    numbered = in_parts(findings, order, part_size)
-    parts = numbered.groupBy("scan_id", "part_no").agg(
-        F.array_sort(F.collect_list(F.struct("number", finding_text(F.col("number")).alias("t")))).alias("f")
+    """Scans with ``part_no``, ``is_last`` and ``values`` of the findings in order.
+
+    The parts of a scan are joined by scan and part, so that no task gets more
+    than some parts of even the largest scan.
+    """
+    parts = in_parts(findings, order, part_size).groupBy("scan_id", "part_no").agg(
+        F.array_sort(F.collect_list(F.struct(*order, value.alias("value")))).alias("_rows")
     )
-    bodies = parts.select("scan_id", "part_no", F.array_join(F.transform("f", lambda x: x["t"]), "\n\n").alias("body"))
-    last = numbered.groupBy("scan_id").agg(F.max("part_no").alias("last_part"))
-    part = F.coalesce("part_no", F.lit(0))
-    header = scans.select("scan_id", report_header(title).alias("header"))
+    counts = findings.groupBy("scan_id").agg(F.count("*").alias("_n"))
+    last = F.coalesce(F.floor((F.col("_n") - 1) / F.lit(part_size)).cast("int"), F.lit(0))
     return (
-        header.join(bodies, "scan_id", "left")
-        .join(last, "scan_id", "left")
+        scans.join(counts, "scan_id", "left")
+        .withColumn("_last", last)
+        .withColumn("part_no", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+        .join(parts, ["scan_id", "part_no"], "left")
         .select(
-            "scan_id",
-            part.alias("part_no"),
-            F.concat(
-                F.when(part == 0, F.col("header")).otherwise(F.lit("\n\n")),
-                F.coalesce("body", F.lit("")),
-                F.when(part == F.coalesce("last_part", F.lit(0)), F.lit(FOOTER)).otherwise(F.lit("")),
-            ).alias("text"),
+            *scans.columns, "part_no", (F.col("part_no") == F.col("_last")).alias("is_last"),
+            F.transform("_rows", lambda r: r["value"]).alias("values"),
         )
     )
 
 
-def json_documents(
+def markdown_documents(
     scans: DataFrame,
     findings: DataFrame,
     order: list[str] = FINDING_ORDER,
     part_size: int = PART_SIZE,
+    title: str = TITLE,
 ) -> DataFrame:
-    """The whole scan with its findings nested, as JSON: scan_id, part_no, document."""
-    nested = nested_scans(scans, findings, order, part_size)
-    return nested.select(
-        "scan_id", "part_no", F.to_json(F.struct(*[c for c in nested.columns if c != "part_no"])).alias("document")
+    """The Markdown report: scan_id, part_no, text."""
+    heads = scans.select("scan_id", report_header(title).alias("header"))
+    parts = gathered(heads, findings, finding_texts(), order, part_size)
+    before = F.col("part_no").cast("bigint") * part_size + 1
+    lead = F.lit(FINDING.split("{number}")[0])
+    numbered = F.transform(
+        "values", lambda text, i: F.concat(lead, (before + i).cast("string"), text)
+    )
+    return parts.select(
+        "scan_id",
+        "part_no",
+        F.concat(
+            F.when(F.col("part_no") == 0, F.col("header")).otherwise(F.lit("\n\n")),
+            F.coalesce(F.array_join(numbered, "\n\n"), F.lit("")),
+            F.when(F.col("is_last"), F.lit(FOOTER)).otherwise(F.lit("")),
+        ).alias("text"),
     )
 
 
@@ -183,9 +200,18 @@ def nested_scans(
     scans: DataFrame, findings: DataFrame, order: list[str] = FINDING_ORDER, part_size: int = PART_SIZE
 ) -> DataFrame:
     """Scans with an ordered array of findings, in parts of bounded size."""
-    fields = [c for c in findings.columns if c != "scan_id"]
-    parts = in_parts(findings, order, part_size).groupBy("scan_id", "part_no").agg(
-        F.array_sort(F.collect_list(F.struct("number", F.struct(*fields).alias("f")))).alias("_f")
-    )
-    nested = parts.select("scan_id", "part_no", F.transform("_f", lambda x: x["f"]).alias("findings"))
-    return scans.join(nested, "scan_id", "left").withColumn("part_no", F.coalesce("part_no", F.lit(0)))
+    fields = F.struct(*[c for c in findings.columns if c != "scan_id"])
+    parts = gathered(scans, findings, fields, order, part_size)
+    return parts.select(*scans.columns, "part_no", F.col("values").alias("findings"))
+
+
+def json_documents(
+    scans: DataFrame,
+    findings: DataFrame,
+    order: list[str] = FINDING_ORDER,
+    part_size: int = PART_SIZE,
+) -> DataFrame:
+    """The whole scan with its findings nested, as JSON: scan_id, part_no, document."""
+    nested = nested_scans(scans, findings, order, part_size)
+    document = F.to_json(F.struct(*[c for c in nested.columns if c != "part_no"]))
+    return nested.select("scan_id", "part_no", document.alias("document"))

@@ -47,12 +47,14 @@ def tested_lines(files: DataFrame, keep: dict[str, Column], wanted: Column) -> D
         paths.is_js(F.col("file_path")).alias("is_js"), paths.is_python(F.col("file_path")).alias("is_python"),
         *[F.coalesce(F.when(code, test), F.lit(False)).alias(name) for name, test in conditions.items()],
         *[value.alias(name) for name, value in keep.items()],
-        X.split_lines(F.col("content")).alias("_lines"),
+        "content",
     )
-    # Two steps: what stands next to a generator in one select runs per line.
-    exploded = flagged.select("*", F.posexplode("_lines").alias("pos", "line")).drop("_lines")
+    # Two steps: what stands next to a generator in one select runs per line. The
+    # split stays inside the generator, else it is copied into a filter below.
+    split = F.posexplode(X.split_lines(F.col("content"))).alias("pos", "line")
     return (
-        exploded.select("*", F.inline(F.array(F.struct(F.lower("line").alias("low")))))
+        flagged.select("*", split).drop("content")
+        .select("*", F.inline(F.array(F.struct(F.lower("line").alias("low")))))
         .where(wanted)
         .withColumn("trimmed", X.trim(F.col("line")))
         .withColumns(_line_columns())

@@ -99,7 +99,7 @@ def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest per part: npm for even keys, pip for odd ones, some broken."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"), "p_partkey")
     size = F.col("p_size")
     npm = F.when(size == 13, F.lit('{"dependencies": {"lodash"')).otherwise(
         F.concat(
@@ -207,7 +207,7 @@ def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     number = F.col("l_quantity").cast("int")
     is_dependency = kind == 6
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber").select(
         F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
                     number.cast("string"))
         .alias("finding_id"),
