@@ -13,6 +13,7 @@ from gritlens.functions import text as X
 from gritlens.functions import versions
 from gritlens.functions.lists import let
 from gritlens.operators.items import NO_ITEMS, item, no_items
+from gritlens.plans.skew import join_dimension
 
 
 @dataclass(frozen=True)
@@ -235,21 +236,22 @@ def dependencies(files: DataFrame) -> DataFrame:
 def dependency_findings(files: DataFrame, advisories: DataFrame) -> DataFrame:
     """Every vulnerable dependency against an advisory table of any size.
 
-    An equi join on ecosystem and package with the version test as a residual:
-    Spark broadcasts the table while it is small and shuffles it when not. One
-    advisory per package is used, the smallest CVE.
+    An equi join on ecosystem and package, then the version test. The table is
+    broadcast while it is small; beyond that the dependencies on one package are
+    spread over tasks. One advisory per package is used, the smallest CVE.
     """
     table = advisories.groupBy("ecosystem", F.lower("package").alias("package_key")).agg(
         F.min_by(F.struct(*[F.col(c) for c in advisories.columns]), F.col("cve")).alias("adv")
     )
-    deps = dependencies(files).withColumn("package_key", F.lower("dep.package"))
-    hit = deps.join(
-        table,
-        (deps["dep"]["ecosystem"] == table["ecosystem"])
-        & (deps["package_key"] == table["package_key"])
-        & versions.less_than(deps["dep"]["version"], table["adv"]["fixed_version"]),
+    declared = dependencies(files)
+    deps = declared.withColumns(
+        {"ecosystem": F.col("dep.ecosystem"), "package_key": F.lower("dep.package")}
     )
-    keep = [c for c in deps.columns if c not in ("dep", "package_key")]
+    known = join_dimension(
+        deps, table, ["ecosystem", "package_key"], spread_by=["repo", "file_path"], how="inner"
+    )
+    hit = known.where(versions.less_than(F.col("dep.version"), F.col("adv.fixed_version")))
+    keep = [c for c in declared.columns if c != "dep"]
     found = [
         F.when(F.col("dep.ecosystem") == name, _dependency_item(rule_id, F.col("dep"), F.col("adv")))
         for name, rule_id in RULE_OF.items()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritlens.plans.skew import is_small
+from gritlens.plans.skew import is_small, join_dimension
 from gritlens.session import written
 
 SCAN_UPDATES = ["status", "scores", "severity_counts", "completed_at"]
@@ -103,28 +103,37 @@ def findings_of(findings: DataFrame, scan_id: str) -> DataFrame:
 
 def top_findings(findings: DataFrame, order: list[str], k: int = 3) -> DataFrame:
     """The first ``k`` findings of every scan in stored order."""
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("scan_id").orderBy(*order))
     return findings.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def repository_rollup(scans: DataFrame) -> DataFrame:
-    """Scans per repository with its newest and its oldest score."""
-    when = F.struct("started_at", "scan_id")
+    """Scans per repository with its newest and its oldest score.
+
+    Time and score (0 to 100) share one number, so that the sums fit a hash
+    aggregate. Of scans started at the same time the higher score is the newest
+    and the lower one the oldest.
+    """
+    moment = F.unix_micros(F.col("started_at").cast("timestamp")) * 128 + F.col("overall")
     return scans.groupBy("repo").agg(
         F.count("*").alias("scan_count"),
-        F.max_by("overall", when).alias("last_score"),
-        F.min_by("overall", when).alias("first_score"),
+        F.pmod(F.max(moment), F.lit(128)).cast("int").alias("last_score"),
+        F.pmod(F.min(moment), F.lit(128)).cast("int").alias("first_score"),
     )
 
 
 def repository_listing(repositories: DataFrame, scans: DataFrame) -> DataFrame:
-    """Repositories with the scores of their scans, defaults where there are none."""
-    joined = repositories.join(
-        scans.select(F.col("repo").alias("name"), "overall", "critical"), "name", "left"
-    )
-    return joined.select(
+    """Repositories with the scores of their scans, defaults where there are none.
+
+    The outer join is made of two parts: scans take up their repository, spread
+    over tasks however many one repository has; repositories without a scan are
+    added.
+    """
+    named = scans.select(F.col("repo").alias("name"), "overall", "critical", "scan_id")
+    scanned = join_dimension(named, repositories, ["name"], spread_by=["scan_id"], how="inner")
+    rest = repositories.join(named.select("name").distinct(), "name", "left_anti")
+    both = scanned.drop("scan_id").unionByName(rest, allowMissingColumns=True)
+    return both.select(
         *repositories.columns,
         F.coalesce("overall", F.lit(LISTING_SCORE)).alias("overall_score"),
         F.coalesce("critical", F.lit(LISTING_CRITICAL)).alias("critical_issues"),

@@ -75,7 +75,7 @@ def findings_of_scan(spark, sf_dir):
 
 
 @query("repository_rollup", f"""WITH {C.SCANS_SQL} SELECT repo, count(*) AS scan_count,
-  arg_max(overall, (started_at, scan_id)) AS last_score, arg_min(overall, (started_at, scan_id)) AS first_score FROM scans GROUP BY repo""")
+  arg_max(overall, (started_at, overall)) AS last_score, arg_min(overall, (started_at, overall)) AS first_score FROM scans GROUP BY repo""")
 def repository_rollup(spark, sf_dir):
     return history.repository_rollup(C.scans(spark, sf_dir))
 
