@@ -26,20 +26,22 @@ def with_scan_id(files: DataFrame) -> DataFrame:
     return files.withColumn("scan_id", F.concat(F.lit("scan-"), F.col("repo")))
 
 
-def _line_columns() -> dict[str, Column]:
+def _line_columns(anchored: bool) -> dict[str, Column]:
     """What the compiled rules read besides the text, for lines worth testing."""
+
+    def needed(column, value):
+        return F.when(compiler.needs(column), value) if anchored else value
+
     marks = {name: X.starts_with_any(F.col("trimmed"), skip) for skip, name in compiler.COMMENTS.items()}
-    bare = F.when(compiler.needs("bare"), compiler.code_only(F.col("line")))
-    callee = F.when(compiler.needs("callee"), compiler.leftmost_call(F.col("trimmed")))
+    bare = needed("bare", compiler.code_only(F.col("line")))
+    callee = needed("callee", compiler.leftmost_call(F.col("trimmed")))
     return {**marks, "bare": bare, "callee": F.coalesce(callee, F.lit(""))}
 
 
-def tested_lines(files: DataFrame, keep: dict[str, Column], wanted: Column) -> DataFrame:
-    """The wanted lines of files with everything the compiled rules read.
-
-    ``low`` comes out of a generator, not a projection: the optimiser would copy
-    a projected expression into each of the many tests of ``wanted``.
-    """
+def tested_lines(
+    files: DataFrame, keep: dict[str, Column], wanted: Column, anchored: bool = True
+) -> DataFrame:
+    """The wanted lines of files with everything the compiled rules read."""
     code = paths.is_js(F.col("file_path")) | paths.is_python(F.col("file_path"))
     conditions = compiler.file_conditions(F.col("content"), F.col("_low"))
     flagged = files.withColumn("_low", F.when(code, F.lower("content"))).select(
@@ -54,10 +56,9 @@ def tested_lines(files: DataFrame, keep: dict[str, Column], wanted: Column) -> D
     split = F.posexplode(X.split_lines(F.col("content"))).alias("pos", "line")
     return (
         flagged.select("*", split).drop("content")
-        .select("*", F.inline(F.array(F.struct(F.lower("line").alias("low")))))
         .where(wanted)
-        .withColumn("trimmed", X.trim(F.col("line")))
-        .withColumns(_line_columns())
+        .withColumns({"trimmed": X.trim(F.col("line")), "anchors": compiler.found_anchors(F.col("line"))})
+        .withColumns(_line_columns(anchored))
     )
 
 
@@ -66,7 +67,7 @@ def rule_hits(files: DataFrame, anchored: bool = True) -> DataFrame:
     wanted = compiler.anchor_filter() if anchored else F.lit(True)
     names = F.array(*[F.lit(rule.rule_id) for rule in C.RULES])
     return (
-        tested_lines(with_scan_id(files), {}, wanted)
+        tested_lines(with_scan_id(files), {}, wanted, anchored)
         .select("repo", "file_path", (F.col("pos") + 1).alias("line_no"),
                 F.explode(compiler.all_hits(anchored=anchored)).alias("rule_no"))
         .select("repo", "file_path", "line_no", F.get(names, F.col("rule_no")).alias("rule_id"))
@@ -100,7 +101,7 @@ def scan_items(
     first = F.col("pos") == 0
     wanted = (compiler.anchor_filter() if anchored else F.lit(True)) if security else F.lit(False)
     carried = {"file_items": F.col("file_items"), "n_lines": line_count(F.col("content"))}
-    lines = tested_lines(staged, carried, first | wanted)
+    lines = tested_lines(staged, carried, first | wanted, anchored)
 
     absent = F.lit(None).cast(FILE_ITEM)
     entry = "array<struct<rule_no:int,item:" + FILE_ITEM + ">>"

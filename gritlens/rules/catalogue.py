@@ -136,13 +136,13 @@ RULES: list[Rule] = [
              "CallExpression ({callee}) -> {detail}",
              "AST Node: CallExpression ('{callee}') with argument of type {detail}. Dynamic user variables concatenated directly into SQL queries risk full database compromise.",
              'Use parameterized queries: db.query("SELECT * FROM users WHERE id = $1", [userId]) or prepared statements.',
-             anchors=("query", "execute"),
+             anchors=("+", "${"),
              every=(r"(?i)(?:query|execute|rawQuery|executeSql)\s*\(\s*" + FIRST_ARGUMENT_BUILT,)),
     _js_node("J03", "CRITICAL", "Command Injection via Shell Execution [AST Verified]", CWE_COMMAND, A03,
              "CallExpression ({callee})",
              "AST Node: CallExpression ('{callee}') executes an unvalidated shell string formed via dynamic concatenation.",
              "Use execFile() or spawn() passing arguments as an array instead of invoking a shell interpreter.",
-             anchors=("exec",), every=(r"(?i)(?:exec|execSync)\s*\(\s*" + FIRST_ARGUMENT_BUILT,)),
+             anchors=("+", "${"), every=(r"(?i)(?:exec|execSync)\s*\(\s*" + FIRST_ARGUMENT_BUILT,)),
     _js_node("J04", "MEDIUM", "Weak Cryptographic Hash Algorithm ({upper_algorithm}) [AST Verified]", CWE_HASH, A02,
              "CallExpression ({callee} with '{algorithm}')",
              "AST Node: CallExpression ('{callee}') initializes broken hash algorithm '{algorithm}'. Vulnerable to collision attacks.",
@@ -203,7 +203,7 @@ RULES: list[Rule] = [
                  "Call('{callee}') -> {detail}",
                  "AST Node: Call('{callee}') with interpolated {detail} argument. Raw SQL string formatting allows arbitrary query manipulation.",
                  'Use parameterized SQL queries: cursor.execute("SELECT * FROM users WHERE id = %s", (user_id,))',
-                 anchors=("execute", "raw"), subject="trimmed",
+                 anchors=("+", 'f"', "f'", ".format(", "%"), subject="trimmed",
                  callee=r"(?i)(cursor\.execute|db\.execute|connection\.execute|execute|raw)$",
                  every=(r" \+ |" + FORMATTED + r"|\.format\(|%s.*%",)),
     _python_node("P02", "CRITICAL", "OS Command Injection via Shell Execution [Python AST Verified]", CWE_COMMAND, A03,
@@ -253,7 +253,7 @@ RULES: list[Rule] = [
             "CallExpression (SQL Execution)",
             "Raw SQL query is assembled dynamically by concatenating variables into SQL statement strings without parameter binding.",
             "Use parameterized queries ($1, ?), prepared statements, or an ORM/query builder.",
-            anchors=("select", "insert", "update", "delete", "drop", "union", "where", "query", "execute"),
+            anchors=("+", "${", "%", ".format("),
             every=(r"(?i)(\+\s*([a-zA-Z0-9_.]+|req\.|params\.)|\$\{[^}]+\}|%\s*[a-zA-Z0-9_]+|\.format\()",
                    r"(?i)\b(SELECT|INSERT|UPDATE|DELETE|DROP|UNION|WHERE)\b|\b(query|execute|rawQuery|executeSql|cursor\.execute)\b"),
             none=(r"\$[1-9]|\?|%s\s*,\s*\[|parameters\s*:",)),
@@ -321,7 +321,7 @@ RULES: list[Rule] = [
             "CallExpression (CORS Config)",
             'Configuring Access-Control-Allow-Origin to "*" alongside credentials allows malicious third-party websites to perform authenticated cross-origin requests.',
             "Restrict CORS origins to a verified allowlist of trusted domains.",
-            anchors=("cors", "access-control-allow-origin"),
+            anchors=("credentials", "access-control-allow-origin"),
             every=(r"""(?i)cors\s*\(\s*\{\s*origin\s*:\s*['"]\*['"]\s*,\s*credentials\s*:\s*true""",),
             instead=(r"""(?i)Access-Control-Allow-Origin['"]\s*,\s*['"]\*['"]""", "credentials_header")),
     _shared("C16", 5, "MEDIUM", "Insufficient Password Hashing Work Factor (Low Salt Rounds)", CWE_WORK_FACTOR, A02,
@@ -341,7 +341,7 @@ RULES: list[Rule] = [
             "Literal (Path)",
             'Repeated directory traversal sequence ("../../") detected in path expression. May access files outside intended root.',
             "Use absolute project root resolutions rather than nested relative parent sequences.",
-            anchors=("../",), every=(r"""['"](\.\./){2,}""",), none=("import ", "from ")),
+            anchors=("../../",), every=(r"""['"](\.\./){2,}""",), none=("import ", "from ")),
     # -- second pass --------------------------------------------------------
     _js_node("J11", "HIGH", "Arbitrary Code Execution via eval() [AST Verified]", CWE_EVAL, A03,
              "CallExpression (eval)",
@@ -400,7 +400,7 @@ RULES: list[Rule] = [
     _heuristic("H06", "CRITICAL", "Potential SQL Injection Risk (Dynamic Query Concatenation)", CWE_SQL, A03,
                "SQL statement constructed dynamically by string concatenation or template literal substitution without parameter binding.",
                "Use parameterized queries / prepared statements (e.g. $1, ?, :param) or an ORM like Prisma / Drizzle / SQLAlchemy.",
-               anchors=("select", "insert", "update", "delete"),
+               anchors=("+", "${", "%"),
                every=(r"\+\s*[a-zA-Z0-9_.]|\$\{[a-zA-Z0-9_.]|%[sS]",
                       r"(?i)(SELECT\s+.*?\s+FROM|INSERT\s+INTO|UPDATE\s+.*?\s+SET|DELETE\s+FROM)\s*.*?(\+\s*[a-zA-Z0-9_.]+|\$\{[a-zA-Z0-9_.]+\}|%s)"),
                none=(r"\$1", r"\?", ":id")),
@@ -441,7 +441,7 @@ RULES: list[Rule] = [
     _heuristic("H14", "HIGH", "Potential Path Traversal in File Access", CWE_PATH, A01,
                "Filesystem operation directly incorporates client-controlled paths without sanitization or path.resolve containment checks.",
                "Sanitize file paths with path.basename() and verify that path.resolve() stays strictly within an approved base directory.",
-               anchors=("readfile", "open"),
+               anchors=("req.", "request."),
                every=(r"(?i)(fs\.readFileSync|fs\.readFile|open)\s*\(\s*(path\.join\(.*req\.|req\.(query|params|body)|request\.(GET|POST))",)),
     # -- quality and documentation ------------------------------------------
     _quality("Q01", "CODE_QUALITY", "MEDIUM", "Excessive Function Length ({name})",

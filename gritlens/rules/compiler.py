@@ -1,9 +1,10 @@
 """Turns catalogue rows into expressions over the lines table.
 
 The rules become one SQL expression text, so a plan costs one parse however long
-the catalogue is. A line row carries ``line``, ``low`` (lower-cased), ``trimmed``,
-``bare`` (literals and trailing comment out), ``callee``, ``is_js``, ``is_python``,
-one boolean per comment convention and one per file-level condition.
+the catalogue is. A line row carries ``line``, ``anchors`` (the anchor words found
+in it), ``trimmed``, ``bare`` (literals and trailing comment out), ``callee``,
+``is_js``, ``is_python``, one boolean per comment convention and one per
+file-level condition.
 """
 
 from __future__ import annotations
@@ -59,6 +60,61 @@ def _any_word(column: str, words: Iterable[str]) -> str:
     return "(" + " OR ".join(f"contains({column}, {sql_text(w)})" for w in words) + ")"
 
 
+def _shortest(words: set[str]) -> list[str]:
+    """Words of which no other one is a part: enough to find any of them."""
+    kept: list[str] = []
+    for word in sorted(words, key=lambda w: (len(w), w)):
+        if not any(k in word for k in kept):
+            kept.append(word)
+    return sorted(kept)
+
+
+# The words looked for. Every anchor of a rule contains one of them.
+ANCHORS = _shortest({a for rule in LINE_RULES for a in rule.anchors})
+
+
+# Characters from rare to common in code and prose. An anchor is looked for at its
+# rarest character: nearly all positions of a line then fail on one class test.
+RARE_FIRST = "qzjx%+$_-/6941k25vwybgfp.(mucdhlsinrtaoe"
+
+
+def _split_at_rarest(word: str) -> tuple[str, str]:
+    at = min(range(len(word)), key=lambda i: RARE_FIRST.find(word[i]) % 100)
+    return word[:at], word[at:]
+
+
+def _escaped(text: str) -> str:
+    return "".join(c if c.isalnum() or c in " _" else "\\" + c for c in text)
+
+
+def word_pattern(words: list[str]) -> str:
+    """Finds any of the words at its rarest character, looking back at what precedes."""
+    branches: dict[str, list[str]] = {}
+    for head, tail in map(_split_at_rarest, words):
+        rare = tail[0]
+        before = f"(?<={_escaped(head + rare)})" if head else ""
+        branches.setdefault(rare, []).append(before + _escaped(tail[1:]))
+    letters = sorted(branches, key=RARE_FIRST.find, reverse=True)
+    some = "|".join(f"{_escaped(c)}(?:{'|'.join(branches[c])})" for c in letters)
+    return f"(?=[{''.join(map(_escaped, letters))}])(?:{some})"
+
+
+def anchor_filter() -> Column:
+    """One cheap necessary test for all rules: lets most lines leave early."""
+    return F.expr(f"line RLIKE {sql_text('(?i)' + word_pattern(ANCHORS))}")
+
+
+def found_anchors(line: Column) -> Column:
+    """All anchor words in a line (their ends), also where they overlap."""
+    pattern = F.lit(f"(?=({word_pattern(ANCHORS)}))")
+    return F.array_distinct(F.regexp_extract_all(F.lower(line), pattern, F.lit(1)))
+
+
+def _any_anchor(anchors: Iterable[str]) -> str:
+    ends = sorted({_split_at_rarest(next(w for w in ANCHORS if w in anchor))[1] for anchor in anchors})
+    return "(" + " OR ".join(f"array_contains(anchors, {sql_text(e)})" for e in ends) + ")"
+
+
 def _match(column: str, pattern: str) -> str:
     return f"{column} RLIKE {sql_text(X.java_pattern(pattern))}"
 
@@ -70,7 +126,7 @@ def condition(rule: C.Rule, anchored: bool = True) -> str:
     if rule.skip:
         tests.append(f"NOT {COMMENTS[rule.skip]}")
     if anchored:
-        tests.append(_any_word("low", rule.anchors))
+        tests.append(_any_anchor(rule.anchors))
     if rule.guard:
         tests.append(rule.guard)
     if rule.callee:
@@ -87,25 +143,11 @@ def condition(rule: C.Rule, anchored: bool = True) -> str:
     return "(" + " AND ".join(tests) + ")"
 
 
-def _shortest(words: set[str]) -> list[str]:
-    """Words of which no other one is a part: enough to find any of them."""
-    kept: list[str] = []
-    for word in sorted(words, key=lambda w: (len(w), w)):
-        if not any(k in word for k in kept):
-            kept.append(word)
-    return kept
-
-
-def anchor_filter(rules: Iterable[C.Rule] = LINE_RULES) -> Column:
-    """One cheap necessary test for all rules: lets most lines leave early."""
-    return F.expr(_any_word("low", _shortest({a for rule in rules for a in rule.anchors})))
-
-
-def needs(column: str, rules: Iterable[C.Rule] = LINE_RULES) -> Column:
+def needs(column: str) -> Column:
     """Whether any rule that reads ``callee`` or ``bare`` may match the line."""
-    reading = [r for r in rules if (r.callee if column == "callee" else SUBJECTS[r.subject] == column)]
+    reading = [r for r in LINE_RULES if (r.callee if column == "callee" else SUBJECTS[r.subject] == column)]
     scope = SCOPES["python"] if column == "callee" else SCOPES["js"]
-    return F.expr(f"{scope} AND " + _any_word("low", _shortest({a for r in reading for a in r.anchors})))
+    return F.expr(f"{scope} AND {_any_anchor({a for r in reading for a in r.anchors})}")
 
 
 def _number(rule: C.Rule) -> int:

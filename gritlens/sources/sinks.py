@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 
 def write_scans(scans: DataFrame, path: str, mode: str = "append", period: str = "week") -> None:
     """Scans by the week (month, year) they started, so that history queries prune."""
-    scans.withColumn("scan_date", F.trunc("started_at", period)).write.mode(mode).partitionBy(
-        "scan_date"
-    ).parquet(path)
+    dated = scans.withColumn("scan_date", F.trunc("started_at", period))
+    _balanced(dated, "scan_date").write.mode(mode).partitionBy("scan_date").parquet(path)
 
 
 def write_findings(findings: DataFrame, path: str, mode: str = "append") -> None:
-    findings.write.mode(mode).partitionBy("severity").parquet(path)
+    _balanced(findings, "severity").write.mode(mode).partitionBy("severity").parquet(path)
+
+
+def _balanced(df: DataFrame, by: str) -> DataFrame:
+    """Rows of one partition folder together, in files of the advised size.
+
+    Without it every task leaves a small file in every folder; a large folder is
+    still split over tasks.
+    """
+    return df.hint("rebalance", F.col(by))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
