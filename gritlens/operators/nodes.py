@@ -29,7 +29,7 @@ CALLS = {
     "J01": (r"(?:^|[^\w$.])", r"(?:eval|Function|window\.eval)", r"\s*\("),
     "J02": (r"(?i)", r"[\w$.]*(?:query|execute|rawQuery|executeSql)", r"\s*\(\s*" + C.FIRST_ARGUMENT_BUILT),
     "J03": (r"(?i)", r"[\w$.]*(?:exec|execSync)", r"\s*\(\s*" + C.FIRST_ARGUMENT_BUILT),
-    "J04": (r"(?i)", r"[\w$.]*createHash", r"""\s*\(\s*["']?(?:md5|sha1)["']?\s*[,)]"""),
+    "J04": (r"(?i)", r"[\w$.]*createHash", r"""\s*\(\s*["']?(?:md5|sha1)["']?\s*(?:[,)]|$)"""),
     "J05": (r"(?:^|[^\w$.])", r"Math\.random", r"\s*\("),
     "J06": (r"(?i)", r"[\w$.]*(?:axios\.get|axios\.post|fetch|http\.get|https\.get)",
             r"\s*\(\s*[^,]*(?:req\.query|req\.params|req\.body|url_param|user_url)"),
@@ -171,15 +171,16 @@ def _by_rule(cases: dict[str, Column], rule_id: Column) -> Column:
 def node_values(rule_id: Column) -> dict[str, Column]:
     """What fills the markers of a line rule's texts."""
     line, trimmed, python_callee = F.col("line"), F.col("trimmed"), F.col("callee")
+    statement = F.col("statement")
     bare = code_only(line)
-    callee = {name: _callee(name, bare if name in ("J01", "J05", "J11") else line) for name in CALLS}
+    callee = {name: _callee(name, bare if name in ("J01", "J05", "J11") else statement) for name in CALLS}
     formatted = (
         F.when(F.contains(trimmed, F.lit(" + ")), F.lit("BinOp(+)"))
         .when(X.matches(trimmed, C.FORMATTED), F.lit("FormattedValue (f-string)"))
         .otherwise(F.lit(".format()"))
     )
     built = F.when(
-        X.matches(line, SQL_CONCATENATED), F.lit("BinaryExpression (+) string concatenation")
+        X.matches(statement, SQL_CONCATENATED), F.lit("BinaryExpression (+) string concatenation")
     ).otherwise(F.lit("TemplateExpression (${...}) variable interpolation"))
     assigned = X.extract(trimmed, C.PYTHON_ASSIGN)
     return {
@@ -191,12 +192,12 @@ def node_values(rule_id: Column) -> dict[str, Column]:
         ),
         "detail": _by_rule({"J02": built, "P01": formatted}, rule_id),
         "algorithm": _by_rule(
-            {"J04": F.lower(X.extract(line, HASH_NAME)),
+            {"J04": F.lower(X.extract(statement, HASH_NAME)),
              "P04": F.when(F.contains(python_callee, F.lit("md5")), F.lit("MD5")).otherwise(F.lit("SHA-1"))},
             rule_id,
         ),
-        "upper_algorithm": F.upper(X.extract(line, HASH_NAME)),
-        "argument": X.extract(line, REQUEST_ARGUMENT),
+        "upper_algorithm": F.upper(X.extract(statement, HASH_NAME)),
+        "argument": X.extract(statement, REQUEST_ARGUMENT),
         "target": X.extract(bare, ASSIGNED_MARKUP),
     }
 
@@ -206,9 +207,9 @@ def snippets(rule_id: Column) -> Column:
     line, trimmed = F.col("line"), F.col("trimmed")
 
     def cut_to(text, limit=120):
-        return F.substring(X.trim(text), 1, limit)
+        return F.substring(F.substring_index(X.trim(text), "\n", 1), 1, limit)
 
-    calls = {name: cut_to(_call_text(name, line)) for name in CALLS}
+    calls = {name: cut_to(_call_text(name, F.col("statement"))) for name in CALLS}
     calls["J11"] = cut_to(_call_text("J11", line), 100)
     return F.coalesce(
         _by_rule(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gritlens.functions import paths
 from gritlens.functions import text as X
+from gritlens.functions.lists import let
 from gritlens.operators import dependencies as D
 from gritlens.operators import nodes
 from gritlens.operators.items import no_items
@@ -49,6 +50,9 @@ def tested_lines(
         paths.is_js(F.col("file_path")).alias("is_js"), paths.is_python(F.col("file_path")).alias("is_python"),
         *[F.coalesce(F.when(code, test), F.lit(False)).alias(name) for name, test in conditions.items()],
         *[value.alias(name) for name, value in keep.items()],
+        F.when(
+            paths.is_js(F.col("file_path")), let(X.split_lines(F.col("content")), compiler.continuations)
+        ).alias("_continued"),
         "content",
     )
     # Two steps: what stands next to a generator in one select runs per line. The
@@ -56,9 +60,15 @@ def tested_lines(
     split = F.posexplode(X.split_lines(F.col("content"))).alias("pos", "line")
     return (
         flagged.select("*", split).drop("content")
-        .where(wanted)
-        .withColumns({"trimmed": X.trim(F.col("line")), "anchors": compiler.found_anchors(F.col("line"))})
+        .withColumn("_below", F.try_element_at("_continued", "pos"))
+        .where(wanted | F.col("_below").isNotNull())
+        .withColumns({
+            "trimmed": X.trim(F.col("line")),
+            "statement": F.coalesce(F.concat("line", F.lit("\n"), "_below"), F.col("line")),
+        })
+        .withColumn("anchors", compiler.found_anchors(F.col("statement")))
         .withColumns(_line_columns(anchored))
+        .drop("_continued", "_below")
     )
 
 
@@ -121,7 +131,8 @@ def scan_items(
     line_hits = compiler.kept_hits(anchored=anchored) if security else F.expr("CAST(array() AS array<int>)")
     return (
         lines.select(
-            "scan_id", "repo", "file_path", "pos", "line", "trimmed", "callee", "n_lines", "file_items",
+            "scan_id", "repo", "file_path", "pos", "line", "trimmed", "statement", "callee", "n_lines",
+            "file_items",
             line_hits.alias("hits"),
         )
         .withColumn(
@@ -129,7 +140,7 @@ def scan_items(
             F.explode(F.concat(F.when(first, from_file).otherwise(nothing), entries(F.col("hits")))),
         )
         .select(
-            "scan_id", "repo", "file_path", "pos", "line", "trimmed", "callee",
+            "scan_id", "repo", "file_path", "pos", "line", "trimmed", "statement", "callee",
             F.when(F.col("entry.rule_no") == FILE_ROW, F.col("n_lines")).alias("n_lines"),
             F.col("entry.rule_no").alias("rule_no"), F.col("entry.item").alias("item"),
         )

@@ -31,7 +31,7 @@ class Rule:
     scope: str = "all"          # all | js | python | code (js or python)
     skip: tuple[str, ...] = ()  # comment marks that take a line out
     anchors: tuple[str, ...] = ()   # one of these must be in the lower-cased line
-    subject: str = "line"       # line | trimmed | code (literals and comments blanked)
+    subject: str = "line"       # line | trimmed | code (literals, comments blanked) | statement
     every: tuple[str, ...] = ()
     none: tuple[str, ...] = ()
     callee: str | None = None   # tested on the leftmost call
@@ -136,18 +136,18 @@ RULES: list[Rule] = [
              "CallExpression ({callee}) -> {detail}",
              "AST Node: CallExpression ('{callee}') with argument of type {detail}. Dynamic user variables concatenated directly into SQL queries risk full database compromise.",
              'Use parameterized queries: db.query("SELECT * FROM users WHERE id = $1", [userId]) or prepared statements.',
-             anchors=("+", "${"),
+             subject="statement", anchors=("+", "${"),
              every=(r"(?i)(?:query|execute|rawQuery|executeSql)\s*\(\s*" + FIRST_ARGUMENT_BUILT,)),
     _js_node("J03", "CRITICAL", "Command Injection via Shell Execution [AST Verified]", CWE_COMMAND, A03,
              "CallExpression ({callee})",
              "AST Node: CallExpression ('{callee}') executes an unvalidated shell string formed via dynamic concatenation.",
              "Use execFile() or spawn() passing arguments as an array instead of invoking a shell interpreter.",
-             anchors=("+", "${"), every=(r"(?i)(?:exec|execSync)\s*\(\s*" + FIRST_ARGUMENT_BUILT,)),
+             subject="statement", anchors=("+", "${"), every=(r"(?i)(?:exec|execSync)\s*\(\s*" + FIRST_ARGUMENT_BUILT,)),
     _js_node("J04", "MEDIUM", "Weak Cryptographic Hash Algorithm ({upper_algorithm}) [AST Verified]", CWE_HASH, A02,
              "CallExpression ({callee} with '{algorithm}')",
              "AST Node: CallExpression ('{callee}') initializes broken hash algorithm '{algorithm}'. Vulnerable to collision attacks.",
              "Migrate to SHA-256 or SHA-512 for data integrity, or bcrypt/Argon2 for passwords.",
-             anchors=("createhash",), every=(r"""(?i)createHash\s*\(\s*["']?(md5|sha1)["']?\s*[,)]""",)),
+             subject="statement", anchors=("createhash",), every=(r"""(?i)createHash\s*\(\s*["']?(md5|sha1)["']?\s*(?:[,)]|$)""",)),
     _js_node("J05", "LOW", "Cryptographically Weak PRNG (Math.random) [AST Verified]", CWE_RANDOM, A02,
              "CallExpression (Math.random)",
              "AST Node: CallExpression (Math.random) is predictable and unsuited for generating authentication tokens, salt, or passwords.",
@@ -157,7 +157,7 @@ RULES: list[Rule] = [
              "CallExpression ({callee} with untrusted input)",
              "AST Node: CallExpression ('{callee}') initiates outbound network requests using untrusted client input '{argument}' without allowlist validation.",
              "Validate target hosts against a strict server-side allowlist and restrict internal private IP ranges (RFC 1918).",
-             anchors=("req.", "url_param", "user_url"),
+             subject="statement", anchors=("req.", "url_param", "user_url"),
              every=(r"(?i)(?:axios\.get|axios\.post|fetch|http\.get|https\.get)\s*\(\s*[^,]*(req\.query|req\.params|req\.body|url_param|user_url)",)),
     _js_node("J07", "HIGH", "Cross-Site Scripting (DOM XSS via innerHTML) [AST Verified]", CWE_XSS_LONG, A03,
              "BinaryExpression (= to {target})",

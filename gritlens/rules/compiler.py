@@ -2,7 +2,8 @@
 
 The rules become one SQL expression text, so a plan costs one parse however long
 the catalogue is. A line row carries ``line``, ``anchors`` (the anchor words found
-in it), ``trimmed``, ``bare`` (literals and trailing comment out), ``callee``,
+in it), ``trimmed``, ``bare`` (literals and trailing comment out), ``statement``
+(with the first argument of a call that goes on below), ``callee``,
 ``is_js``, ``is_python``, one boolean per comment convention and one per
 file-level condition.
 """
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritlens.functions import text as X
+from gritlens.functions.lists import let
 from gritlens.functions.text import sql_text
 from gritlens.rules import catalogue as C
 
@@ -27,8 +29,14 @@ LEFTMOST_CALL = r"(?<![a-zA-Z0-9_.])([a-zA-Z0-9_.]++)\s*\((.*)\)"
 STRING_LITERAL = r'''"[^"]*"|'[^']*\''''
 TRAILING_COMMENT = r"//.*"
 
+# A line that ends inside the first argument of a call some rule looks at.
+OPEN_CALL = (
+    r"(?i)(?:query|execute|rawQuery|executeSql|exec|execSync|createHash|axios\.get|axios\.post|fetch"
+    r"|http\.get|https\.get)\s*\(\s*(`[^`]*)?$"
+)
+
 SCOPES = {"js": "is_js", "python": "is_python", "code": "(is_js OR is_python)"}
-SUBJECTS = {"line": "line", "trimmed": "trimmed", "code": "bare"}
+SUBJECTS = {"line": "line", "trimmed": "trimmed", "code": "bare", "statement": "statement"}
 COMMENTS = {
     C.HEURISTIC_SKIP: "heuristic_comment", C.SHARED_SKIP: "shared_comment",
     C.PYTHON_SKIP: "python_comment", C.NODE_SKIP: "node_comment",
@@ -50,6 +58,41 @@ def code_only(line: Column) -> Column:
     return F.regexp_replace(bare, X.java_pattern(TRAILING_COMMENT), "")
 
 
+def continuations(lines: Column) -> Column:
+    """Where a call goes on below its line: map of position to the text that follows.
+
+    The text is the next line, or all lines up to the end of a template literal.
+    """
+    numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("l")))
+
+    def has_tick(line):
+        return F.contains(line, F.lit("`"))
+
+    def is_open(x):
+        cheap = F.endswith(x["l"], F.lit("(")) | F.endswith(x["l"], F.lit("(\r")) | has_tick(x["l"])
+        return cheap & X.matches(x["l"], OPEN_CALL)
+
+    def ticks(all_lines):
+        found = F.transform(all_lines, lambda line, i: F.when(has_tick(line), i))
+        return F.array_compact(found)
+
+    def following(x, all_lines, tick):
+        below = F.coalesce(F.get(all_lines, x["i"] + 1), F.lit(""))
+        odd = (F.length(below) - F.length(F.replace(below, F.lit("`"), F.lit("")))) % 2 == 1
+        inside = X.extract(x["l"], OPEN_CALL, 1) != ""
+        first = F.when(inside, x["i"]).when(odd, x["i"] + 1)
+        close = F.get(F.filter(tick, lambda t: t > first), F.lit(0))
+        last = F.coalesce(close, x["i"] + 1)
+        text = F.array_join(F.slice(all_lines, x["i"] + 2, last - x["i"]), "\n")
+        return F.struct(x["i"].alias("pos"), text.alias("text"))
+
+    def texts(opens):
+        return F.when(F.size(opens) > 0, let(ticks(lines), lambda tick: F.transform(
+            opens, lambda x: following(x, lines, tick))))
+
+    return F.map_from_entries(let(F.filter(numbered, is_open), texts))
+
+
 def leftmost_call(trimmed: Column) -> Column:
     """Name of the leftmost call, ``''`` without one or on a ``def`` line."""
     call = F.regexp_extract(trimmed, X.java_pattern(LEFTMOST_CALL), 1)

@@ -22,7 +22,8 @@ GUARD_SQL = {
 
 
 def rule_sql(rule: R.Rule) -> str:
-    subject = {"line": "line", "trimmed": "trimmed", "code": "code_text"}[rule.subject]
+    # No call goes on below its line in these corpora; see calls_over_lines.
+    subject = {"line": "line", "statement": "line", "trimmed": "trimmed", "code": "code_text"}[rule.subject]
 
     def test(pattern, column=subject):
         return f"regexp_matches({column}, {quoted(pattern)})"
@@ -221,3 +222,36 @@ SELECT file_path, CAST(line_no AS INTEGER) AS line_no, rule_id, {TITLE_SQL} AS t
 def finding_texts(spark, sf_dir):
     found = _security(C.seeded_files(spark, sf_dir))
     return found.select("file_path", "line_no", "rule_id", "title", "code_snippet", "finding_id")
+
+
+# Ways to write a call over several lines; @ is a word that differs per document.
+SPANNING = [
+    'db.query(\n  "SELECT * FROM @ WHERE id = " + id,\n  cb)', "await pool.query(\n  `SELECT *\n   FROM @\n   WHERE id = ${id}`\n)",
+    "db.query(`SELECT a\n  FROM @\n  WHERE b = ${b}`)", "db.query(\n  'SELECT 1 FROM @',\n  [a + b])", "exec(\n  'ping ' + @\n)",
+    "execSync(`rm\n @`)", "crypto.createHash(\n  'MD5'\n)", "axios.get(\n  req.query.@,\n  opts)", "fetch(\n  url,\n  req.body)",
+    "// db.query(\n  'a' + @)", "log(\n  db.query(\n    'a' + @))",
+]
+# What the spanning calls report: (rule, line, snippet), none for the safe ones.
+SPANNING_FOUND = [
+    ("J02", 1, "db.query("), ("J02", 1, "pool.query("), ("J02", 1, "db.query(`SELECT a"), None, ("J03", 1, "exec("), None,
+    ("J04", 1, "crypto.createHash("), ("J06", 1, "axios.get("), None, None, ("J02", 2, "db.query("),
+]
+SPANNING_SQL = "forms(n, rule_id, line_no, code_snippet) AS (VALUES " + C.values(
+    [(n, *found) for n, found in enumerate(SPANNING_FOUND) if found]
+) + ")"
+
+
+@query("calls_over_lines", f"""WITH {SPANNING_SQL}
+SELECT 'src/doc_' || doc_id || '.ts' AS file_path, rule_id, CAST(line_no AS INTEGER) AS line_no, code_snippet
+FROM documents JOIN forms ON doc_id % {len(SPANNING)} = n""")
+def calls_over_lines(spark, sf_dir):
+    """Calls whose first argument stands below the line of the call."""
+    forms = F.array(*[F.lit(form) for form in SPANNING])
+    form = F.element_at(forms, (F.col("doc_id") % len(SPANNING) + 1).cast("int"))
+    files = C.documents(spark, sf_dir).select(
+        F.col("source").alias("repo"),
+        F.concat(F.lit("src/doc_"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("file_path"),
+        F.concat(F.replace(form, F.lit("@"), F.col("source")), F.lit("\n"), "text").alias("content"),
+    )
+    found = _security(files).where(F.col("rule_id").isin("J02", "J03", "J04", "J06"))
+    return found.select("file_path", "rule_id", "line_no", "code_snippet")

@@ -167,3 +167,21 @@ def test_catalogue_is_consistent(spark):
     stages = [r.stage for r in C.RULES]
     assert stages == sorted(stages)
     assert compiler.rules_table(spark).where(F.col("category") == "SECURITY").count() == 56
+
+
+def test_calls_over_lines(scan_text):
+    text = ("const r = await db.query(\r\n  'SELECT * FROM t WHERE id = ' + id,\r\n);\r\n"
+            "run(`a\n${b}`)\nchild.exec(`ping\n -c ${n}\n`, cb)\ndb.query(\n  `SELECT\n ${x}`)\nfetch(\n")
+    found = {(f.rule_id, f.line_no): f for f in scan_text(("a.ts", text)) if f.rule_id in ("J02", "J03")}
+    assert set(found) == {("J02", 1), ("J03", 6), ("J02", 9)}
+    assert found["J02", 1].node_type == "CallExpression (db.query) -> BinaryExpression (+) string concatenation"
+    assert found["J02", 9].node_type == "CallExpression (db.query) -> TemplateExpression (${...}) variable interpolation"
+    assert found["J03", 6].code_snippet == "child.exec(`ping"
+    # the shared rule sees the back tick on the line but names the same weakness
+    assert not any(f.rule_id == "C05" for f in scan_text(("a.ts", text)))
+
+
+def test_windows_line_ends(scan_text):
+    text = 'API_KEY = "abcdefgh1234567"\r\n# eval(x)\r\ncfg.x = eval(y)\r\n'
+    assert {(f.rule_id, f.line_no) for f in scan_text(("a.py", text))} == {("P07", 1), ("P05", 3)}
+    assert scan_text(("a.js", "el.innerHTML = 'static';\r\n"), quality=False, advisories=None)[0].rule_id == "J07"
