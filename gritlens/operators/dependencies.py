@@ -108,10 +108,11 @@ def npm_entries(content: Column) -> Column:
 
 def npm_dependencies(entries: Column) -> Column:
     """One row per package: first place, last version, range marks dropped."""
-    return let(entries, _npm_dependencies)  # the JSON is parsed once, not per entry
+    # Evaluated once each, not per entry; comparing entries only where names repeat.
+    return let(entries, lambda e: let(_merged(e), _npm_rows))
 
 
-def _npm_dependencies(entries: Column) -> Column:
+def _merged(entries: Column) -> Column:
     first = F.filter(
         entries,
         lambda e, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda p: p["package"] == e["package"]),
@@ -121,9 +122,15 @@ def _npm_dependencies(entries: Column) -> Column:
         same = F.filter(entries, lambda p: p["package"] == e["package"])
         return F.element_at(same, -1)["raw"]
 
-    paired = F.transform(first, lambda e: F.struct(e["package"].alias("package"), latest(e).alias("raw")))
+    names = F.array_distinct(F.transform(entries, lambda e: e["package"]))
+    return F.when(F.size(names) == F.size(entries), entries).otherwise(
+        F.transform(first, lambda e: F.struct(e["package"].alias("package"), latest(e).alias("raw")))
+    )
+
+
+def _npm_rows(merged: Column) -> Column:
     return F.transform(
-        paired,
+        merged,
         lambda e, i: F.struct(
             F.lit("npm").alias("ecosystem"),
             e["package"].alias("package"),

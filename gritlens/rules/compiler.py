@@ -81,7 +81,7 @@ def continuations(lines: Column) -> Column:
         odd = (F.length(below) - F.length(F.replace(below, F.lit("`"), F.lit("")))) % 2 == 1
         inside = X.extract(x["l"], OPEN_CALL, 1) != ""
         first = F.when(inside, x["i"]).when(odd, x["i"] + 1)
-        close = F.get(F.filter(tick, lambda t: t > first), F.lit(0))
+        close = F.get(tick, F.array_position(tick, first).cast("int"))  # the tick after it
         last = F.coalesce(close, x["i"] + 1)
         text = F.array_join(F.slice(all_lines, x["i"] + 2, last - x["i"]), "\n")
         return F.struct(x["i"].alias("pos"), text.alias("text"))
