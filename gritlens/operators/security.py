@@ -40,19 +40,26 @@ def _line_columns(anchored: bool) -> dict[str, Column]:
 
 
 def tested_lines(
-    files: DataFrame, keep: dict[str, Column], wanted: Column, anchored: bool = True
+    files: DataFrame, keep: dict[str, Column], wanted: Column, anchored: bool = True, joined: bool = True
 ) -> DataFrame:
-    """The wanted lines of files with everything the compiled rules read."""
+    """The wanted lines of files with everything the compiled rules read.
+
+    ``joined`` looks for calls that go on below their line.
+    """
     code = paths.is_js(F.col("file_path")) | paths.is_python(F.col("file_path"))
     conditions = compiler.file_conditions(F.col("content"), F.col("_low"))
+    continued = F.lit(None).cast("map<int,string>")
+    if joined:
+        continued = F.when(
+            paths.is_js(F.col("file_path")) & compiler.may_continue(F.col("content")),
+            let(X.split_lines(F.col("content")), compiler.continuations),
+        )
     flagged = files.withColumn("_low", F.when(code, F.lower("content"))).select(
         "scan_id", "repo", "file_path",
         paths.is_js(F.col("file_path")).alias("is_js"), paths.is_python(F.col("file_path")).alias("is_python"),
         *[F.coalesce(F.when(code, test), F.lit(False)).alias(name) for name, test in conditions.items()],
         *[value.alias(name) for name, value in keep.items()],
-        F.when(
-            paths.is_js(F.col("file_path")), let(X.split_lines(F.col("content")), compiler.continuations)
-        ).alias("_continued"),
+        continued.alias("_continued"),
         "content",
     )
     # Two steps: what stands next to a generator in one select runs per line. The
@@ -111,7 +118,7 @@ def scan_items(
     first = F.col("pos") == 0
     wanted = (compiler.anchor_filter() if anchored else F.lit(True)) if security else F.lit(False)
     carried = {"file_items": F.col("file_items"), "n_lines": line_count(F.col("content"))}
-    lines = tested_lines(staged, carried, first | wanted, anchored)
+    lines = tested_lines(staged, carried, first | wanted, anchored, joined=security)
 
     absent = F.lit(None).cast(FILE_ITEM)
     entry = "array<struct<rule_no:int,item:" + FILE_ITEM + ">>"

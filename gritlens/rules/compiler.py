@@ -58,39 +58,42 @@ def code_only(line: Column) -> Column:
     return F.regexp_replace(bare, X.java_pattern(TRAILING_COMMENT), "")
 
 
+def may_continue(content: Column) -> Column:
+    """Whether any call of a file can go on below its line."""
+    return X.contains_any(content, ("(\n", "(\r\n", "`"))
+
+
 def continuations(lines: Column) -> Column:
     """Where a call goes on below its line: map of position to the text that follows.
 
     The text is the next line, or all lines up to the end of a template literal.
     """
-    numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("l")))
+
+    def positions(test):
+        return F.array_compact(F.transform(lines, lambda line, i: F.when(test(line), i)))
 
     def has_tick(line):
         return F.contains(line, F.lit("`"))
 
-    def is_open(x):
-        cheap = F.endswith(x["l"], F.lit("(")) | F.endswith(x["l"], F.lit("(\r")) | has_tick(x["l"])
-        return cheap & X.matches(x["l"], OPEN_CALL)
-
-    def ticks(all_lines):
-        found = F.transform(all_lines, lambda line, i: F.when(has_tick(line), i))
-        return F.array_compact(found)
+    def is_open(line):
+        cheap = F.endswith(line, F.lit("(")) | F.endswith(line, F.lit("(\r")) | has_tick(line)
+        return cheap & X.matches(line, OPEN_CALL)
 
-    def following(x, all_lines, tick):
-        below = F.coalesce(F.get(all_lines, x["i"] + 1), F.lit(""))
+    def following(i, ticks):
+        below = F.coalesce(F.get(lines, i + 1), F.lit(""))
         odd = (F.length(below) - F.length(F.replace(below, F.lit("`"), F.lit("")))) % 2 == 1
-        inside = X.extract(x["l"], OPEN_CALL, 1) != ""
-        first = F.when(inside, x["i"]).when(odd, x["i"] + 1)
-        close = F.get(tick, F.array_position(tick, first).cast("int"))  # the tick after it
-        last = F.coalesce(close, x["i"] + 1)
-        text = F.array_join(F.slice(all_lines, x["i"] + 2, last - x["i"]), "\n")
-        return F.struct(x["i"].alias("pos"), text.alias("text"))
+        inside = X.extract(F.get(lines, i), OPEN_CALL, 1) != ""
+        first = F.when(inside, i).when(odd, i + 1)
+        close = F.get(ticks, F.array_position(ticks, first).cast("int"))  # the tick after it
+        last = F.coalesce(close, i + 1)
+        text = F.array_join(F.slice(lines, i + 2, last - i), "\n")
+        return F.struct(i.alias("pos"), text.alias("text"))
 
     def texts(opens):
-        return F.when(F.size(opens) > 0, let(ticks(lines), lambda tick: F.transform(
-            opens, lambda x: following(x, lines, tick))))
+        found = let(positions(has_tick), lambda ticks: F.transform(opens, lambda i: following(i, ticks)))
+        return F.when(F.size(opens) > 0, found)
 
-    return F.map_from_entries(let(F.filter(numbered, is_open), texts))
+    return F.map_from_entries(let(positions(is_open), texts))
 
 
 def leftmost_call(trimmed: Column) -> Column:
