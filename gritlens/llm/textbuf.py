@@ -8,6 +8,8 @@ the polynomial of a random value per byte, mixed at the end.
 
 from __future__ import annotations
 
+import sys
+import types
 from dataclasses import dataclass
 
 import numpy as np
@@ -193,3 +195,17 @@ def small_slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20):
             texts.data[low : texts.offsets[stop]], texts.offsets[at : stop + 1] - low
         )
         at = stop
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of single words, as ``Words.hashes`` gives them."""
+    texts = Texts.of(pa.array(words, pa.string()))
+    return run_hashes(texts.data, texts.offsets[:-1], texts.offsets[1:])
+
+
+def per_process(name: str, make):
+    """A value kept by a Python worker between its tasks."""
+    kept = sys.modules.setdefault("gritlens_worker", types.ModuleType("gritlens_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
