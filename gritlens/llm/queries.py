@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gritlens.llm import jaccard, packing, quality, secrets, toxicity, warc
+from gritlens.llm import jaccard, mixing, packing, quality, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,47 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_warc_chunks")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
+
+
+MIXING_SQL = """
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
+  FROM documents
+),
+sums AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place
+  FROM sized GROUP BY source
+),
+weighed AS (
+  SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM sums
+),
+rounds(turn, level) AS (
+  SELECT 0, 1.5::DOUBLE * sum(source_size) / sum(weight) FROM weighed
+  UNION ALL
+  SELECT turn + 1, (
+    SELECT (1.5::DOUBLE * sum(source_size) - sum(CASE WHEN weight * r.level > 2 * source_size THEN 2 * source_size ELSE 0 END))
+           / sum(CASE WHEN weight * r.level > 2 * source_size THEN 0.0::DOUBLE ELSE weight END)
+    FROM weighed)
+  FROM rounds r WHERE turn < 40
+),
+targets AS (
+  SELECT source, source_size,
+         least(weight * (SELECT level FROM rounds WHERE turn = 40), CAST(2 * source_size AS DOUBLE)) AS target
+  FROM weighed
+),
+streams AS (
+  SELECT doc_id, source, size,
+         CAST(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS start
+  FROM sized
+)
+SELECT s.doc_id, s.size, t.source_size, t.target,
+       greatest(0, least(s.start + s.size, CAST(floor(t.target) AS BIGINT)) - s.start)
+       + greatest(0, least(s.start + s.size + t.source_size, CAST(floor(t.target) AS BIGINT)) - s.start - t.source_size) AS taken
+FROM streams s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+"""
+
+
+@query("op10_source_mixing", MIXING_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed_documents(table(spark, folder, "documents"))
