@@ -28,7 +28,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritlens.llm.graph import components, roots
@@ -76,7 +76,7 @@ def _describe(width: int, fragments: int):
         parts = [(i, p) for i, p in enumerate(np.split(values, cut)) if len(p)]
         k = len(parts)
         return pa.record_batch({
-            "doc_id": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "class": pa.nulls(k, pa.int64()),
+            "doc_id": pa.nulls(k, pa.int64()), "mark": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "class": pa.nulls(k, pa.int64()),
             "fragment": pa.array([i for i, _ in parts], pa.int32()),
             "counts": pa.array([_packed(p) for _, p in parts], pa.binary()),
         })
@@ -88,7 +88,7 @@ def _describe(width: int, fragments: int):
                 text, value, first, size, class_id = _sets(texts, width)
                 k = len(texts)
                 yield pa.record_batch({
-                    "doc_id": rows.column(0), "n": pa.array(size, pa.int64()), "class": pa.array(class_id),
+                    "doc_id": rows.column(0), "mark": rows.column(2), "n": pa.array(size, pa.int64()), "class": pa.array(class_id),
                     "fragment": pa.nulls(k, pa.int32()), "counts": pa.nulls(k, pa.binary()),
                 })
                 new = _unseen(class_id, size, seen)
@@ -103,7 +103,7 @@ def _describe(width: int, fragments: int):
     return run
 
 
-def _unseen(class_id: np.ndarray, size: np.ndarray, seen: set, most: int = 1 << 20) -> np.ndarray:
+def _unseen(class_id: np.ndarray, size: np.ndarray, seen: set, most: int = 1 << 18) -> np.ndarray:
     """Which texts have a set that this task has not met yet (it forgets after ``most``)."""
     if len(seen) > most:
         seen.clear()
@@ -468,16 +468,22 @@ def _compare(members: DataFrame, docs: DataFrame, described: DataFrame, width: i
     return links.union(stage.keep(compared(tiles), "rest-links"))
 
 
-def similarity_groups(docs: DataFrame, width: int = 5, threshold: str = "0.75", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``."""
+DESCRIBED = "doc_id bigint, mark bigint, n bigint, class bigint, fragment int, counts binary"
+
+
+def _mark() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _labelled(docs: DataFrame, width: int, threshold: str) -> DataFrame:
+    """(doc_id, mark, n_shingles, label) for each row: equal labels for what is connected."""
     share = Fraction(threshold)
     spark = docs.sparkSession
     stage = Stage(spark, "jaccard")
-    docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     fragments = max(8, -(-input_bytes(docs) // FRAGMENT_BYTES))
     described = stage.keep(
-        docs.mapInArrow(_describe(width, fragments), "doc_id bigint, n bigint, class bigint, fragment int, counts binary"),
-        "described",
+        docs.select("doc_id", "text", _mark()).mapInArrow(_describe(width, fragments), DESCRIBED), "described"
     )
     frequent = spark.sparkContext.broadcast(_frequent_set(described, stage))
     prefixes = docs.select("text").mapInArrow(
@@ -500,10 +506,15 @@ def similarity_groups(docs: DataFrame, width: int = 5, threshold: str = "0.75",
     members = stage.keep(members.join(several, "group", "left_semi"), "members")
     links = _compare(members, docs, described, width, share, stage)
     found = components(links, stage)
-    rows = described.filter("fragment is null").select("doc_id", "n", "class")
-    labelled = rows.join(found, rows["class"] == found["node"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("label")
+    rows = described.filter("fragment is null").select("doc_id", "mark", "n", "class")
+    return rows.join(found, rows["class"] == found["node"], "left").select(
+        "doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("label")
     )
+
+
+def similarity_groups(docs: DataFrame, width: int = 5, threshold: str = "0.75") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
+    labelled = _labelled(docs, width, threshold)
     names = labelled.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("name"))
     return labelled.join(names, "label", "left").select(
         "doc_id", "n_shingles",
@@ -511,6 +522,21 @@ def similarity_groups(docs: DataFrame, width: int = 5, threshold: str = "0.75",
     )
 
 
+def one_of_each_group(docs: DataFrame, width: int = 5, threshold: str = "0.75") -> DataFrame:
+    """The document with the smallest doc_id of each group, and every one without words."""
+    labelled = _labelled(docs, width, threshold)
+    first = F.min(F.struct("doc_id", "mark")).alias("first")
+    kept = labelled.filter("n_shingles > 0").groupBy("label").agg(first).select("first.*", F.lit(True).alias("_words")).union(
+        labelled.filter("n_shingles = 0").select("doc_id", "mark", F.lit(False)).distinct()
+    )
+    kept = kept.withColumnRenamed("doc_id", "_kept_id").withColumnRenamed("mark", "_kept_mark")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")) & (_mark() == F.col("_kept_mark"))
+    # equal rows of one document stay once
+    turn = F.row_number().over(Window.partitionBy("_kept_id", "_kept_mark").orderBy("_kept_id"))
+    found = docs.join(kept, same).withColumn("_turn", F.when(F.col("_words"), turn).otherwise(1)).filter("_turn = 1")
+    return found.select(*docs.columns)
+
+
 def _split_often(partial):
     """Rare rows (first) go to ``partial``; a frequent shingle becomes a node that its classes tie to."""
 

@@ -176,6 +176,13 @@ def _pieces(path: str, capacity: int, end_id: int):
     return run
 
 
+def public_vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file on this machine; the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gritlens.llm import jaccard, lattice, mixing, packing, pii, quality, secrets, toxicity, vptree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,16 +53,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similarity_groups(table(spark, folder, "documents"))
 
 
-def tokenizer_path() -> str:
-    """The vocabulary that the packing query is stated for."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
+    return packing.pack_documents(table(spark, folder, "documents"), packing.public_vocabulary("byte_bpe_50k.json"))
 
 
 @query("op7_quality_classifier")
@@ -121,3 +115,8 @@ FROM streams s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 @query("op10_source_mixing", MIXING_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, folder, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

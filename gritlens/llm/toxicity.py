@@ -229,3 +229,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
         "doc_id", F.coalesce(remainder("doc_id") == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The documents whose score is under the threshold, with all their columns."""
+    model = Model(docs, labels, fit_rows=fit_rows)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), whole)
+    return model.score(keyed).filter(F.col("score") < threshold).select("_row.*")
