@@ -32,13 +32,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritlens.llm.graph import components, roots
-from gritlens.llm.store import Stage, input_bytes, tasks_for
+from gritlens.llm.store import Stage, tasks_for
 from gritlens.llm.textbuf import mix, shingles, small_slices
 
 LIST = 32                   # a shingle of more documents than this is frequent
 FREQUENT_MOST = 1 << 22     # frequent shingles that are broadcast (4 bytes each); beyond it LIST doubles
 CHUNK = 256                 # documents compared with each other in one piece
-FRAGMENT_BYTES = 8 << 20    # input bytes whose shingles are counted in one fragment
+FRAGMENT_BYTES = 12 << 20   # bytes of text whose shingles are counted in one fragment
 COUNT_BATCH = 4 << 20       # shingles a task counts at once
 
 
@@ -481,7 +481,8 @@ def _labelled(docs: DataFrame, width: int, threshold: str) -> DataFrame:
     spark = docs.sparkSession
     stage = Stage(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    fragments = max(8, -(-input_bytes(docs) // FRAGMENT_BYTES))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    fragments = max(8, -(-size // FRAGMENT_BYTES))
     described = stage.keep(
         docs.select("doc_id", "text", _mark()).mapInArrow(_describe(width, fragments), DESCRIBED), "described"
     )

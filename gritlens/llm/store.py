@@ -29,11 +29,6 @@ class Stage:
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a table's size, without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def tasks_for(df: DataFrame) -> int:
     """Shuffle partitions set for the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
