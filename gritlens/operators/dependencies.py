@@ -13,7 +13,6 @@ from gritlens.functions import text as X
 from gritlens.functions import versions
 from gritlens.functions.lists import let
 from gritlens.operators.items import NO_ITEMS, item, no_items
-from gritlens.plans.skew import join_dimension
 
 
 @dataclass(frozen=True)
@@ -113,19 +112,26 @@ def npm_dependencies(entries: Column) -> Column:
 
 
 def _merged(entries: Column) -> Column:
-    first = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda p: p["package"] == e["package"]),
-    )
+    """The first place and the last text of each package, by sorting; linear where no name repeats."""
+    names = F.array_distinct(F.transform(entries, lambda e: e["package"]))
 
-    def latest(e):
-        same = F.filter(entries, lambda p: p["package"] == e["package"])
-        return F.element_at(same, -1)["raw"]
+    def runs(placed):
+        firsts = F.filter(placed, lambda e, i: (i == 0) | (F.get(placed, i - 1)["package"] != e["package"]))
+        lasts = F.filter(
+            placed, lambda e, i: (i == F.size(placed) - 1) | (F.get(placed, i + 1)["package"] != e["package"])
+        )
+        both = F.transform(
+            F.arrays_zip(firsts.alias("a"), lasts.alias("b")),
+            lambda z: F.struct(z["a"]["place"].alias("place"), z["a"]["package"].alias("package"), z["b"]["raw"].alias("raw")),
+        )
+        return F.transform(
+            F.array_sort(both), lambda e: F.struct(e["package"].alias("package"), e["raw"].alias("raw"))
+        )
 
-    names = F.array_distinct(F.transform(entries, lambda e: e["package"]))
-    return F.when(F.size(names) == F.size(entries), entries).otherwise(
-        F.transform(first, lambda e: F.struct(e["package"].alias("package"), latest(e).alias("raw")))
-    )
+    placed = F.array_sort(F.transform(
+        entries, lambda e, i: F.struct(e["package"].alias("package"), i.alias("place"), e["raw"].alias("raw"))
+    ))
+    return F.when(F.size(names) == F.size(entries), entries).otherwise(let(placed, runs))
 
 
 def _npm_rows(merged: Column) -> Column:
@@ -194,12 +200,12 @@ def _literal_advisories(advisories: list[Advisory], ecosystem: str) -> Column:
 
 
 def dependency_items(
-    path: Column, content: Column, advisories: list[Advisory] = ADVISORIES, collapse: bool = True
+    path: Column, content: Column, advisories: list[Advisory] = ADVISORIES
 ) -> Column:
     """Dependency findings of one file against a short list of advisories.
 
-    All npm findings sit on line 1 under one weakness, so a full scan keeps the
-    first of them only; a manifest audit passes ``collapse=False``.
+    All npm findings sit on line 1 under one weakness; the package tells them
+    apart, so a full scan reports each.
     """
 
     def found(deps, ecosystem):
@@ -214,8 +220,6 @@ def dependency_items(
             lambda m: m["adv"].isNotNull()
             & versions.less_than(m["dep"]["version"], m["adv"]["fixed_version"]),
         )
-        if collapse and ecosystem == "npm":
-            matched = F.slice(matched, F.lit(1), F.lit(1))
         rule_id = RULE_OF[ecosystem]
         return F.transform(matched, lambda m: _dependency_item(rule_id, m["dep"], m["adv"])).cast(NO_ITEMS)
 
@@ -243,20 +247,19 @@ def dependencies(files: DataFrame) -> DataFrame:
 def dependency_findings(files: DataFrame, advisories: DataFrame) -> DataFrame:
     """Every vulnerable dependency against an advisory table of any size.
 
-    An equi join on ecosystem and package, then the version test. The table is
-    broadcast while it is small; beyond that the dependencies on one package are
-    spread over tasks. One advisory per package is used, the smallest CVE.
+    An equi join on ecosystem and package, then the version test. One advisory
+    per package is used: the one with the smallest ``rank`` where the table has
+    that column, else the smallest CVE.
     """
+    first = F.struct("rank", "cve") if "rank" in advisories.columns else F.col("cve")
     table = advisories.groupBy("ecosystem", F.lower("package").alias("package_key")).agg(
-        F.min_by(F.struct(*[F.col(c) for c in advisories.columns]), F.col("cve")).alias("adv")
+        F.min_by(F.struct(*[F.col(c) for c in advisories.columns]), first).alias("adv")
     )
     declared = dependencies(files)
     deps = declared.withColumns(
         {"ecosystem": F.col("dep.ecosystem"), "package_key": F.lower("dep.package")}
     )
-    known = join_dimension(
-        deps, table, ["ecosystem", "package_key"], spread_by=["repo", "file_path"], how="inner"
-    )
+    known = deps.join(table, ["ecosystem", "package_key"])
     hit = known.where(versions.less_than(F.col("dep.version"), F.col("adv.fixed_version")))
     keep = [c for c in declared.columns if c != "dep"]
     found = [
@@ -284,7 +287,7 @@ def project_audit(files: DataFrame, advisories: DataFrame | None = None) -> Data
     )
     manifests = files.where(is_manifest(path))
     if advisories is None:
-        open_items = F.size(dependency_items(path, content, collapse=False))
+        open_items = F.size(dependency_items(path, content))
         sums = manifests.groupBy("repo").agg(
             F.sum(counted).cast("bigint").alias("declared"),
             F.sum(open_items).cast("bigint").alias("vulnerable_count"),

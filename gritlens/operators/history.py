@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritlens.plans.skew import is_small, join_dimension
 from gritlens.session import written
 
 SCAN_UPDATES = ["status", "scores", "severity_counts", "completed_at"]
@@ -60,8 +59,7 @@ def merge_table(
         table.join(incoming.select(key), key, "left_semi").select(partition)
         .union(incoming.select(partition)).distinct()
     )
-    days = F.broadcast(touched) if is_small(touched) else touched
-    current = table.join(days, partition, "left_semi").select(*table.columns)
+    current = table.join(touched, partition, "left_semi").select(*table.columns)
     merged = written(upsert(current, incoming, key, updates, arrived), "merge")
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         partition
@@ -125,24 +123,25 @@ def repository_rollup(scans: DataFrame) -> DataFrame:
 def repository_listing(repositories: DataFrame, scans: DataFrame) -> DataFrame:
     """Repositories with the scores of their scans, defaults where there are none.
 
-    The outer join is made of two parts: scans take up their repository, spread
-    over tasks however many one repository has; repositories without a scan are
-    added.
+    Repositories are the kept side; a repository with very many scans is split
+    by adaptive execution.
     """
-    named = scans.select(F.col("repo").alias("name"), "overall", "critical", "scan_id")
-    scanned = join_dimension(named, repositories, ["name"], spread_by=["scan_id"], how="inner")
-    rest = repositories.join(named.select("name").distinct(), "name", "left_anti")
-    both = scanned.drop("scan_id").unionByName(rest, allowMissingColumns=True)
-    return both.select(
+    named = scans.select(F.col("repo").alias("name"), "overall", "critical")
+    return repositories.join(named, "name", "left").select(
         *repositories.columns,
         F.coalesce("overall", F.lit(LISTING_SCORE)).alias("overall_score"),
         F.coalesce("critical", F.lit(LISTING_CRITICAL)).alias("critical_issues"),
     )
 
 
-def attach_remediation(findings: DataFrame, remediation: DataFrame) -> DataFrame:
-    """New remediation text by finding id; findings without one keep theirs."""
-    new = remediation.select("finding_id", F.col("remediation").alias("_new"))
+def attach_remediation(findings: DataFrame, remediation: DataFrame, arrived: str | None = None) -> DataFrame:
+    """New remediation text by finding id; findings without one keep theirs.
+
+    Of several texts for a finding the one with the largest ``arrived`` counts,
+    without such a column the last in order of text.
+    """
+    newest = F.max_by("remediation", F.col(arrived)) if arrived else F.max("remediation")
+    new = remediation.where(F.col("remediation").isNotNull()).groupBy("finding_id").agg(newest.alias("_new"))
     return (
         findings.join(new, "finding_id", "left")
         .withColumn("remediation", F.coalesce("_new", "remediation"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritlens.functions import paths
-from gritlens.plans.skew import join_dimension, running_totals
+from gritlens.plans.skew import running_totals
 
 
 def safe_files(files: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def common_roots(files: DataFrame) -> DataFrame:
 
 def strip_common_root(files: DataFrame) -> DataFrame:
     """Drop the shared top folder; only one row per repository is joined in."""
-    joined = join_dimension(files, common_roots(files), ["repo"], spread_by=["file_path"])
+    joined = files.join(common_roots(files), "repo", "left")
     inner = F.substring(F.col("file_path"), F.length("root") + 2, F.length("file_path"))
     return joined.withColumn(
         "file_path", F.when(F.col("root").isNotNull(), inner).otherwise(F.col("file_path"))
@@ -61,37 +61,32 @@ FETCH_LIMITS = Limits(files=45, file_size=400_000, unit="characters", size_first
 OLDER_FETCH_LIMITS = Limits(files=60, file_size=999_999, unit="characters", size_first=False)
 
 
-def within_limits(files: DataFrame, limits: Limits) -> DataFrame:
-    """The files of each repository that stay within ``limits``.
+def limit_marks(files: DataFrame, limits: Limits) -> DataFrame:
+    """Every file with its size, its place and running size in its repository, and whether it fits.
 
-    What the running limits keep is always the beginning in path order, so each
-    repository has one last path. The running sums see paths and sizes only;
-    contents are filtered against the last path and never sorted.
+    The running sums see paths and sizes only, never contents.
     """
     measure = F.octet_length("content") if limits.unit == "bytes" else F.length("content")
     size = measure.cast("bigint")
-    fits = F.lit(True) if limits.file_size is None else size <= limits.file_size
-    if limits.files is None and limits.total_size is None:
-        return files.where(fits)
-
-    sizes = files.select("repo", "file_path", size.alias("_size"), fits.alias("_fits"))
-    if limits.size_first:
-        sizes = sizes.where("_fits")
+    fits = F.lit(True) if limits.file_size is None else F.col("size") <= limits.file_size
+    sizes = files.select("repo", "file_path", size.alias("size")).withColumn("_fits", fits)
+    counted = F.col("_fits") if limits.size_first else F.lit(True)
     running = running_totals(
         sizes, ["repo"], ["file_path"],
-        {"_files": F.lit(1), "_total": F.when(F.col("_fits"), F.col("_size")).otherwise(0)},
+        {"n_files": counted.cast("int"), "total": F.when(F.col("_fits"), F.col("size")).otherwise(0)},
     )
-    kept = F.lit(True)
+    kept = F.col("_fits")
     if limits.files is not None:
-        kept = kept & (F.col("_files") <= limits.files)
+        kept = kept & (F.col("n_files") <= limits.files)
     if limits.total_size is not None:
-        kept = kept & (F.col("_total") <= limits.total_size)
-    last = running.where(kept).groupBy("repo").agg(F.max("file_path").alias("_last_path"))
-    return (
-        join_dimension(files.where(fits), last, ["repo"], spread_by=["file_path"], how="inner")
-        .where(F.col("file_path") <= F.col("_last_path"))
-        .select(*files.columns)
-    )
+        kept = kept & (F.col("total") <= limits.total_size)
+    return running.select("repo", "file_path", "size", "n_files", "total", kept.alias("fits"))
+
+
+def within_limits(files: DataFrame, limits: Limits) -> DataFrame:
+    """The files of each repository that stay within ``limits``, for who asks to leave the others out."""
+    fitting = limit_marks(files, limits).where("fits").select("repo", "file_path")
+    return files.join(fitting, ["repo", "file_path"], "left_semi").select(*files.columns)
 
 
 def prepare_archive(files: DataFrame, limits: Limits | None = None) -> DataFrame:

@@ -203,20 +203,20 @@ def node_values(rule_id: Column) -> dict[str, Column]:
 
 
 def snippets(rule_id: Column) -> Column:
-    """The code a finding shows: node text, redacted value or trimmed line."""
-    line, trimmed = F.col("line"), F.col("trimmed")
+    """The code a finding shows: whole node text, redacted value or trimmed line.
 
-    def cut_to(text, limit=120):
-        return F.substring(F.substring_index(X.trim(text), "\n", 1), 1, limit)
+    Who displays it may cut it; the table keeps it whole.
+    """
+    line, trimmed = F.col("line"), F.col("trimmed")
 
-    calls = {name: cut_to(_call_text(name, F.col("statement"))) for name in CALLS}
-    calls["J11"] = cut_to(_call_text("J11", line), 100)
+    calls = {name: X.trim(_call_text(name, F.col("statement"))) for name in CALLS}
+    calls["J11"] = X.trim(_call_text("J11", line))
     return F.coalesce(
         _by_rule(
             {
                 **calls,
-                "J07": cut_to(X.extract(line, MARKUP_ASSIGNMENT)),
-                "J08": cut_to(X.extract(line, JSX_ATTRIBUTE)),
+                "J07": X.trim(X.extract(line, MARKUP_ASSIGNMENT)),
+                "J08": X.trim(X.extract(line, JSX_ATTRIBUTE)),
                 "J09": F.concat(X.extract(line, AWS_DECLARED, 1), F.lit(' = "'),
                                 F.substring(X.extract(line, AWS_DECLARED, 2), 1, 8), F.lit('..."')),
                 "J10": F.concat(X.extract(line, CREDENTIAL_DECLARED, 1), F.lit(' = "'),

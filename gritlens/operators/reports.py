@@ -1,8 +1,9 @@
 """Reports: summary rows, Markdown and JSON documents.
 
-A document may be longer than one row or one task should hold. Findings are
-gathered in parts of bounded size; the parts of a scan, in order, are its
-document. A scan with few findings has one part.
+A document may be longer than one row or one task should hold. So a document is
+rows of text at any size: one in front of its findings, one for each finding and
+one behind them, numbered; in order they are the document. ``in_order`` sorts them
+for a writer, ``in_parts`` joins a stated number of findings to a row.
 """
 
 from __future__ import annotations
@@ -11,9 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritlens.operators.scoring import COUNT_NAMES, SCORE_NAMES, report_bands
-from gritlens.plans.skew import join_dimension, running_totals
+from gritlens.plans.skew import running_totals
 
-PART_SIZE = 2_000
 FINDING_ORDER = ["file_path", "line_no", "finding_id"]
 
 # The texts of the summary and of the Markdown document.
@@ -124,94 +124,75 @@ def finding_texts() -> Column:
     return _text(FINDING.split("{number}")[1], values)
 
 
-def in_parts(findings: DataFrame, order: list[str], part_size: int) -> DataFrame:
-    """Findings with the part of their scan's document they fall in.
+def numbered(findings: DataFrame, order: list[str] = FINDING_ORDER) -> DataFrame:
+    """Findings with their ``number`` in their scan, from 1; no scan is one task's."""
+    return running_totals(findings, ["scan_id"], order, {"number": F.lit(1)})
 
-    Only scans with more findings than a part holds need positions; they are
-    found by counting scan ids and go through running sums, the others through
-    nothing at all.
-    """
-    counts = findings.groupBy("scan_id").agg(F.count("*").alias("_n"))
-    large = counts.where(F.col("_n") > part_size).select("scan_id", F.lit(True).alias("_large"))
-    whole = F.lit(0).alias("part_no")
-    if large.isEmpty():
-        return findings.select("*", whole)
-    marked = join_dimension(findings, large, ["scan_id"], spread_by=order)
-    numbered = running_totals(
-        marked.where("_large").drop("_large"), ["scan_id"], order, {"_number": F.lit(1)}
+
+def document_rows(
+    heads: DataFrame, findings: DataFrame, value: Column, order: list[str], joiner: str, foot: str
+) -> DataFrame:
+    """(scan_id, number, text): ``heads`` (scan_id, header), the findings' texts, the foot."""
+    texts = numbered(findings, order).select("scan_id", "number", value.alias("text"))
+    joined = F.when(F.col("number") > 1, F.concat(F.lit(joiner), F.col("text"))).otherwise(F.col("text"))
+    many = findings.groupBy("scan_id").agg((F.count("*") + 1).alias("number"))
+    last = heads.select("scan_id").join(many, "scan_id", "left").select(
+        "scan_id", F.coalesce("number", F.lit(1)).cast("bigint").alias("number"), F.lit(foot).alias("text")
+    )
+    return (
+        heads.select("scan_id", F.lit(0).cast("bigint").alias("number"), F.col("header").alias("text"))
+        .unionByName(texts.withColumn("text", joined).withColumn("number", F.col("number").cast("bigint")))
+        .unionByName(last)
     )
-    part = F.floor((F.col("_number") - 1) / F.lit(part_size)).cast("int").alias("part_no")
-    small = marked.where(F.col("_large").isNull()).select(*findings.columns, whole)
-    return small.unionByName(numbered.select(*findings.columns, part))
 
 
-def gathered(
-    scans: DataFrame, findings: DataFrame, value: Column, order: list[str], part_size: int
-) -> DataFrame:
-    """Scans with ``part_no``, ``is_last`` and ``values`` of the findings in order.
+def in_order(rows: DataFrame) -> DataFrame:
+    """Document rows sorted for a writer, however long a document is."""
+    return rows.repartitionByRange("scan_id", "number").sortWithinPartitions("scan_id", "number")
+
+
+def in_parts(rows: DataFrame, part_size: int) -> DataFrame:
+    """(scan_id, part_no, text): rows of ``part_size`` findings each, which in order are the document.
 
-    The parts of a scan are joined by scan and part, so that no task gets more
-    than some parts of even the largest scan.
+    The row in front belongs to the first part, the one behind to the last.
     """
-    parts = in_parts(findings, order, part_size).groupBy("scan_id", "part_no").agg(
-        F.array_sort(F.collect_list(F.struct(*order, value.alias("value")))).alias("_rows")
-    )
-    counts = findings.groupBy("scan_id").agg(F.count("*").alias("_n"))
-    last = F.coalesce(F.floor((F.col("_n") - 1) / F.lit(part_size)).cast("int"), F.lit(0))
+    last = rows.groupBy("scan_id").agg(F.max("number").alias("_last"))
+    own = F.least(F.greatest(F.col("number"), F.lit(1)), F.greatest(F.col("_last") - 1, F.lit(1)))
+    part = F.floor((own - 1) / F.lit(part_size)).cast("int")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda r: r["text"]), "")
     return (
-        scans.join(counts, "scan_id", "left")
-        .withColumn("_last", last)
-        .withColumn("part_no", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-        .join(parts, ["scan_id", "part_no"], "left")
-        .select(
-            *scans.columns, "part_no", (F.col("part_no") == F.col("_last")).alias("is_last"),
-            F.transform("_rows", lambda r: r["value"]).alias("values"),
-        )
+        rows.join(last, "scan_id").withColumn("part_no", part)
+        .groupBy("scan_id", "part_no").agg(text.alias("text"))
     )
 
 
 def markdown_documents(
-    scans: DataFrame,
-    findings: DataFrame,
-    order: list[str] = FINDING_ORDER,
-    part_size: int = PART_SIZE,
-    title: str = TITLE,
+    scans: DataFrame, findings: DataFrame, order: list[str] = FINDING_ORDER, title: str = TITLE
 ) -> DataFrame:
-    """The Markdown report: scan_id, part_no, text."""
+    """The Markdown report as document rows."""
     heads = scans.select("scan_id", report_header(title).alias("header"))
-    parts = gathered(heads, findings, finding_texts(), order, part_size)
-    before = F.col("part_no").cast("bigint") * part_size + 1
     lead = F.lit(FINDING.split("{number}")[0])
-    numbered = F.transform(
-        "values", lambda text, i: F.concat(lead, (before + i).cast("string"), text)
-    )
-    return parts.select(
-        "scan_id",
-        "part_no",
-        F.concat(
-            F.when(F.col("part_no") == 0, F.col("header")).otherwise(F.lit("\n\n")),
-            F.coalesce(F.array_join(numbered, "\n\n"), F.lit("")),
-            F.when(F.col("is_last"), F.lit(FOOTER)).otherwise(F.lit("")),
-        ).alias("text"),
-    )
+    text = F.concat(lead, F.col("number").cast("string"), finding_texts())
+    return document_rows(heads, findings, text, order, "\n\n", FOOTER)
 
 
-def nested_scans(
-    scans: DataFrame, findings: DataFrame, order: list[str] = FINDING_ORDER, part_size: int = PART_SIZE
-) -> DataFrame:
-    """Scans with an ordered array of findings, in parts of bounded size."""
-    fields = F.struct(*[c for c in findings.columns if c != "scan_id"])
-    parts = gathered(scans, findings, fields, order, part_size)
-    return parts.select(*scans.columns, "part_no", F.col("values").alias("findings"))
+def nested_scans(scans: DataFrame, findings: DataFrame, order: list[str] = FINDING_ORDER) -> DataFrame:
+    """Every scan with its findings below it: a row per finding, in order by ``number``.
 
+    A scan without findings has one row with number 0 and no finding.
+    """
+    fields = F.struct(*[c for c in findings.columns if c != "scan_id"]).alias("finding")
+    below = numbered(findings, order).select("scan_id", F.col("number").cast("bigint").alias("number"), fields)
+    return scans.join(below, "scan_id", "left").select(
+        *scans.columns, F.coalesce("number", F.lit(0).cast("bigint")).alias("number"), "finding"
+    )
 
-def json_documents(
-    scans: DataFrame,
-    findings: DataFrame,
-    order: list[str] = FINDING_ORDER,
-    part_size: int = PART_SIZE,
-) -> DataFrame:
-    """The whole scan with its findings nested, as JSON: scan_id, part_no, document."""
-    nested = nested_scans(scans, findings, order, part_size)
-    document = F.to_json(F.struct(*[c for c in nested.columns if c != "part_no"]))
-    return nested.select("scan_id", "part_no", document.alias("document"))
+
+def json_documents(scans: DataFrame, findings: DataFrame, order: list[str] = FINDING_ORDER) -> DataFrame:
+    """The whole scan with its findings nested, as JSON in document rows."""
+    written = {"ignoreNullFields": "false"}
+    scan = F.to_json(F.struct(*scans.columns), written)
+    head = F.concat(F.substring(scan, F.lit(1), F.length(scan) - 1), F.lit(',"findings":['))
+    heads = scans.select("scan_id", head.alias("header"))
+    finding = F.to_json(F.struct(*[c for c in findings.columns if c != "scan_id"]), written)
+    return document_rows(heads, findings, finding, order, ",", "]}")

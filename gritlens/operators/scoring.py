@@ -56,6 +56,12 @@ def penalties(findings: DataFrame, *by: str) -> DataFrame:
     return findings.groupBy(*by).agg(*penalty_aggregates())
 
 
+def for_all_scans(scans: DataFrame, sums: DataFrame) -> DataFrame:
+    """Sums by scan for every scan, zeros where there were no findings."""
+    joined = scans.select("scan_id").join(sums, "scan_id", "left")
+    return joined.na.fill(0, [c for c in sums.columns if c != "scan_id"])
+
+
 def clamp(value: Column, floor: int) -> Column:
     return F.greatest(F.lit(floor), F.least(F.lit(100), value))
 
@@ -75,27 +81,41 @@ SCORE_NAMES = ["overall", *SCORED]
 COUNT_NAMES = [s.lower() for s in SEVERITIES]
 
 
-def scan_totals(items: DataFrame) -> DataFrame:
-    """One row per scan from ``scan_items``: files, lines, counts, scores.
+def _sums(items: DataFrame, *by: str) -> DataFrame:
+    """Files, lines, counts and penalties of ``scan_items``; combined before the shuffle.
 
-    The file rows carry the line counts, so clean repositories are present and
-    the contents are read once. The sums combine before the only shuffle.
+    The file rows carry the line counts, so clean files are present.
     """
-    sums = (
-        security.graded(items)
-        .groupBy("scan_id", "repo")
-        .agg(
-            F.count_if(F.col("rule_no") == security.FILE_ROW).cast("bigint").alias("total_files"),
-            F.sum("n_lines").cast("bigint").alias("total_lines"),
-            *severity_aggregates(),
-            *penalty_aggregates(),
-        )
+    return security.graded(items).groupBy(*by).agg(
+        F.count_if(F.col("rule_no") == security.FILE_ROW).cast("bigint").alias("total_files"),
+        F.sum("n_lines").cast("bigint").alias("total_lines"),
+        *severity_aggregates(),
+        *penalty_aggregates(),
     )
+
+
+def _scored(sums: DataFrame) -> DataFrame:
     return with_scores(sums).select(
         "scan_id", "repo", "total_files", "total_lines", *COUNT_NAMES, *SCORE_NAMES
     )
 
 
+def scan_totals(items: DataFrame) -> DataFrame:
+    """One row per scan from ``scan_items``: files, lines, counts, scores."""
+    return _scored(_sums(items, "scan_id", "repo"))
+
+
+def file_totals(items: DataFrame) -> DataFrame:
+    """One row per file with what it adds to the totals of its scan."""
+    return _sums(items, "scan_id", "repo", "file_path")
+
+
+def totals_of_files(files: DataFrame) -> DataFrame:
+    """Scan totals from ``file_totals`` of all files."""
+    added = ["total_files", "total_lines", *COUNT_NAMES, *[f"{name}_penalty" for name in SCORED]]
+    return _scored(files.groupBy("scan_id", "repo").agg(*[F.sum(c).cast("bigint").alias(c) for c in added]))
+
+
 def as_scans(totals: DataFrame, source_type: str = "TABLE") -> DataFrame:
     """Scan rows in the stored form: nested scores and counts, times, status."""
     now = F.current_timestamp()

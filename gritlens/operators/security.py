@@ -98,59 +98,49 @@ def scan_items(
     advisories: list[D.Advisory] | None = D.ADVISORIES,
     anchored: bool = True,
 ) -> DataFrame:
-    """All findings and one row per file, from one reading of the files.
+    """All findings and one row per file.
 
-    File-level findings (dependency, quality) ride on the file's first line;
-    line rules run on the lines that pass the anchor test. ``advisories=None``
-    leaves the dependency rules to a join with a table.
+    Two branches over the files: what is worked out for a file as a whole, and
+    the rules of single lines. No line carries anything of its file but its
+    names, so a file with findings on every line costs as much as its lines.
+    ``advisories=None`` leaves the dependency rules to a join with a table.
     """
     staged = with_scan_id(files)
-    if quality:
-        staged = with_quality_items(staged)
-    else:
-        staged = staged.withColumn("quality_items", no_items())
-    if security and advisories:
-        sca = D.dependency_items(F.col("file_path"), F.col("content"), advisories)
-    else:
-        sca = no_items()
-    staged = staged.withColumn("file_items", F.concat(sca, F.col("quality_items")))
-
-    first = F.col("pos") == 0
-    wanted = (compiler.anchor_filter() if anchored else F.lit(True)) if security else F.lit(False)
-    carried = {"file_items": F.col("file_items"), "n_lines": line_count(F.col("content"))}
-    lines = tested_lines(staged, carried, first | wanted, anchored, joined=security)
-
-    absent = F.lit(None).cast(FILE_ITEM)
-    entry = "array<struct<rule_no:int,item:" + FILE_ITEM + ">>"
-    nothing = F.expr(f"CAST(array() AS {entry})")
-
-    def entries(hits):
-        return F.transform(
-            hits, lambda h: F.struct(h.alias("rule_no"), absent.alias("item"))
-        ).cast(entry)
-
-    from_file = F.concat(
-        F.array(F.struct(F.lit(FILE_ROW).alias("rule_no"), absent.alias("item"))).cast(entry),
-        F.transform(
-            F.col("file_items"), lambda i: F.struct(i["rule_no"].alias("rule_no"), i.alias("item"))
-        ).cast(entry),
-    )
-    line_hits = compiler.kept_hits(anchored=anchored) if security else F.expr("CAST(array() AS array<int>)")
-    return (
-        lines.select(
-            "scan_id", "repo", "file_path", "pos", "line", "trimmed", "statement", "callee", "n_lines",
-            "file_items",
-            line_hits.alias("hits"),
-        )
-        .withColumn(
-            "entry",
-            F.explode(F.concat(F.when(first, from_file).otherwise(nothing), entries(F.col("hits")))),
-        )
+    of_files = _file_entries(staged, advisories if security else None, quality)
+    if not security:
+        return of_files
+    wanted = compiler.anchor_filter() if anchored else F.lit(True)
+    of_lines = (
+        tested_lines(staged, {}, wanted, anchored)
         .select(
             "scan_id", "repo", "file_path", "pos", "line", "trimmed", "statement", "callee",
-            F.when(F.col("entry.rule_no") == FILE_ROW, F.col("n_lines")).alias("n_lines"),
-            F.col("entry.rule_no").alias("rule_no"), F.col("entry.item").alias("item"),
+            F.explode(compiler.kept_hits(anchored=anchored)).alias("rule_no"),
         )
+        .withColumns({"n_lines": F.lit(None).cast("int"), "item": F.lit(None).cast(FILE_ITEM)})
+    )
+    return of_files.unionByName(of_lines)
+
+
+def _file_entries(files: DataFrame, advisories: list[D.Advisory] | None, quality: bool) -> DataFrame:
+    """The row of every file, and its findings as a whole (dependency, quality)."""
+    items = no_items()
+    if advisories:
+        items = D.dependency_items(F.col("file_path"), F.col("content"), advisories)
+    if quality:
+        files = with_quality_items(files)
+        items = F.concat(items, F.col("quality_items"))
+    entry = "struct<rule_no:int,item:" + FILE_ITEM + ">"
+    own = F.struct(F.lit(FILE_ROW).alias("rule_no"), F.lit(None).cast(FILE_ITEM).alias("item")).cast(entry)
+    found = F.transform(items, lambda i: F.struct(i["rule_no"].alias("rule_no"), i.alias("item")).cast(entry))
+    text = F.lit(None).cast("string")
+    return files.select(
+        "scan_id", "repo", "file_path", line_count(F.col("content")).alias("n_lines"),
+        F.explode(F.concat(F.array(own), found)).alias("entry"),
+    ).select(
+        "scan_id", "repo", "file_path", F.lit(0).alias("pos"),
+        *[text.alias(name) for name in ("line", "trimmed", "statement", "callee")],
+        F.when(F.col("entry.rule_no") == FILE_ROW, F.col("n_lines")).alias("n_lines"),
+        F.col("entry.rule_no").alias("rule_no"), F.col("entry.item").alias("item"),
     )
 
 

@@ -1,4 +1,8 @@
-"""Joins and running sums that hold when one key has most of the rows."""
+"""Running sums that hold when one key has most of the rows.
+
+Joins need nothing of the kind: adaptive execution measures both sides, sends the
+small one to every task and splits the partitions of hot keys.
+"""
 
 from __future__ import annotations
 
@@ -7,33 +11,6 @@ from pyspark.sql import functions as F
 
 from gritlens.session import written
 
-BROADCAST_ROWS = 100_000
-SALTS = 32
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``rows`` rows; stops counting beyond."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def join_dimension(
-    left: DataFrame, dimension: DataFrame, on: list[str], spread_by: list[str], how: str = "left"
-) -> DataFrame:
-    """Join a large table to one row per key.
-
-    A small dimension is broadcast after its rows were counted. A larger one is
-    shuffled, with the left rows of each key spread over ``SALTS`` tasks by the
-    ``spread_by`` columns and the dimension row repeated for each of them.
-    """
-    if is_small(dimension):
-        return left.join(F.broadcast(dimension), on, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
-    repeated = dimension.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-    )
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
-
-
 def running_totals(
     df: DataFrame,
     group: list[str],

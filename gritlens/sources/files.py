@@ -14,14 +14,14 @@ SNIPPET_REPO = "ad-hoc-snippet"
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Spread a table stored in fewer files than there are cores.
+    """Spread a table that the scan cuts into fewer parts than there are cores.
 
-    A large table has many files and is left alone: no shuffle of contents.
+    The parts follow ``spark.sql.files.maxPartitionBytes``, so a large table has
+    many, in few files or in many, and is left alone: no shuffle of contents.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *by)
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if parts >= cores else df.repartition(cores, *by)
 
 
 def describe(files: DataFrame) -> DataFrame:

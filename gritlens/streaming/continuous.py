@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gritlens.operators import history, scoring, security
+from gritlens.operators import scoring, security
 from gritlens.session import written
 
 
-def start_findings(files: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+def start_findings(
+    files: DataFrame, out: str, checkpoint: str, quality: bool = True, **trigger
+) -> StreamingQuery:
     """Append the findings of arriving files to a table. Keeps no state."""
     trigger = trigger or {"availableNow": True}
     return (
-        security.findings(files)
+        security.findings(files, quality=quality)
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
@@ -24,39 +26,25 @@ def start_findings(files: DataFrame, out: str, checkpoint: str, **trigger) -> St
     )
 
 
-def start_history(
-    files: DataFrame, scans_path: str, findings_path: str, checkpoint: str, **trigger
-) -> StreamingQuery:
-    """Keep scans (upsert) and findings (insert once) up to date per micro-batch.
+def start_history(files: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep what is known of every file of every scan, micro-batch by micro-batch.
 
-    A batch holds whole scans. Both writes are idempotent by key, so a batch
-    that is run again after a failure changes nothing.
+    Two logs below ``path`` grow by one folder per batch: ``files`` with the sums
+    of each file (lines, severity counts, penalties) and ``findings``. Nothing that
+    was stored before is read. A batch that is run again replaces its own folder,
+    so it changes nothing; a file that arrives again in a later batch takes the
+    place of its earlier rows, findings too. ``stored_scans`` and
+    ``stored_findings`` read the state. A scan's files may come in any batches.
     """
     trigger = trigger or {"availableNow": True}
 
     def store(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        spark = batch.sparkSession
         items = written(security.scan_items(batch), "scan-items")
-        scans = scoring.as_scans(scoring.scan_totals(items)).withColumn(
-            "scan_date", F.to_date("started_at")
-        )
-        found = security.as_findings(items).withColumn("batch_id", F.lit(batch_id))
-        if _exists(spark, scans_path):
-            history.merge_table(
-                scans_path, scans, "scan_id", history.SCAN_UPDATES, "completed_at", "scan_date"
-            )
-        else:
-            scans.write.partitionBy("scan_date").parquet(scans_path)
-        if _exists(spark, findings_path):
-            stored = spark.read.parquet(findings_path)
-            new = written(
-                history.insert_ignore(stored, found, "finding_id", "batch_id"), "new-findings"
-            )
-            new.write.mode("append").parquet(findings_path)
-        else:
-            found.write.parquet(findings_path)
+        found = security.as_findings(items)
+        scoring.file_totals(items).write.mode("overwrite").parquet(f"{path}/files/batch_id={batch_id}")
+        found.write.mode("overwrite").parquet(f"{path}/findings/batch_id={batch_id}")
 
     return (
         files.writeStream.foreachBatch(store)
@@ -66,6 +54,21 @@ def start_history(
     )
 
 
-def _exists(spark, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+def _latest_files(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of every file; of a key that came very often one row per task travels."""
+    log = spark.read.parquet(f"{path}/files")
+    rest = [c for c in log.columns if c not in ("scan_id", "file_path")]
+    newest = log.groupBy("scan_id", "file_path").agg(F.max_by(F.struct(*rest), "batch_id").alias("_row"))
+    return newest.select("scan_id", "file_path", "_row.*")
+
+
+def stored_scans(spark: SparkSession, path: str) -> DataFrame:
+    """Scan totals and scores over the newest state of their files."""
+    return scoring.totals_of_files(_latest_files(spark, path))
+
+
+def stored_findings(spark: SparkSession, path: str) -> DataFrame:
+    """The findings of the newest state of every file."""
+    found = spark.read.parquet(f"{path}/findings")
+    current = _latest_files(spark, path).select("scan_id", "file_path", "batch_id")
+    return found.join(current, ["scan_id", "file_path", "batch_id"], "left_semi").drop("batch_id")

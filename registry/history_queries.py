@@ -121,17 +121,16 @@ def repository_upsert(spark, sf_dir):
 
 @query("repository_listing", f"""WITH {C.SCANS_SQL}, {REPOSITORIES_SQL}
 SELECT repository_id, name, source, url, coalesce(s.overall, 85) AS overall_score, coalesce(s.critical, 0) AS critical_issues
-FROM repositories r LEFT JOIN scans s ON s.repo = r.name AND s.status = 'RUNNING'""")
+FROM repositories r LEFT JOIN scans s ON s.repo = r.name""")
 def repository_listing(spark, sf_dir):
-    running = C.scans(spark, sf_dir).where(F.col("status") == "RUNNING")
-    return history.repository_listing(_repositories(spark, sf_dir), running)
+    return history.repository_listing(_repositories(spark, sf_dir), C.scans(spark, sf_dir))
 
 
 @query("repository_files", f"""WITH {REPOSITORIES_SQL},
-files AS (SELECT 'repo-' || o_custkey AS repo FROM orders WHERE o_orderstatus = 'F')
+files AS (SELECT 'repo-' || o_custkey AS repo FROM orders)
 SELECT r.*, count(f.repo) AS file_count FROM repositories r LEFT JOIN files f ON f.repo = r.name GROUP BY ALL""")
 def repository_files(spark, sf_dir):
-    files = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F").select(
+    files = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("repo-"), F.col("o_custkey").cast("string")).alias("repo")
     )
     return history.sample_listing(_repositories(spark, sf_dir), files)
@@ -144,18 +143,14 @@ def top_findings(spark, sf_dir):
     return top.select("scan_id", "finding_id", "severity", "rank")
 
 
-@query("nested_scans", f"""WITH {C.SCANS_SQL}, {C.FINDINGS_SQL}, per_scan AS (
-  SELECT scan_id, count(*) AS n, string_agg(finding_id, ',' ORDER BY file_path, line_no, finding_id) AS ids FROM findings GROUP BY scan_id)
-SELECT scan_id, repo, overall, coalesce(n, 0) AS n_findings, coalesce(ids, '') AS finding_ids FROM scans LEFT JOIN per_scan USING (scan_id)""")
+@query("nested_scans", f"""WITH {C.SCANS_SQL}, {C.FINDINGS_SQL}, numbered AS (
+  SELECT scan_id, finding_id, row_number() OVER (PARTITION BY scan_id ORDER BY file_path, line_no, finding_id) AS number FROM findings)
+SELECT scan_id, repo, overall, coalesce(number, 0) AS number, finding_id FROM scans LEFT JOIN numbered USING (scan_id)""")
 def nested_scans(spark, sf_dir):
     nested = reports.nested_scans(
         C.scans(spark, sf_dir).select("scan_id", "repo", "overall"), C.stored_findings(spark, sf_dir)
     )
-    found = F.coalesce("findings.finding_id", F.array().cast("array<string>"))
-    return nested.select(
-        "scan_id", "repo", "overall", F.size(found).cast("bigint").alias("n_findings"),
-        F.array_join(found, ",").alias("finding_ids"),
-    )
+    return nested.select("scan_id", "repo", "overall", "number", F.col("finding.finding_id").alias("finding_id"))
 
 
 @query("attach_remediation", f"""WITH {C.FINDINGS_SQL}

@@ -109,22 +109,23 @@ def common_root(spark, sf_dir):
 
 @query("archive_limits", f"""WITH {C.ARCHIVE_SQL}, sized AS (
   SELECT *, octet_length(encode(content)) AS size FROM files),
-fit AS (SELECT *, row_number() OVER w AS n, sum(size) OVER w AS total FROM sized WHERE size <= 4000
+fit AS (SELECT repo, file_path, size, CAST(count(*) FILTER (size <= 4000) OVER w AS BIGINT) AS n_files,
+    CAST(coalesce(sum(size) FILTER (size <= 4000) OVER w, 0) AS BIGINT) AS total FROM sized
   WINDOW w AS (PARTITION BY repo ORDER BY file_path ROWS UNBOUNDED PRECEDING))
-SELECT repo, file_path, md5(content) AS digest FROM fit WHERE n <= 30 AND total <= 40000""")
+SELECT *, size <= 4000 AND n_files <= 30 AND total <= 40000 AS fits FROM fit""")
 def archive_limits(spark, sf_dir):
     limits = ingest.Limits(files=30, file_size=4000, total_size=40_000)
-    kept = ingest.within_limits(C.archive_files(spark, sf_dir), limits)
-    return kept.select("repo", "file_path", F.md5("content").alias("digest"))
+    return ingest.limit_marks(C.archive_files(spark, sf_dir), limits)
 
 
 @query("fetch_limits", f"""WITH {C.ARCHIVE_SQL}, ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY file_path) AS n FROM files)
-SELECT repo, file_path, md5(content) AS digest FROM ranked WHERE n <= 45 AND length(content) <= 5000""")
+  SELECT repo, file_path, length(content) AS size, row_number() OVER w AS n_files,
+    CAST(coalesce(sum(length(content)) FILTER (length(content) <= 5000) OVER w, 0) AS BIGINT) AS total FROM files
+  WINDOW w AS (PARTITION BY repo ORDER BY file_path ROWS UNBOUNDED PRECEDING))
+SELECT *, n_files <= 45 AND size <= 5000 AS fits FROM ranked""")
 def fetch_limits(spark, sf_dir):
     limits = ingest.Limits(files=ingest.FETCH_LIMITS.files, file_size=5000, unit="characters", size_first=False)
-    kept = ingest.within_limits(C.archive_files(spark, sf_dir), limits)
-    return kept.select("repo", "file_path", F.md5("content").alias("digest"))
+    return ingest.limit_marks(C.archive_files(spark, sf_dir), limits)
 
 
 SUFFIX_SQL = " OR ".join(f"ends_with(lower(file_path), {quoted(s)})" for s in P.FETCH_SUFFIXES)

@@ -52,50 +52,62 @@ FINDING_SQL = template_sql(R.FINDING, {
 })
 
 
-@query("markdown_report", f"""WITH {C.SCANS_SQL}, {C.FINDINGS_SQL},
-numbered AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY file_path, line_no, finding_id) AS number FROM findings),
-bodies AS (SELECT scan_id, string_agg({FINDING_SQL}, chr(10) || chr(10) ORDER BY number) AS body FROM numbered GROUP BY scan_id)
-SELECT scan_id, {HEADER_SQL} || coalesce(body, '') || {quoted(R.FOOTER)} AS text FROM scans LEFT JOIN bodies USING (scan_id)""")
+NUMBERED_SQL = "numbered AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY file_path, line_no, finding_id) AS number FROM findings)"
+ENDS_SQL = "ends AS (SELECT scan_id, count(f.finding_id) + 1 AS number FROM scans LEFT JOIN findings f USING (scan_id) GROUP BY scan_id)"
+
+
+@query("markdown_report", f"""WITH {C.SCANS_SQL}, {C.FINDINGS_SQL}, {NUMBERED_SQL}, {ENDS_SQL}
+SELECT scan_id, 0 AS number, {HEADER_SQL} AS text FROM scans
+UNION ALL SELECT scan_id, number, CASE WHEN number > 1 THEN chr(10) || chr(10) ELSE '' END || {FINDING_SQL} FROM numbered
+UNION ALL SELECT scan_id, number, {quoted(R.FOOTER)} FROM ends""")
 def markdown_report(spark, sf_dir):
-    documents = R.markdown_documents(C.scans(spark, sf_dir), C.stored_findings(spark, sf_dir))
-    return documents.select("scan_id", "text")
+    """The report of every scan: rows that in order are its document, at any length."""
+    return R.markdown_documents(C.scans(spark, sf_dir), C.stored_findings(spark, sf_dir))
 
 
-@query("markdown_report_in_parts", f"""WITH {C.SCANS_SQL}, {C.FINDINGS_SQL},
-numbered AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY file_path, line_no, finding_id) AS number FROM findings),
-parts AS (SELECT scan_id, CAST(floor((number - 1) / 2) AS INTEGER) AS part_no, string_agg({FINDING_SQL}, chr(10) || chr(10) ORDER BY number) AS body
+@query("markdown_report_in_parts", f"""WITH {C.SCANS_SQL}, {C.FINDINGS_SQL}, {NUMBERED_SQL},
+parts AS (SELECT scan_id, CAST(floor((number - 1) / 2) AS INTEGER) AS part_no,
+  string_agg(CASE WHEN number > 1 THEN chr(10) || chr(10) ELSE '' END || {FINDING_SQL}, '' ORDER BY number) AS body
   FROM numbered GROUP BY ALL),
 joined AS (SELECT *, coalesce(part_no, 0) AS p, max(coalesce(part_no, 0)) OVER (PARTITION BY scan_id) AS last FROM scans LEFT JOIN parts USING (scan_id))
-SELECT scan_id, p AS part_no, CASE WHEN p = 0 THEN {HEADER_SQL} ELSE chr(10) || chr(10) END || coalesce(body, '')
+SELECT scan_id, p AS part_no, CASE WHEN p = 0 THEN {HEADER_SQL} ELSE '' END || coalesce(body, '')
   || CASE WHEN p = last THEN {quoted(R.FOOTER)} ELSE '' END AS text FROM joined""")
 def markdown_report_in_parts(spark, sf_dir):
-    return R.markdown_documents(C.scans(spark, sf_dir), C.stored_findings(spark, sf_dir), part_size=2)
+    return R.in_parts(R.markdown_documents(C.scans(spark, sf_dir), C.stored_findings(spark, sf_dir)), 2)
 
 
-@query("json_report", f"""WITH {C.SCANS_SQL}, {C.FINDINGS_SQL}, per_scan AS (
-  SELECT scan_id, list({{'finding_id': finding_id, 'severity': severity, 'title': title, 'line_no': line_no}}
-    ORDER BY file_path, line_no, finding_id) AS findings FROM findings GROUP BY scan_id)
-SELECT scan_id, CAST(to_json({{'scan_id': scan_id, 'repo': repo, 'status': status, 'overall': overall, 'findings': findings}}) AS VARCHAR) AS document
-FROM scans JOIN per_scan USING (scan_id)""")
+@query("json_report", f"""WITH {C.SCANS_SQL}, {C.FINDINGS_SQL}, {NUMBERED_SQL}
+SELECT scan_id, repo, status, overall, coalesce(number, 0) AS number, finding_id, severity, title, line_no
+FROM scans LEFT JOIN numbered USING (scan_id)""")
 def json_report(spark, sf_dir):
-    found = C.stored_findings(spark, sf_dir)
+    """Scans with their findings below them, clean scans too, without JSON's text."""
     nested = R.nested_scans(
-        C.scans(spark, sf_dir).select("scan_id", "repo", "status", "overall"), found
-    ).where(F.col("findings").isNotNull())
-    brief = F.transform(
-        "findings",
-        lambda f: F.struct(f["finding_id"].alias("finding_id"), f["severity"].alias("severity"),
-                           f["title"].alias("title"), f["line_no"].alias("line_no")),
+        C.scans(spark, sf_dir).select("scan_id", "repo", "status", "overall"), C.stored_findings(spark, sf_dir)
     )
     return nested.select(
-        "scan_id", F.to_json(F.struct("scan_id", "repo", "status", "overall", brief.alias("findings"))).alias("document")
+        "scan_id", "repo", "status", "overall", "number",
+        *[F.col(f"finding.{name}").alias(name) for name in ("finding_id", "severity", "title", "line_no")],
     )
 
 
-@query("json_documents")
+def json_sql(columns: list[str]) -> str:
+    """The columns as a JSON object without its braces, null fields written out."""
+    parts = [f"'\"{c}\":' || coalesce(CAST(to_json({c}) AS VARCHAR), 'null')" for c in columns]
+    return " || ',' || ".join(parts)
+
+
+JSON_SCAN = ["scan_id", "user_id", "repo", "status", "overall", "security", "quality", "critical", "high", "total_files", "total_lines"]
+JSON_FINDING = ["finding_id", "severity", "category", "title", "cwe", "owasp", "file_path", "line_no", "code_snippet", "description", "recommendation"]
+
+
+@query("json_documents", f"""WITH {C.SCANS_SQL}, {C.FINDINGS_SQL}, {NUMBERED_SQL}, {ENDS_SQL}
+SELECT scan_id, 0 AS number, '{{' || {json_sql(JSON_SCAN)} || ',"findings":[' AS text FROM scans
+UNION ALL SELECT scan_id, number, CASE WHEN number > 1 THEN ',' ELSE '' END || '{{' || {json_sql(JSON_FINDING)} || '}}' FROM numbered
+UNION ALL SELECT scan_id, number, ']}}' FROM ends""")
 def json_documents(spark, sf_dir):
-    """The whole scan as JSON, every field (rows only: engines print NULL apart)."""
-    return R.json_documents(C.scans(spark, sf_dir), C.stored_findings(spark, sf_dir))
+    """The whole scan as JSON: rows that in order are its document."""
+    found = C.stored_findings(spark, sf_dir)
+    return R.json_documents(C.scans(spark, sf_dir).select(*JSON_SCAN), found.select("scan_id", *JSON_FINDING))
 
 
 def advice_sql(advice) -> str:

@@ -191,19 +191,19 @@ def _callee_sql(rule_id: str, text: str) -> str:
     return f"regexp_extract({text}, {quoted(f'{before}({name}){after}')}, 1)"
 
 
-def _call_sql(rule_id: str, limit: int = 120) -> str:
+def _call_sql(rule_id: str) -> str:
     before, name, _ = nodes.CALLS[rule_id]
     body = r"(?:\((?:[^()]+|\((?:[^()]+|\([^()]*\))*\))*\)|\(.*)"
-    return f"left(trim(regexp_extract(line, {quoted(f'{before}({name}' + chr(92) + f's*{body})')}, 1), {C.BLANKS}), {limit})"
+    return f"trim(regexp_extract(line, {quoted(f'{before}({name}' + chr(92) + f's*{body})')}, 1), {C.BLANKS})"
 
 
 _AWS, _CREDENTIAL = quoted(nodes.AWS_DECLARED), quoted(nodes.CREDENTIAL_DECLARED)
 _ASSIGN, _HASH = quoted(R.PYTHON_ASSIGN), quoted(nodes.HASH_NAME)
 SNIPPET_SQL = "CASE rule_id " + " ".join(
-    f"WHEN '{name}' THEN {_call_sql(name, 100 if name == 'J11' else 120)}" for name in nodes.CALLS
+    f"WHEN '{name}' THEN {_call_sql(name)}" for name in nodes.CALLS
 ) + f"""
-  WHEN 'J07' THEN left(trim(regexp_extract(line, {quoted(nodes.MARKUP_ASSIGNMENT)}, 1), {C.BLANKS}), 120)
-  WHEN 'J08' THEN left(regexp_extract(line, '(dangerouslySetInnerHTML\\s*=\\s*\\{{(?:[^{{}}]+|\\{{[^{{}}]*\\}})*\\}}?)', 1), 120)
+  WHEN 'J07' THEN trim(regexp_extract(line, {quoted(nodes.MARKUP_ASSIGNMENT)}, 1), {C.BLANKS})
+  WHEN 'J08' THEN regexp_extract(line, '(dangerouslySetInnerHTML\\s*=\\s*\\{{(?:[^{{}}]+|\\{{[^{{}}]*\\}})*\\}}?)', 1)
   WHEN 'J09' THEN regexp_extract(line, {_AWS}, 1) || ' = "' || left(regexp_extract(line, {_AWS}, 2), 8) || '..."'
   WHEN 'J10' THEN regexp_extract(line, {_CREDENTIAL}, 1) || ' = "' || left(regexp_extract(line, {_CREDENTIAL}, 2), 4) || '***"'
   WHEN 'P07' THEN regexp_extract(trimmed, {_ASSIGN}, 1) || ' = "***REDACTED***"'

@@ -19,23 +19,30 @@ PENALTY_SQL = ", ".join(
 )
 
 
-@query("findings_by_severity", f"""WITH {C.SEEDED_SQL}, {KEPT_SQL} SELECT repo, {COUNTS_SQL} FROM kept GROUP BY repo""")
+@query("findings_by_severity", f"""WITH {C.SEEDED_SQL}, {KEPT_SQL} SELECT repo, {COUNTS_SQL} FROM (SELECT DISTINCT repo FROM files) LEFT JOIN kept USING (repo) GROUP BY repo""")
 def findings_by_severity(spark, sf_dir):
-    """Flagship: from files to severity counts per repository."""
+    """Flagship: from files to severity counts per repository, clean ones included.
+
+    The row of each file has no severity: it counts nowhere and keeps its repository.
+    """
     items = security.scan_items(C.seeded_files(spark, sf_dir), quality=False, advisories=None)
-    return scoring.severity_counts(
-        security.graded(items.where(F.col("rule_no") != security.FILE_ROW)), "repo"
-    )
+    return scoring.severity_counts(security.graded(items), "repo")
 
 
-@query("penalty_sums", f"""WITH {C.FINDINGS_SQL} SELECT scan_id, {PENALTY_SQL} FROM findings GROUP BY scan_id""")
+@query("penalty_sums", f"""WITH {C.FINDINGS_SQL}, {C.SCANS_SQL}
+SELECT scan_id, {PENALTY_SQL} FROM (SELECT scan_id FROM scans) LEFT JOIN findings USING (scan_id) GROUP BY scan_id""")
 def penalty_sums(spark, sf_dir):
-    return scoring.penalties(C.stored_findings(spark, sf_dir), "scan_id")
+    """Penalties of every scan; one without findings has none."""
+    sums = scoring.penalties(C.stored_findings(spark, sf_dir), "scan_id")
+    return scoring.for_all_scans(C.scans(spark, sf_dir), sums)
 
 
-@query("stored_severity_counts", f"""WITH {C.FINDINGS_SQL} SELECT scan_id, {COUNTS_SQL} FROM findings GROUP BY scan_id""")
+@query("stored_severity_counts", f"""WITH {C.FINDINGS_SQL}, {C.SCANS_SQL}
+SELECT scan_id, {COUNTS_SQL} FROM (SELECT scan_id FROM scans) LEFT JOIN findings USING (scan_id) GROUP BY scan_id""")
 def stored_severity_counts(spark, sf_dir):
-    return scoring.severity_counts(C.stored_findings(spark, sf_dir), "scan_id")
+    """Counts of every scan; one without findings has five zeros."""
+    counts = scoring.severity_counts(C.stored_findings(spark, sf_dir), "scan_id")
+    return scoring.for_all_scans(C.scans(spark, sf_dir), counts)
 
 
 SCORES_SQL = """CAST(greatest(10, least(100, floor(CAST(s AS DOUBLE) * CAST(0.4 AS DOUBLE) + CAST(q AS DOUBLE) * CAST(0.3 AS DOUBLE)
@@ -51,12 +58,10 @@ SELECT scan_id, {SCORES_SQL} FROM c""")
 def scores_of_scans(spark, sf_dir):
     """Scores of stored scans; a scan without findings scores 100."""
     sums = scoring.penalties(C.stored_findings(spark, sf_dir), "scan_id")
-    joined = C.scans(spark, sf_dir).select("scan_id").join(sums, "scan_id", "left")
-    return scoring.with_scores(joined).select("scan_id", *scoring.SCORE_NAMES)
+    return scoring.with_scores(scoring.for_all_scans(C.scans(spark, sf_dir), sums)).select("scan_id", *scoring.SCORE_NAMES)
 
 
-@query("scan_totals", f"""WITH {C.SEEDED_SQL}, {KEPT_SQL},
-quality AS (SELECT repo, file_path, line_no, trimmed, line FROM tested WHERE trimmed <> '' AND NOT regexp_matches(trimmed, '^(//|#|/\\*|\\*)')),
+QUALITY_SQL = f"""quality AS (SELECT repo, file_path, line_no, trimmed, line FROM tested WHERE trimmed <> '' AND NOT regexp_matches(trimmed, '^(//|#|/\\*|\\*)')),
 debug AS (SELECT repo, 'LOW' AS severity, 'CODE_QUALITY' AS category FROM quality WHERE regexp_matches(line, '(console\\.log\\(|print\\("DEBUG|debugger;)')),
 caught AS (SELECT repo, 'MEDIUM' AS severity, 'CODE_QUALITY' AS category FROM quality
   WHERE regexp_matches(line, '(catch\\s*\\([^)]*\\)\\s*\\{{\\s*\\}}|except\\s*:\\s*pass)')
@@ -65,13 +70,17 @@ sparse AS (SELECT repo, 'LOW' AS severity, 'DOCUMENTATION' AS category FROM (
   SELECT repo, file_path, count(*) FILTER (regexp_matches(trimmed, '^(//|#|/\\*|\\*)')) AS comments,
     count(*) FILTER (trimmed <> '' AND NOT regexp_matches(trimmed, '^(//|#|/\\*|\\*)')) AS code FROM tested GROUP BY repo, file_path)
   WHERE code > 50 AND CAST(comments AS DOUBLE) / code < 0.05),
-everything AS (SELECT repo, severity, category FROM kept UNION ALL FROM debug UNION ALL FROM caught UNION ALL FROM sparse),
+everything AS (SELECT repo, severity, category FROM kept UNION ALL FROM debug UNION ALL FROM caught UNION ALL FROM sparse)"""
+TOTALS_SQL = f"""WITH {C.SEEDED_SQL}, {KEPT_SQL}, {QUALITY_SQL},
 p AS (SELECT repo, {COUNTS_SQL}, {PENALTY_SQL} FROM everything GROUP BY repo),
 v AS (SELECT repo, count(*) AS total_files, CAST(sum(len(string_split(content, chr(10)))) AS BIGINT) AS total_lines FROM files GROUP BY repo),
 c AS ({CLAMPED_SQL} FROM v LEFT JOIN p USING (repo))
-SELECT 'scan-' || repo AS scan_id, repo, total_files, total_lines, critical, high, medium, low, info, {SCORES_SQL} FROM c""")
+SELECT 'scan-' || repo AS scan_id, repo, total_files, total_lines, critical, high, medium, low, info, {SCORES_SQL} FROM c"""
+
+
+@query("scan_totals", TOTALS_SQL)
 def scan_totals(spark, sf_dir):
-    """The whole scan, security and quality, in one reading of the files."""
+    """The whole scan, security and quality."""
     return scoring.scan_totals(security.scan_items(C.seeded_files(spark, sf_dir)))
 
 

@@ -9,15 +9,17 @@ from gritlens.streaming import continuous
 from registry import corpora as C
 from registry.base import query, table
 from registry.rule_queries import KEPT_SQL
-from registry.score_queries import COUNTS_SQL
+from registry.score_queries import QUALITY_SQL, TOTALS_SQL
 
 FOUND_SQL = f"{C.SEEDED_SQL}, {KEPT_SQL}"
 
 
 def _arriving_files(spark, sf_dir):
-    """The seeded documents, read as a stream."""
-    schema = table(spark, sf_dir, "documents").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    """The seeded documents, read as a stream of two batches that cut through repositories."""
+    folder = scratch_path(spark, "arriving")
+    documents = table(spark, sf_dir, "documents")
+    documents.repartition(2, "doc_id").write.parquet(folder)
+    arriving = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     s = C.snippet_table(spark)
     return arriving.join(s, F.col("doc_id") % C.COUNT == F.col("i")).select(
         F.col("source").alias("repo"),
@@ -26,26 +28,31 @@ def _arriving_files(spark, sf_dir):
     )
 
 
-@query("stream_findings", f"""WITH {FOUND_SQL}
-SELECT repo, file_path, CAST(line_no AS INTEGER) AS line_no, rule_id, severity FROM kept""")
+@query("stream_findings", f"""WITH {C.SEEDED_SQL}, {KEPT_SQL}, {QUALITY_SQL}
+SELECT repo, severity, category, count(*) AS n FROM everything GROUP BY ALL""")
 def stream_findings(spark, sf_dir):
+    """All findings of the stream, of every category, by repository and severity."""
     out = scratch_path(spark, "stream-findings")
     continuous.start_findings(
         _arriving_files(spark, sf_dir), out, scratch_path(spark, "stream-state")
     ).awaitTermination()
-    found = spark.read.parquet(out).where(F.col("category") == "SECURITY")
-    return found.select("repo", "file_path", "line_no", "rule_id", "severity")
+    return spark.read.parquet(out).groupBy("repo", "severity", "category").agg(F.count("*").alias("n"))
 
 
-@query("stream_history", f"""WITH {FOUND_SQL}, v AS (SELECT repo, count(*) AS total_files FROM files GROUP BY repo),
-c AS (SELECT repo, {COUNTS_SQL} FROM kept GROUP BY repo)
-SELECT 'scan-' || repo AS scan_id, CAST(total_files AS INTEGER) AS total_files, CAST(coalesce(critical, 0) AS INTEGER) AS critical,
-  CAST(coalesce(high, 0) AS INTEGER) AS high FROM v LEFT JOIN c USING (repo)""")
-def stream_history(spark, sf_dir):
-    scans = scratch_path(spark, "stream-scans")
-    findings = scratch_path(spark, "stream-history-findings")
-    continuous.start_history(
-        _arriving_files(spark, sf_dir), scans, findings, scratch_path(spark, "stream-state")
+@query("stream_security_findings", f"""WITH {FOUND_SQL}
+SELECT repo, file_path, CAST(line_no AS INTEGER) AS line_no, rule_id, severity FROM kept""")
+def stream_security_findings(spark, sf_dir):
+    """The security findings of the stream one by one."""
+    out = scratch_path(spark, "stream-findings")
+    continuous.start_findings(
+        _arriving_files(spark, sf_dir), out, scratch_path(spark, "stream-state"), quality=False
     ).awaitTermination()
-    stored = spark.read.parquet(scans)
-    return stored.select("scan_id", "total_files", "severity_counts.critical", "severity_counts.high")
+    return spark.read.parquet(out).select("repo", "file_path", "line_no", "rule_id", "severity")
+
+
+@query("stream_history", TOTALS_SQL)
+def stream_history(spark, sf_dir):
+    """Totals and scores of scans whose files came in two batches; the same as over all files at once."""
+    path = scratch_path(spark, "stream-history")
+    continuous.start_history(_arriving_files(spark, sf_dir), path, scratch_path(spark, "stream-state")).awaitTermination()
+    return continuous.stored_scans(spark, path)

@@ -29,7 +29,7 @@ def manifest(**maps):
     return json.dumps(maps, indent=2)
 
 
-def test_audit_keeps_all_scan_keeps_one(spark, scan_text):
+def test_audit_and_scan_report_every_package(spark, scan_text):
     text = manifest(dependencies={"lodash": "4.17.15", "axios": "0.20.0"})
     assert [f.dependency_info.cve for f in scan_text(("package.json", text))] == ["CVE-2021-23337"]
     files = spark.createDataFrame([("r", "package.json", text)], "repo string, file_path string, content string")

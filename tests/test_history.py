@@ -1,3 +1,4 @@
+import json
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -33,6 +34,13 @@ def test_insert_ignore(spark):
     assert [tuple(r) for r in history.insert_ignore(old, new, "id", "seq").collect()] == [("b", 1, "first")]
 
 
+def test_newest_remediation_only(spark):
+    found = spark.createDataFrame([("a", "old"), ("b", "kept")], "finding_id string, remediation string")
+    new = spark.createDataFrame([("a", "z", 1), ("a", "b", 2), ("a", None, 3)], "finding_id string, remediation string, seq int")
+    assert {tuple(r) for r in history.attach_remediation(found, new, "seq").collect()} == {("a", "b"), ("b", "kept")}
+    assert {tuple(r) for r in history.attach_remediation(found, new).collect()} == {("a", "z"), ("b", "kept")}
+
+
 def test_search(spark):
     rows = [("1", "HIGH", "SECURITY", "Eval used", "a.js", "x", "d", None, None), ("2", "LOW", "SECURITY", "t", "EVAL.js", "x", "d", None, None),
             ("3", "HIGH", "CODE_QUALITY", "t", "b.js", "x", "d", None, "CVE-2021-1")]
@@ -72,12 +80,21 @@ def test_report_parts_make_one_document(spark):
     rows = [("s1", f"f{n:03d}", "HIGH", "SECURITY", f"T{n}", None, None, "a.js", n, "code", "d", "r") for n in range(57)]
     found = spark.createDataFrame(rows, "scan_id string, finding_id string, severity string, category string, title string, cwe string, owasp string,"
                                   "file_path string, line_no int, code_snippet string, description string, recommendation string")
-    whole = {r.scan_id: r.text for r in reports.markdown_documents(scan, found).collect()}
-    parts = reports.markdown_documents(scan, found, part_size=10).orderBy("scan_id", "part_no").collect()
+    rows = reports.markdown_documents(scan, found)
+    whole = {}
+    for r in reports.in_order(rows).collect():
+        whole[r.scan_id] = whole.get(r.scan_id, "") + r.text
+    parts = reports.in_parts(rows, 10).orderBy("scan_id", "part_no").collect()
     assert len([p for p in parts if p.scan_id == "s1"]) == 6
     assert "".join(p.text for p in parts if p.scan_id == "s1") == whole["s1"]
     assert "### Finding #57: [HIGH] T56" in whole["s1"] and "Fri, 01 Mar 2024 04:05:06 GMT" in whole["s1"]
     assert "MODERATE" in whole["s2"] and whole["s2"].endswith("*Generated automatically.*\n")
+    documents = {}
+    for r in reports.in_order(reports.json_documents(scan, found)).collect():
+        documents[r.scan_id] = documents.get(r.scan_id, "") + r.text
+    parsed = {key: json.loads(text) for key, text in documents.items()}
+    assert len(parsed["s1"]["findings"]) == 57 and parsed["s2"]["findings"] == [] and parsed["s1"]["overall"] == 70
+    assert reports.nested_scans(scan, found).where("scan_id = 's2' and number = 0 and finding is null").count() == 1
 
 
 def test_remediation_ladders(spark):
@@ -103,9 +120,10 @@ def test_remediation_ladders(spark):
 
 
 def test_sinks(spark, tmp_path):
-    found = spark.createDataFrame([("f", "HIGH"), ("g", "LOW")], "finding_id string, severity string")
+    found = spark.createDataFrame([("f", "HIGH", "s1"), ("g", "LOW", "s2")], "finding_id string, severity string, scan_id string")
     sinks.write_findings(found, str(tmp_path / "f"))
-    assert (tmp_path / "f" / "severity=HIGH").is_dir() and spark.read.parquet(str(tmp_path / "f")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "f")).count() == 2
+    assert [r.finding_id for r in sinks.read_findings_of(spark, str(tmp_path / "f"), "s2").collect()] == ["g"]
     sinks.write_json(found, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
     sinks.write_table(found, str(tmp_path / "t"))

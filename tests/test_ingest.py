@@ -110,14 +110,6 @@ def test_running_totals_cut_a_hot_group(spark):
     assert {(r.g, r.o): (r.n, r.total) for r in out} == expected
 
 
-def test_dimension_join_either_way(spark, monkeypatch):
-    left = spark.range(1000).select(F.when(F.col("id") < 700, F.lit(0)).otherwise(F.col("id")).alias("k"), "id")
-    dim = spark.range(0, 1000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("d"))
-    small = sorted(skew.join_dimension(left, dim, ["k"], ["id"]).collect(), key=lambda r: r.id)
-    monkeypatch.setattr(skew, "is_small", lambda *_: False)
-    assert sorted(skew.join_dimension(left, dim, ["k"], ["id"]).collect(), key=lambda r: r.id) == small
-
-
 def test_sources(spark, tmp_path):
     for path, text in {"r1/src/a.py": "x = 1\n", "r1/b c.js": "é", "r2/c.go": "package c"}.items():
         target = tmp_path / "tree" / path

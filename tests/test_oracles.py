@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+import registry
 from check_queries import compare, oracle_connection
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -15,7 +16,7 @@ def connection():
     return oracle_connection(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, connection, name):
     ok, message = compare(spark, connection, name, FOLDER)
     assert ok, message

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gritlens.operators import security
+from gritlens.operators import scoring, security
 from gritlens.rules import catalogue as C
 from gritlens.rules import compiler
 from registry.snippets import LINES, SNIPPETS
@@ -144,13 +144,13 @@ def test_long_lines_finish(scan_text):
     assert all(f.rule_id in {r.rule_id for r in C.RULES} for f in found)
 
 
-def test_one_reading_no_shuffle(spark, tmp_path):
+def test_no_shuffle(spark, tmp_path):
     files = files_of(spark, [("r", "a.js", "eval(x)")])
     files.write.parquet(str(tmp_path / "files"))
     stored = spark.read.parquet(str(tmp_path / "files"))
     plan = security.findings(stored)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
-    assert plan.count("FileScan") == 1
+    assert plan.count("FileScan") == 2  # whole files, and their lines
     assert "Python" not in plan
 
 
@@ -176,11 +176,21 @@ def test_calls_over_lines(scan_text):
     assert set(found) == {("J02", 1), ("J03", 6), ("J02", 9)}
     assert found["J02", 1].node_type == "CallExpression (db.query) -> BinaryExpression (+) string concatenation"
     assert found["J02", 9].node_type == "CallExpression (db.query) -> TemplateExpression (${...}) variable interpolation"
-    assert found["J03", 6].code_snippet == "child.exec(`ping"
+    assert found["J03", 6].code_snippet == "child.exec(`ping\n -c ${n}\n`, cb)"
     # the shared rule sees the back tick on the line but names the same weakness
     assert not any(f.rule_id == "C05" for f in scan_text(("a.ts", text)))
 
 
+def test_findings_on_every_line(spark):
+    """A file of 20,000 lines with a security and a quality finding on each."""
+    n = 20_000
+    files = files_of(spark, [("r", "a.js", "console.log(a); eval(x)\n" * n)])
+    row = scoring.scan_totals(security.scan_items(files)).first()
+    assert (row.high, row.low, row.total_files, row.total_lines) == (n, n + 1, 1, n + 1)
+    lines = security.scan_items(files).where(F.col("rule_no") != security.FILE_ROW)
+    assert lines.where("pos > 0 and item is not null").count() == 0
+
+
 def test_windows_line_ends(scan_text):
     text = 'API_KEY = "abcdefgh1234567"\r\n# eval(x)\r\ncfg.x = eval(y)\r\n'
     assert {(f.rule_id, f.line_no) for f in scan_text(("a.py", text))} == {("P07", 1), ("P05", 3)}

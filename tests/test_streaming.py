@@ -18,20 +18,33 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert got == expected and len(got) == 3
 
 
-def test_history_upserts_and_inserts_once(spark, tmp_path):
-    source, scans, found, state = (str(tmp_path / n) for n in ("in", "scans", "found", "state"))
-    spark.createDataFrame(FIRST, SCHEMA).write.parquet(source)
+def test_history_over_batches(spark, tmp_path):
+    """Files of a scan in two batches; a batch that runs again; a file that is sent again, mended."""
+    source, path, state = (str(tmp_path / n) for n in ("in", "history", "state"))
+    bad = "eval(x)\neval(y)\neval(z)"
 
-    def run():
+    def run(rows, state):
+        spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(source)
         stream = spark.readStream.schema(SCHEMA).parquet(source)
-        continuous.start_history(stream, scans, found, state).awaitTermination()
-
-    run()
-    first = {r.scan_id: r.started_at for r in spark.read.parquet(scans).collect()}
-    spark.createDataFrame(SECOND, SCHEMA).write.mode("append").parquet(source)
-    run()
-    stored = {r.scan_id: r for r in spark.read.parquet(scans).collect()}
-    assert set(stored) == {"scan-r1", "scan-r2", "scan-r3"}
-    assert stored["scan-r1"].started_at == first["scan-r1"] and stored["scan-r3"].severity_counts.high == 1
-    ids = [r.finding_id for r in spark.read.parquet(found).collect()]
-    assert len(ids) == len(set(ids)) == 2
+        continuous.start_history(stream, path, state).awaitTermination()
+
+    def scan():
+        rows = continuous.stored_scans(spark, path).collect()
+        return {r.scan_id: (r.security, r.high, r.total_files, r.total_lines) for r in rows}
+
+    run([("r1", "a.js", bad)], state)
+    run([("r1", "b.js", "ok()")], state)
+    assert scan() == {"scan-r1": (64, 3, 2, 4)}
+    batches = sorted(p.name for p in (tmp_path / "history" / "files").iterdir())
+    assert len(batches) == 2
+    # the last batch again, as after a failure before its commit
+    last = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for name in (last.name, f".{last.name}.crc"):
+        (last.parent / name).unlink(missing_ok=True)
+    stream = spark.readStream.schema(SCHEMA).parquet(source)
+    continuous.start_history(stream, path, state).awaitTermination()
+    assert scan() == {"scan-r1": (64, 3, 2, 4)}
+    assert continuous.stored_findings(spark, path).where("category = 'SECURITY'").count() == 3
+    run([("r1", "a.js", "eval(x)")], state)
+    assert scan() == {"scan-r1": (88, 1, 2, 2)}
+    assert continuous.stored_findings(spark, path).where("category = 'SECURITY'").count() == 1
