@@ -32,7 +32,7 @@ CALLS = {
     "J04": (r"(?i)", r"[\w$.]*createHash", r"""\s*\(\s*["']?(?:md5|sha1)["']?\s*(?:[,)]|$)"""),
     "J05": (r"(?:^|[^\w$.])", r"Math\.random", r"\s*\("),
     "J06": (r"(?i)", r"[\w$.]*(?:axios\.get|axios\.post|fetch|http\.get|https\.get)",
-            r"\s*\(\s*[^,]*(?:req\.query|req\.params|req\.body|url_param|user_url)"),
+            r"\s*\(\s*" + C.FIRST_ARGUMENT_TO + C.REQUEST_INPUT),
 }
 CALLS["J11"] = CALLS["J01"]
 
@@ -49,7 +49,7 @@ def _call_text(rule_id: str, line: Column) -> Column:
 
 HASH_NAME = r"""(?i)createHash\s*\(\s*["']?(md5|sha1)"""
 REQUEST_ARGUMENT = r"(?i)(?:axios\.get|axios\.post|fetch|http\.get|https\.get)\s*\(\s*([^,)]*)"
-SQL_CONCATENATED = r"""(?i)(?:query|execute|rawQuery|executeSql)\s*\(\s*(?:"[^"]*"|'[^']*'|[\w$.]+)\s*\+"""
+SQL_CONCATENATED = r"(?i)(?:query|execute|rawQuery|executeSql)\s*\(\s*" + C.CONCATENATED
 AWS_DECLARED = C.DECLARATION + r"""([\w$]+)(?:\s*:\s*[^=]+)?\s*=\s*["']([^"']*""" + C.AWS_KEY + r")"
 CREDENTIAL_DECLARED = (
     r"(?i)" + C.DECLARATION + r"([\w$]*(?:api_?key|secret_?key|auth_?token|jwt_?secret|db_?pass|password)[\w$]*)"
@@ -114,7 +114,7 @@ def call_sites(lines: DataFrame) -> DataFrame:
     )
     kind = (
         F.when(F.col("site.first") == "", F.lit("plain"))
-        .when(F.startswith("site.first", F.lit("`")), F.lit("template"))
+        .when(F.endswith("site.first", F.lit("${")), F.lit("template"))
         .otherwise(F.lit("concatenation"))
     )
     return (
@@ -186,7 +186,7 @@ def node_values(rule_id: Column) -> dict[str, Column]:
     return {
         "callee": F.coalesce(_by_rule(callee, rule_id), python_callee),
         "name": _by_rule(
-            {"J09": X.extract(line, AWS_DECLARED), "J10": X.extract(line, CREDENTIAL_DECLARED),
+            {"J09": X.extract(statement, AWS_DECLARED), "J10": X.extract(statement, CREDENTIAL_DECLARED),
              "P06": assigned, "P07": assigned},
             rule_id,
         ),
@@ -207,7 +207,7 @@ def snippets(rule_id: Column) -> Column:
 
     Who displays it may cut it; the table keeps it whole.
     """
-    line, trimmed = F.col("line"), F.col("trimmed")
+    line, trimmed, statement = F.col("line"), F.col("trimmed"), F.col("statement")
 
     calls = {name: X.trim(_call_text(name, F.col("statement"))) for name in CALLS}
     calls["J11"] = X.trim(_call_text("J11", line))
@@ -217,10 +217,10 @@ def snippets(rule_id: Column) -> Column:
                 **calls,
                 "J07": X.trim(X.extract(line, MARKUP_ASSIGNMENT)),
                 "J08": X.trim(X.extract(line, JSX_ATTRIBUTE)),
-                "J09": F.concat(X.extract(line, AWS_DECLARED, 1), F.lit(' = "'),
-                                F.substring(X.extract(line, AWS_DECLARED, 2), 1, 8), F.lit('..."')),
-                "J10": F.concat(X.extract(line, CREDENTIAL_DECLARED, 1), F.lit(' = "'),
-                                F.substring(X.extract(line, CREDENTIAL_DECLARED, 2), 1, 4), F.lit('***"')),
+                "J09": F.concat(X.extract(statement, AWS_DECLARED, 1), F.lit(' = "'),
+                                F.substring(X.extract(statement, AWS_DECLARED, 2), 1, 8), F.lit('..."')),
+                "J10": F.concat(X.extract(statement, CREDENTIAL_DECLARED, 1), F.lit(' = "'),
+                                F.substring(X.extract(statement, CREDENTIAL_DECLARED, 2), 1, 4), F.lit('***"')),
                 "P07": F.concat(X.extract(trimmed, C.PYTHON_ASSIGN), F.lit(' = "***REDACTED***"')),
             },
             rule_id,

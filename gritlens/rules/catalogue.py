@@ -86,8 +86,18 @@ NODE_SKIP = ("//", "/*", "*")
 AWS_KEY = r"AKIA[0-9A-Z]{16}"
 PYTHON_ASSIGN = r"^([a-zA-Z0-9_]+)\s*=\s*(.*)$"
 FORMATTED = r"f[\"'].*?\{.*?\}[\"']"
-FIRST_ARGUMENT_BUILT = r"""(?:(?:"[^"]*"|'[^']*'|[\w$.]+)\s*\+|`[^`]*\$\{)"""
-DECLARATION = r"(?:^|[^\w$])(?:const|let|var)\s+"
+# A string, a call's or an index's brackets (two deep), and what else an operand of + may hold.
+_STRING = r"""(?:"[^"\\]*(?:\\.[^"\\]*){0,99}"|'[^'\\]*(?:\\.[^'\\]*){0,99}'|`[^`\\]*(?:\\.[^`\\]*){0,99}`)"""
+_ROUND = r"\([^()]*(?:\([^()]*\)[^()]*){0,8}\)"
+_SQUARE = r"\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*){0,8}\]"
+_OPERAND = r"""[^,()\[\]{}"'`+=<>?:&|;]"""
+CONCATENATED = rf"(?:{_OPERAND}*(?:{_STRING}|{_ROUND}|{_SQUARE})){{0,8}}{_OPERAND}*\+(?:[^+=]|$)"
+FIRST_ARGUMENT_BUILT = rf"(?:{CONCATENATED}|`[^`]*\$\{{)"
+# The text of a first argument up to some word in it: no comma and no closing bracket of the call before the word.
+FIRST_ARGUMENT_TO = rf"[^,()]*(?:{_ROUND}[^,()]*){{0,8}}(?:\([^()]*){{0,3}}"
+REQUEST_INPUT = r"(?:req\.query|req\.params|req\.body|url_param|user_url)"
+# A declaration, up to any of its names.
+DECLARATION = r"(?:^|[^\w$])(?:const|let|var)\s+(?:[^;]*,\s*)?"
 JS_EVAL = r"(?:^|[^\w$.])(?:eval|Function|window\.eval)\s*\("
 
 
@@ -158,7 +168,7 @@ RULES: list[Rule] = [
              "AST Node: CallExpression ('{callee}') initiates outbound network requests using untrusted client input '{argument}' without allowlist validation.",
              "Validate target hosts against a strict server-side allowlist and restrict internal private IP ranges (RFC 1918).",
              subject="statement", anchors=("req.", "url_param", "user_url"),
-             every=(r"(?i)(?:axios\.get|axios\.post|fetch|http\.get|https\.get)\s*\(\s*[^,]*(req\.query|req\.params|req\.body|url_param|user_url)",)),
+             every=(r"(?i)(?:axios\.get|axios\.post|fetch|http\.get|https\.get)\s*\(\s*" + FIRST_ARGUMENT_TO + REQUEST_INPUT,)),
     _js_node("J07", "HIGH", "Cross-Site Scripting (DOM XSS via innerHTML) [AST Verified]", CWE_XSS_LONG, A03,
              "BinaryExpression (= to {target})",
              "AST Node: BinaryExpression assigns unescaped data directly to '{target}', exposing web users to script execution.",
@@ -175,13 +185,13 @@ RULES: list[Rule] = [
              "VariableDeclaration ({name})",
              "AST Node: VariableDeclaration ('{name}') contains a hardcoded AWS Access Key ID literal.",
              "Remove credential from source code and load via AWS IAM roles or environment variables.",
-             anchors=("akia",),
+             subject="statement", anchors=("akia",),
              every=(DECLARATION + r"""[\w$]+(?:\s*:\s*[^=]+)?\s*=\s*["'][^"']*""" + AWS_KEY,)),
     _js_node("J10", "HIGH", "Hardcoded Credential in Variable ({name}) [AST Verified]", CWE_CREDENTIALS, A07,
              "VariableDeclaration ({name})",
              "AST Node: VariableDeclaration ('{name}') assigns a sensitive plaintext string credential.",
              "Store sensitive credentials in environment variables or cloud secrets management (e.g. process.env).",
-             anchors=("key", "token", "secret", "pass"),
+             subject="statement", anchors=("key", "token", "secret", "pass"),
              every=(r"(?i)" + DECLARATION + r"[\w$]*(?:api_?key|secret_?key|auth_?token|jwt_?secret|db_?pass|password)[\w$]*"
                     r"""(?:\s*:\s*[^=]+)?\s*=\s*(?:"[^"]{10,}"|'[^']{10,}')""",),
              none=(AWS_KEY,)),

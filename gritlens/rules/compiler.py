@@ -29,10 +29,11 @@ LEFTMOST_CALL = r"(?<![a-zA-Z0-9_.])([a-zA-Z0-9_.]++)\s*\((.*)\)"
 STRING_LITERAL = r'''"[^"]*"|'[^']*\''''
 TRAILING_COMMENT = r"//.*"
 
-# A line that ends inside the first argument of a call some rule looks at.
+# A line that ends inside the first argument of a call some rule looks at, or
+# before the value of a declaration.
 OPEN_CALL = (
-    r"(?i)(?:query|execute|rawQuery|executeSql|exec|execSync|createHash|axios\.get|axios\.post|fetch"
-    r"|http\.get|https\.get)\s*\(\s*(`[^`]*)?$"
+    r"(?i)(?:(?:^|[^\w$])(?:const|let|var)\s[^;]*[^=!<>]=\s*$|(?:query|execute|rawQuery|executeSql|exec|execSync|createHash|axios\.get|axios\.post|fetch"
+    r"|http\.get|https\.get)\s*\(\s*(`[^`]*)?$)"
 )
 
 SCOPES = {"js": "is_js", "python": "is_python", "code": "(is_js OR is_python)"}
@@ -59,14 +60,15 @@ def code_only(line: Column) -> Column:
 
 
 def may_continue(content: Column) -> Column:
-    """Whether any call of a file can go on below its line."""
-    return X.contains_any(content, ("(\n", "(\r\n", "`"))
+    """Whether any call or declaration of a file can go on below its line."""
+    return X.contains_any(content, ("(\n", "(\r\n", "`", "=\n", "=\r\n", "= \n"))
 
 
 def continuations(lines: Column) -> Column:
-    """Where a call goes on below its line: map of position to the text that follows.
+    """Where a call or declaration goes on below its line: map of position to the text that follows.
 
-    The text is the next line, or all lines up to the end of a template literal.
+    The text is all lines up to the end of a template literal, else up to the next
+    line with a closing bracket or a semicolon; comment lines are left out.
     """
 
     def positions(test):
@@ -75,22 +77,36 @@ def continuations(lines: Column) -> Column:
     def has_tick(line):
         return F.contains(line, F.lit("`"))
 
+    def is_comment(line):
+        return X.starts_with_any(X.trim(line), C.NODE_SKIP)
+
     def is_open(line):
-        cheap = F.endswith(line, F.lit("(")) | F.endswith(line, F.lit("(\r")) | has_tick(line)
+        bare = F.rtrim(line)
+        cheap = F.endswith(bare, F.lit("(")) | F.endswith(bare, F.lit("(\r")) | F.endswith(bare, F.lit("=")) | (
+            F.endswith(bare, F.lit("=\r")) | has_tick(line)
+        )
         return cheap & X.matches(line, OPEN_CALL)
 
-    def following(i, ticks):
+    # One letter per line, so that the next end is found by a search in a text.
+    ends = F.array_join(F.transform(
+        lines, lambda line: F.when(X.contains_any(line, (")", ";")) & ~is_comment(line), "x").otherwise(".")
+    ), "")
+
+    def following(i, ticks, marks):
         below = F.coalesce(F.get(lines, i + 1), F.lit(""))
         odd = (F.length(below) - F.length(F.replace(below, F.lit("`"), F.lit("")))) % 2 == 1
         inside = X.extract(F.get(lines, i), OPEN_CALL, 1) != ""
         first = F.when(inside, i).when(odd, i + 1)
         close = F.get(ticks, F.array_position(ticks, first).cast("int"))  # the tick after it
-        last = F.coalesce(close, i + 1)
-        text = F.array_join(F.slice(lines, i + 2, last - i), "\n")
+        end = F.call_function("locate", F.lit("x"), marks, i + 2) - 1
+        last = F.coalesce(close, F.when(end > i, end), i + 1)
+        text = F.array_join(F.filter(F.slice(lines, i + 2, last - i), lambda line: ~is_comment(line)), "\n")
         return F.struct(i.alias("pos"), text.alias("text"))
 
     def texts(opens):
-        found = let(positions(has_tick), lambda ticks: F.transform(opens, lambda i: following(i, ticks)))
+        found = let(positions(has_tick), lambda ticks: let(
+            ends, lambda marks: F.transform(opens, lambda i: following(i, ticks, marks))
+        ))
         return F.when(F.size(opens) > 0, found)
 
     return F.map_from_entries(let(positions(is_open), texts))

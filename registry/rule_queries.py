@@ -157,7 +157,7 @@ sites AS (SELECT repo, file_path, line_no, unnest(regexp_extract_all(line, {SITE
     coalesce(unnest(regexp_extract_all(line, {SITE_SQL}, 2)), '') AS first,
     generate_subscripts(regexp_extract_all(line, {SITE_SQL}, 1), 1) - 1 AS site_no FROM js)
 SELECT repo, file_path, CAST(line_no AS INTEGER) AS line_no, CAST(site_no AS INTEGER) AS site_no, callee,
-  CASE WHEN first = '' THEN 'plain' WHEN left(first, 1) = '`' THEN 'template' ELSE 'concatenation' END AS first_argument
+  CASE WHEN first = '' THEN 'plain' WHEN ends_with(first, '${{') THEN 'template' ELSE 'concatenation' END AS first_argument
 FROM sites WHERE callee NOT IN ({", ".join(quoted(w) for w in nodes.NOT_CALLEES)})""")
 def call_sites(spark, sf_dir):
     return nodes.call_sites(lines.explode_lines(C.dense_files(spark, sf_dir)))
