@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gritlens.llm.store import Stage
 
 BATCH_EDGES = 1 << 20
+FEW_EDGES = 1 << 18  # that many (4 MB) are finished in one task
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -79,8 +80,9 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
 
     ``edges`` has two bigint columns. Each task first replaces its edges by stars
     of the components it sees, then large and small stars alternate until nothing
-    changes (O(log^2) rounds). A node in most edges costs one minimum, combined
-    before the shuffle, and a join that adaptive execution splits.
+    changes (O(log^2) rounds) or so few edges are left that one task ends it. A node
+    in most edges costs one minimum, combined before the shuffle, and a join that
+    adaptive execution splits.
     """
     a, b = edges.columns
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
@@ -88,7 +90,8 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     before = None
     while (digest := _digest(now)) != before:
         before = digest
-        if not digest[0]:
+        if digest[0] <= FEW_EDGES:
+            now = stage.keep(now.coalesce(1).mapInArrow(_contract, "u bigint, v bigint"), "components")
             break
         new = stage.keep(_small_star(_large_star(now)), "stars")
         stage.drop(now)

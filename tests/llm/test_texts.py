@@ -4,10 +4,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gritlens.llm import textbuf
+from gritlens.llm import graph, textbuf
 from gritlens.llm.graph import components, roots
 from gritlens.llm.store import Stage
 
@@ -81,7 +82,10 @@ def test_roots():
         assert all(found[x] == expected.get(x, x) for x in range(n))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components(spark, monkeypatch, few):
+    """By rounds of stars, and with the end in one task."""
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(-200, 200, (150, 2))] + [(i, i + 1) for i in range(1000, 1060)]
     frame = spark.createDataFrame(edges, "x bigint, y bigint").repartition(7)
