@@ -77,6 +77,12 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, key: str, arrived: s
     return first.join(existing.select(key), key, "left_anti").select(*columns)
 
 
+def replace_findings(existing: DataFrame, incoming: DataFrame, saved: DataFrame) -> DataFrame:
+    """Stored findings after the scans in ``saved`` were saved again: theirs give way to the incoming ones."""
+    kept = existing.join(saved.select("scan_id").distinct(), "scan_id", "left_anti")
+    return kept.select(*existing.columns).unionByName(incoming.select(*existing.columns))
+
+
 def newest_first(scans: DataFrame) -> DataFrame:
     return scans.orderBy(F.desc("started_at"), "scan_id")
 

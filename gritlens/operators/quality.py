@@ -8,6 +8,8 @@ most sixteen lines. All of it stays inside the file's row; nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from gritlens.functions.lists import empty_as_null, let
 from gritlens.operators.items import NO_ITEMS, item, no_items
 from gritlens.rules import catalogue as C
 
+RULES = ("Q01", "Q02", "Q03", "Q04", "Q05")
+
 COMMENT_LINE = r"^\s*(//|#|/\*|\*)"
 NOT_CODE = r"^\s*(//|#|/\*|\*|$)"
 FUNCTION_ANCHORS = ("function", "=>", "def")
@@ -90,10 +94,11 @@ def _too_complex(fn: Column, following: Column, code: Column) -> Column:
     return F.when(reached, let(window, finding))
 
 
-def function_items(code: Column, starts: Column) -> Column:
+def function_items(code: Column, starts: Column, rules: Collection[str] = RULES) -> Column:
     def per_function(fn, k):
         following = F.get(starts, k + 1)
-        return F.array(_too_long(fn, following), _too_complex(fn, following, code))
+        tests = {"Q01": lambda: _too_long(fn, following), "Q02": lambda: _too_complex(fn, following, code)}
+        return F.array(*[test() for name, test in tests.items() if name in rules])
 
     return F.array_compact(F.flatten(F.transform(starts, per_function)))
 
@@ -102,13 +107,14 @@ def empty_catch(line: Column) -> Column:
     return X.contains_any(line, CATCH_ANCHORS) & X.matches(line, C.EMPTY_CATCH)
 
 
-def statement_items(code: Column) -> Column:
+def catch_items(code: Column) -> Column:
     first_catch = F.slice(F.filter(code, lambda x: empty_catch(x["l"])), F.lit(1), F.lit(1))
+    return F.transform(first_catch, lambda x: item("Q03", x["n"], X.trim(x["l"]), {}))
+
+
+def debug_items(code: Column) -> Column:
     debug = F.filter(code, lambda x: X.contains_any(x["l"], C.DEBUG_TEXTS))
-    return F.concat(
-        F.transform(first_catch, lambda x: item("Q03", x["n"], X.trim(x["l"]), {})),
-        F.transform(debug, lambda x: item("Q04", x["n"], X.trim(x["l"]), {})),
-    )
+    return F.transform(debug, lambda x: item("Q04", x["n"], X.trim(x["l"]), {}))
 
 
 def density_item(lines: Column, code: Column) -> Column:
@@ -133,19 +139,26 @@ def density_item(lines: Column, code: Column) -> Column:
     return F.when(F.size(code) > C.MIN_CODE_LINES, let(comments, finding))
 
 
-def with_quality_items(files: DataFrame, content: str = "content", out: str = "quality_items") -> DataFrame:
-    """Add the array of a file's quality findings."""
+def with_quality_items(
+    files: DataFrame, content: str = "content", out: str = "quality_items", rules: Collection[str] = RULES
+) -> DataFrame:
+    """Add the array of a file's quality findings; only ``rules`` become part of the plan."""
     staged = (
         files.withColumn("_lines", X.split_lines(F.col(content)))
         .withColumn("_code", code_lines(F.col("_lines")))
         .withColumn("_starts", function_starts(F.col("_code")))
     )
-    found = F.concat(
-        F.when(F.size("_starts") > 0, function_items(F.col("_code"), F.col("_starts")))
-        .otherwise(no_items()),
-        statement_items(F.col("_code")),
-        F.array_compact(F.array(density_item(F.col("_lines"), F.col("_code")))),
-    ).cast(NO_ITEMS)
+    code, starts = F.col("_code"), F.col("_starts")
+    parts = []
+    if "Q01" in rules or "Q02" in rules:
+        parts.append(F.when(F.size(starts) > 0, function_items(code, starts, rules)).otherwise(no_items()))
+    if "Q03" in rules:
+        parts.append(catch_items(code))
+    if "Q04" in rules:
+        parts.append(debug_items(code))
+    if "Q05" in rules:
+        parts.append(F.array_compact(F.array(density_item(F.col("_lines"), code))))
+    found = F.concat(no_items(), *parts).cast(NO_ITEMS)
     return staged.withColumn(out, found).drop("_lines", "_code", "_starts")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from gritlens.operators import dependencies as D
 from gritlens.operators import nodes
 from gritlens.operators.items import no_items
 from gritlens.operators.lines import line_count
+from gritlens.operators.quality import RULES as QUALITY_RULES
 from gritlens.operators.quality import with_quality_items
 from gritlens.rules import catalogue as C
 from gritlens.rules import compiler
@@ -94,7 +97,7 @@ def rule_hits(files: DataFrame, anchored: bool = True) -> DataFrame:
 def scan_items(
     files: DataFrame,
     security: bool = True,
-    quality: bool = True,
+    quality: bool | Collection[str] = True,
     advisories: list[D.Advisory] | None = D.ADVISORIES,
     anchored: bool = True,
 ) -> DataFrame:
@@ -103,7 +106,8 @@ def scan_items(
     Two branches over the files: what is worked out for a file as a whole, and
     the rules of single lines. No line carries anything of its file but its
     names, so a file with findings on every line costs as much as its lines.
-    ``advisories=None`` leaves the dependency rules to a join with a table.
+    ``advisories=None`` leaves the dependency rules to a join with a table;
+    ``quality`` may name the quality rules wanted.
     """
     staged = with_scan_id(files)
     of_files = _file_entries(staged, advisories if security else None, quality)
@@ -121,13 +125,13 @@ def scan_items(
     return of_files.unionByName(of_lines)
 
 
-def _file_entries(files: DataFrame, advisories: list[D.Advisory] | None, quality: bool) -> DataFrame:
+def _file_entries(files: DataFrame, advisories: list[D.Advisory] | None, quality) -> DataFrame:
     """The row of every file, and its findings as a whole (dependency, quality)."""
     items = no_items()
     if advisories:
         items = D.dependency_items(F.col("file_path"), F.col("content"), advisories)
     if quality:
-        files = with_quality_items(files)
+        files = with_quality_items(files, rules=QUALITY_RULES if quality is True else quality)
         items = F.concat(items, F.col("quality_items"))
     entry = "struct<rule_no:int,item:" + FILE_ITEM + ">"
     own = F.struct(F.lit(FILE_ROW).alias("rule_no"), F.lit(None).cast(FILE_ITEM).alias("item")).cast(entry)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,11 +32,12 @@ def scratch_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
     Only a session that names none (a test on one machine) gets a folder of its
-    own, once.
+    own, once, which goes when Python ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="gritlens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

@@ -45,6 +45,19 @@ def finding_insert(spark, sf_dir):
     return history.insert_ignore(stored, incoming, "finding_id", "seq").select("finding_id", "scan_id", "severity")
 
 
+@query("findings_replaced", f"""WITH {C.FINDINGS_SQL},
+again AS (SELECT DISTINCT scan_id FROM findings WHERE line_no % 5 = 0)
+SELECT finding_id, scan_id, CASE WHEN scan_id IN (FROM again) THEN 'LATER' ELSE severity END AS severity FROM findings
+WHERE scan_id NOT IN (FROM again) OR line_no % 2 = 0""")
+def findings_replaced(spark, sf_dir):
+    """Scans saved again: their findings are replaced, not added to."""
+    found = C.stored_findings(spark, sf_dir).select("finding_id", "scan_id", "severity", "line_no")
+    saved = found.where(F.col("line_no") % 5 == 0).select("scan_id")
+    incoming = found.where(F.col("line_no") % 2 == 0).join(saved.distinct(), "scan_id", "left_semi")
+    replaced = history.replace_findings(found, incoming.withColumn("severity", F.lit("LATER")), saved)
+    return replaced.select("finding_id", "scan_id", "severity")
+
+
 @query("scan_history", f"WITH {C.SCANS_SQL} SELECT {BRIEF_SQL} FROM scans ORDER BY started_at DESC, scan_id")
 def scan_history(spark, sf_dir):
     return history.newest_first(C.scans(spark, sf_dir).select(*BRIEF))

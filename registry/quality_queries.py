@@ -26,7 +26,7 @@ g2 AS (SELECT g.*, name, lead(fs) OVER (PARTITION BY file_path ORDER BY fs) AS n
 
 
 def _of_rule(spark, sf_dir, rule_id):
-    found = security.findings(C.word_files(spark, sf_dir), security=False)
+    found = security.findings(C.word_files(spark, sf_dir), security=False, quality={rule_id})
     return found.where(F.col("rule_id") == rule_id)
 
 
