@@ -8,7 +8,8 @@ from gritlens.operators import lines, nodes, security
 from gritlens.rules import catalogue as R
 from gritlens.rules.compiler import LINE_RULES, STRING_LITERAL
 from registry import corpora as C
-from registry.base import query, quoted
+from registry.base import query, quoted, table
+from registry.snippets import CASES, LINES, LOOKED_FOR
 
 CODE_SQL = f"regexp_replace(regexp_replace(line, {quoted(STRING_LITERAL)}, '\"\"', 'g'), '//.*', '')"
 CALL_SQL = r"""CASE WHEN trimmed LIKE 'def %' THEN '' ELSE regexp_extract(trimmed, '([a-zA-Z0-9_.]+)\s*\((.*)\)', 1) END"""
@@ -102,6 +103,37 @@ def findings_after_dedup(spark, sf_dir):
     return found.select("repo", "file_path", "line_no", "rule_id", "severity")
 
 
+EXPECTED = [(n, line[:3], line[4] == "+") for n, line in enumerate(LINES) if not line.startswith("Q")]
+
+
+@query("rule_expectations", f"""WITH expected(i, rule_id, reported) AS (VALUES {C.values(EXPECTED)})
+SELECT doc_id, rule_id, reported FROM documents JOIN expected ON doc_id % {len(LINES)} = i""")
+def rule_expectations(spark, sf_dir):
+    """Whether a document's first line is reported by the rule it was written for; the answers are written by hand."""
+    hits = security.rule_hits(C.seeded_files(spark, sf_dir)).where(F.col("line_no") == 1)
+    own = C.documents(spark, sf_dir).join(C.snippet_table(spark), F.col("doc_id") % C.COUNT == F.col("i")).where(
+        ~F.startswith("rule", F.lit("Q"))
+    ).select("doc_id", F.col("rule").alias("rule_id"), F.col("doc_id").cast("string").alias("key"))
+    found = hits.select("rule_id", F.regexp_extract("file_path", "doc_([0-9]+)", 1).alias("key"), F.lit(True).alias("hit"))
+    return own.join(found, ["rule_id", "key"], "left").select("doc_id", "rule_id", F.coalesce("hit", F.lit(False)).alias("reported"))
+
+
+@query("argument_expectations", f"""WITH expected(i, rules) AS (VALUES {C.values([(n, ",".join(sorted(r))) for n, (_, r) in enumerate(CASES)])})
+SELECT doc_id, rules FROM documents JOIN expected ON doc_id % {len(CASES)} = i""")
+def argument_expectations(spark, sf_dir):
+    """Rules that look into calls and declarations, on code of one and more lines; the answers are written by hand."""
+    cases = F.broadcast(spark.createDataFrame([(n, code) for n, (code, _) in enumerate(CASES)], "i int, code string"))
+    files = table(spark, sf_dir, "documents").join(cases, F.col("doc_id") % len(CASES) == F.col("i")).select(
+        F.lit("r").alias("repo"), F.concat(F.col("doc_id").cast("string"), F.lit(".ts")).alias("file_path"),
+        F.concat("code", F.lit("\n;\n"), "text").alias("content"),
+    )
+    hits = security.rule_hits(files).where((F.col("line_no") == 1) & F.col("rule_id").isin(*LOOKED_FOR))
+    rules = hits.groupBy("file_path").agg(F.array_join(F.sort_array(F.collect_set("rule_id")), ",").alias("rules"))
+    return files.select("file_path").join(rules, "file_path", "left").select(
+        F.regexp_extract("file_path", "^[0-9]+", 0).cast("bigint").alias("doc_id"), F.coalesce("rules", F.lit("")).alias("rules")
+    )
+
+
 GUARDED_RULES = [r.rule_id for r in R.RULES if r.guard or r.instead]
 
 
