@@ -20,8 +20,8 @@ DECLARED_LITERAL = C.DECLARATION + r"""([\w$]+)(?:\s*:\s*[^=]+)?\s*=\s*(?:"([^"]
 ASSIGNED_MARKUP = r"(?i)([^\s;{}=]*(?:innerHTML|outerHTML))\s*=(?:[^=]|$)"
 JSX_MARKUP = r"(dangerouslySetInnerHTML)\s*="
 
-# A call up to its closing parenthesis, three levels deep, else the line's rest.
-CALL_BODY = r"(?:\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)|\(.*)"
+# A call up to its closing parenthesis, three levels deep, else the statement's rest.
+CALL_BODY = r"(?:\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)|\([\s\S]*)"
 
 # Per rule, the call in question: what may stand before the callee, the callee,
 # and what must follow it.

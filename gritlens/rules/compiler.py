@@ -98,8 +98,8 @@ def continuations(lines: Column) -> Column:
         inside = X.extract(F.get(lines, i), OPEN_CALL, 1) != ""
         first = F.when(inside, i).when(odd, i + 1)
         close = F.get(ticks, F.array_position(ticks, first).cast("int"))  # the tick after it
-        end = F.call_function("locate", F.lit("x"), marks, i + 2) - 1
-        last = F.coalesce(close, F.when(end > i, end), i + 1)
+        end = F.call_function("locate", F.lit("x"), marks, F.coalesce(close, i + 1) + 1) - 1
+        last = F.coalesce(F.when(end > i, end), close, i + 1)
         text = F.array_join(F.filter(F.slice(lines, i + 2, last - i), lambda line: ~is_comment(line)), "\n")
         return F.struct(i.alias("pos"), text.alias("text"))
 

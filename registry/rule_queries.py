@@ -263,10 +263,13 @@ SPANNING = [
     "execSync(`rm\n @`)", "crypto.createHash(\n  'MD5'\n)", "axios.get(\n  req.query.@,\n  opts)", "fetch(\n  url,\n  req.body)",
     "// db.query(\n  'a' + @)", "log(\n  db.query(\n    'a' + @))",
 ]
-# What the spanning calls report: (rule, line, snippet), none for the safe ones.
+# What the spanning calls report: (rule, line, the whole call), none for the safe ones.
 SPANNING_FOUND = [
-    ("J02", 1, "db.query("), ("J02", 1, "pool.query("), ("J02", 1, "db.query(`SELECT a"), None, ("J03", 1, "exec("), None,
-    ("J04", 1, "crypto.createHash("), ("J06", 1, "axios.get("), None, None, ("J02", 2, "db.query("),
+    ("J02", 1, 'db.query(\n  "SELECT * FROM @ WHERE id = " + id,\n  cb)'),
+    ("J02", 1, "pool.query(\n  `SELECT *\n   FROM @\n   WHERE id = ${id}`\n)"),
+    ("J02", 1, "db.query(`SELECT a\n  FROM @\n  WHERE b = ${b}`)"), None, ("J03", 1, "exec(\n  'ping ' + @\n)"), None,
+    ("J04", 1, "crypto.createHash(\n  'MD5'\n)"), ("J06", 1, "axios.get(\n  req.query.@,\n  opts)"), None, None,
+    ("J02", 2, "db.query(\n    'a' + @)"),
 ]
 SPANNING_SQL = "forms(n, rule_id, line_no, code_snippet) AS (VALUES " + C.values(
     [(n, *found) for n, found in enumerate(SPANNING_FOUND) if found]
@@ -274,7 +277,7 @@ SPANNING_SQL = "forms(n, rule_id, line_no, code_snippet) AS (VALUES " + C.values
 
 
 @query("calls_over_lines", f"""WITH {SPANNING_SQL}
-SELECT 'src/doc_' || doc_id || '.ts' AS file_path, rule_id, CAST(line_no AS INTEGER) AS line_no, code_snippet
+SELECT 'src/doc_' || doc_id || '.ts' AS file_path, rule_id, CAST(line_no AS INTEGER) AS line_no, replace(code_snippet, '@', source) AS code_snippet
 FROM documents JOIN forms ON doc_id % {len(SPANNING)} = n""")
 def calls_over_lines(spark, sf_dir):
     """Calls whose first argument stands below the line of the call."""
