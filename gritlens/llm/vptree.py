@@ -83,11 +83,11 @@ class Tree:
         node = self.nodes[number]
         low, high = node[:2]
         if len(node) == 2:
-            asked.meet(some, np.einsum("ij,kj->ik", asked.unit[some], self._unit[low:high]), ids[low:high], (self, low))
+            asked.meet(some, np.einsum("ij,kj->ik", asked.unit[some], self._unit[low:high]), ids[low:high])
             return
         _, _, inner, outer, (a, b, c, d) = node
         cosine = np.einsum("ij,kj->ik", asked.unit[some], self._unit[low : low + 1])
-        asked.meet(some, cosine, ids[low : low + 1], (self, low))
+        asked.meet(some, cosine, ids[low : low + 1])
         angle = np.arccos(np.clip(cosine[:, 0], -1, 1))
         halves = [(inner, np.maximum(np.maximum(a - angle, angle - b), 0)), (outer, np.maximum(np.maximum(c - angle, angle - d), 0))]
         if np.mean(halves[0][1]) > np.mean(halves[1][1]):
@@ -110,7 +110,7 @@ class Asked:
         worst = self.score[some, -1]
         return np.where(np.isinf(worst), np.pi, np.arccos(np.clip(worst, -1, 1)))
 
-    def meet(self, some: np.ndarray, cosine: np.ndarray, ids: np.ndarray, _where) -> None:
+    def meet(self, some: np.ndarray, cosine: np.ndarray, ids: np.ndarray) -> None:
         cosine = np.where(ids[None, :] == self.ids[some][:, None], -np.inf, cosine)
         better = np.flatnonzero(cosine.max(axis=1) >= self.score[some, -1])
         if not len(better):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from gritlens.llm import jaccard, mixing, packing, pii, toxicity, warc
+from gritlens.llm import mixing, packing, toxicity, warc
 from gritlens.llm.queries import MIXING_SQL
 from gritlens.llm.store import Stage
 from llm_brute import groups

@@ -73,7 +73,7 @@ def test_pruning_skips_points():
     met = []
     asked = vptree.Asked(np.array([-1]), points[100:101], 5)
     meet = asked.meet
-    asked.meet = lambda some, c, ids, where: (met.append(len(ids)), meet(some, c, ids, where))
+    asked.meet = lambda some, c, ids: (met.append(len(ids)), meet(some, c, ids))
     tree.search(asked, ids, 1.0)
     assert sum(met) < len(points) / 2
     assert 100 in asked.found[0] or asked.score[0, -1] > 1 - 1e-9
