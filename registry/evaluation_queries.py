@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gritlens.operators import evaluation, security
+from gritlens.operators import evaluation
 from registry import corpora as C
 from registry.base import query, table
 from registry.rule_queries import KEPT_SQL, TITLE_SQL
