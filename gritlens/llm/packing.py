@@ -6,7 +6,7 @@ best-fit decreasing and gets a lower bound on its number of sequences from
 dual-feasible functions. A partition at its bound is certified: no packing of its
 pieces is better. Partitions with a gap, and the loosest sequence of every other,
 give the documents of their loosest sequences into the next round, where they are
-dealt anew and packed again, until a round saves nothing.
+dealt anew and packed again, until they fit one partition (or for ``ROUNDS``).
 
 Only lengths and names travel; ids stay where they are made.
 
@@ -31,9 +31,9 @@ from gritlens.llm.textbuf import IS_WHITE, WHITE, Texts, per_process, run_hashes
 
 GROUP = 40_000          # pieces packed in one task
 ROUNDS = 6
-CACHE = 600_000         # words whose ids a worker remembers
+CACHE = 400_000         # words whose ids a worker remembers
 JOINED = 2_000          # new words that are encoded at once
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 # The pattern that cuts text into words before byte-level merges.

@@ -48,7 +48,7 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 19) -> np.ndarray:
     """A 64-bit hash of each run data[start:end]; runs are disjoint and in order.
 
     Worked out for about ``block`` bytes at a time (or one longer run), so memory
@@ -183,7 +183,7 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return text, value
 
 
-def small_slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20):
+def small_slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
     """The batch in slices of about ``most`` bytes of text each (or one longer text)."""
     texts = Texts.of(batch.column(column))
     at, n = 0, len(texts)
