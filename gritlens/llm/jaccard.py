@@ -37,9 +37,10 @@ from gritlens.llm.textbuf import mix, shingles, small_slices
 
 LIST = 32                   # a shingle of more documents than this is frequent
 FREQUENT_MOST = 1 << 22     # frequent shingles that are broadcast (4 bytes each); beyond it LIST doubles
+SALTS = 64                  # tasks that the documents of one group are spread over
 CHUNK = 256                 # documents compared with each other in one piece
 FRAGMENT_BYTES = 12 << 20   # bytes of text whose shingles are counted in one fragment
-COUNT_BATCH = 4 << 20       # shingles a task counts at once
+COUNT_BATCH = 2 << 20       # shingles a task counts at once
 
 
 def _sets(texts, width: int):
@@ -400,6 +401,13 @@ def membership_filter(ids: DataFrame) -> np.ndarray:
     return words
 
 
+def _with_group(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows (class, group, ...) with their group's row of ``facts``; a large group is spread by class."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
+    return salted.join(facts.withColumn("salt", salts), ["group", "salt"]).drop("salt")
+
+
 def _compare(members: DataFrame, docs: DataFrame, described: DataFrame, width: int, threshold: Fraction, stage: Stage):
     """Links among the classes of each candidate group, as enough edges to connect what is connected."""
     spark = docs.sparkSession
@@ -407,7 +415,7 @@ def _compare(members: DataFrame, docs: DataFrame, described: DataFrame, width: i
     ids = one.groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     wanted = spark.sparkContext.broadcast(membership_filter(ids))
     sets = docs.mapInArrow(_sets_of(width, wanted), "class bigint, shingles binary")
-    sized = members.join(members.groupBy("group").agg(F.count("*").alias("size")), "group")
+    sized = _with_group(members, members.groupBy("group").agg(F.count("*").alias("size")))
     rows = sets.join(sized, "class").groupBy("class", "group", "size").agg(F.first("shingles").alias("shingles"))
     # a class in many documents has one set; the first of equal ones is any of them
     rows = stage.keep(rows, "sets")
@@ -439,7 +447,7 @@ def _compare(members: DataFrame, docs: DataFrame, described: DataFrame, width: i
         if not total[0] or total[0] == before:
             break
         before = total[0]
-        more = stage.keep(compared(chunked(parts.join(sizes, "group"), F.col("label"))), "part-links")
+        more = stage.keep(compared(chunked(_with_group(parts, sizes), F.col("label"))), "part-links")
         links = stage.keep(links.union(more), "links")
         if total[1] <= CHUNK:
             break
@@ -450,11 +458,11 @@ def _compare(members: DataFrame, docs: DataFrame, described: DataFrame, width: i
     )
     part_sizes = labelled.groupBy("group", "label").agg(F.count("*").alias("many"))
     largest = part_sizes.groupBy("group").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.count("*").alias("parts"))
-    state = labelled.join(largest.filter("parts > 1"), "group")
+    state = _with_group(labelled, largest.filter("parts > 1"))
     rest = state.filter("label <> main")
     rest_sizes = rest.groupBy("group").agg(F.count("*").alias("rest"))
     half = CHUNK // 2
-    dealt = state.join(rest_sizes, "group").select(
+    dealt = _with_group(state, rest_sizes).select(
         "group", "class", "label", "shingles", (F.col("label") != F.col("main")).alias("apart"),
         F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / half).cast("bigint")).alias("row"),
         F.pmod(F.xxhash64("class"), F.ceil(F.col("rest") / half).cast("bigint")).alias("col"),
