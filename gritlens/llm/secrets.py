@@ -215,14 +215,13 @@ def _named(spans) -> str:
 
 def _long_runs(texts: Texts, least: int = 16) -> np.ndarray:
     """Whether each text has a run of ``least`` bytes that could be encoded data."""
-    inside = _RUN[texts.data]
-    before, after = np.concatenate([[False], inside]), np.concatenate([inside, [False]])
-    start, end = np.flatnonzero(after & ~before), np.flatnonzero(before & ~after)
-    start, end = start[end - start >= least], end[end - start >= least]
+    inside = np.concatenate([[False], _RUN[texts.data], [False]])
+    edge = inside[1:] != inside[:-1]
+    edge[texts.offsets] |= inside[texts.offsets] | inside[texts.offsets + 1]  # a run ends with its text
+    edges = np.flatnonzero(edge)
+    start = edges[:-1][(np.diff(edges) >= least) & inside[edges[:-1] + 1]]
     found = np.zeros(len(texts) + 1, bool)
-    # a run over the end of a text counts for both; being wrong here only costs a search
     found[np.searchsorted(texts.offsets, start, "right") - 1] = True
-    found[np.searchsorted(texts.offsets, end - 1, "right") - 1] = True
     return found[: len(texts)]
 
 
