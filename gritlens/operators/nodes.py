@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gritlens.functions import text as X
 from gritlens.functions.lists import empty_as_null
 from gritlens.rules import catalogue as C
-from gritlens.rules.compiler import code_only, leftmost_call
+from gritlens.rules.compiler import code_only, leftmost_call, without_comments
 
 PYTHON_DEF = r"^def\s+([a-zA-Z0-9_]+)\s*\((.*?)\):"
 PYTHON_EXCEPT_PASS = r"except(\s+[a-zA-Z0-9_]+)?\s*:\s*pass"
@@ -171,7 +171,7 @@ def _by_rule(cases: dict[str, Column], rule_id: Column) -> Column:
 def node_values(rule_id: Column) -> dict[str, Column]:
     """What fills the markers of a line rule's texts."""
     line, trimmed, python_callee = F.col("line"), F.col("trimmed"), F.col("callee")
-    statement = F.col("statement")
+    statement = F.col("argument")
     bare = code_only(line)
     callee = {name: _callee(name, bare if name in ("J01", "J05", "J11") else statement) for name in CALLS}
     formatted = (
@@ -207,9 +207,13 @@ def snippets(rule_id: Column) -> Column:
 
     Who displays it may cut it; the table keeps it whole.
     """
-    line, trimmed, statement = F.col("line"), F.col("trimmed"), F.col("statement")
+    line, trimmed, statement = F.col("line"), F.col("trimmed"), F.col("argument")
 
-    calls = {name: X.trim(_call_text(name, F.col("statement"))) for name in CALLS}
+    whole = F.col("statement")
+    # comments are shown, unless the call is only seen without them
+    calls = {
+        name: X.trim(F.coalesce(empty_as_null(_call_text(name, whole)), _call_text(name, without_comments(whole)))) for name in CALLS
+    }
     calls["J11"] = X.trim(_call_text("J11", line))
     return F.coalesce(
         _by_rule(

@@ -51,7 +51,7 @@ def tested_lines(
     """
     code = paths.is_js(F.col("file_path")) | paths.is_python(F.col("file_path"))
     conditions = compiler.file_conditions(F.col("content"), F.col("_low"))
-    continued = F.lit(None).cast("map<int,string>")
+    continued = F.lit(None).cast("map<int,struct<argument:string,statement:string>>")
     if joined:
         continued = F.when(
             paths.is_js(F.col("file_path")) & compiler.may_continue(F.col("content")),
@@ -71,12 +71,13 @@ def tested_lines(
     return (
         flagged.select("*", split).drop("content")
         .withColumn("_below", F.try_element_at("_continued", "pos"))
-        .where(wanted | F.col("_below").isNotNull())
+        .where(wanted | F.col("_below.argument").isNotNull())
         .withColumns({
             "trimmed": X.trim(F.col("line")),
-            "statement": F.coalesce(F.concat("line", F.lit("\n"), "_below"), F.col("line")),
+            "argument": F.coalesce(compiler.without_comments(F.concat("line", F.lit("\n"), "_below.argument")), F.col("line")),
+            "statement": F.coalesce(F.concat("line", F.lit("\n"), "_below.statement"), F.col("line")),
         })
-        .withColumn("anchors", compiler.found_anchors(F.col("statement")))
+        .withColumn("anchors", compiler.found_anchors(F.col("argument")))
         .withColumns(_line_columns(anchored))
         .drop("_continued", "_below")
     )
@@ -117,7 +118,7 @@ def scan_items(
     of_lines = (
         tested_lines(staged, {}, wanted, anchored)
         .select(
-            "scan_id", "repo", "file_path", "pos", "line", "trimmed", "statement", "callee",
+            "scan_id", "repo", "file_path", "pos", "line", "trimmed", "argument", "statement", "callee",
             F.explode(compiler.kept_hits(anchored=anchored)).alias("rule_no"),
         )
         .withColumns({"n_lines": F.lit(None).cast("int"), "item": F.lit(None).cast(FILE_ITEM)})
@@ -142,7 +143,7 @@ def _file_entries(files: DataFrame, advisories: list[D.Advisory] | None, quality
         F.explode(F.concat(F.array(own), found)).alias("entry"),
     ).select(
         "scan_id", "repo", "file_path", F.lit(0).alias("pos"),
-        *[text.alias(name) for name in ("line", "trimmed", "statement", "callee")],
+        *[text.alias(name) for name in ("line", "trimmed", "argument", "statement", "callee")],
         F.when(F.col("entry.rule_no") == FILE_ROW, F.col("n_lines")).alias("n_lines"),
         F.col("entry.rule_no").alias("rule_no"), F.col("entry.item").alias("item"),
     )

@@ -28,16 +28,24 @@ LINE_RULES = [rule for rule in C.RULES if rule.stage in LINE_STAGES]
 LEFTMOST_CALL = r"(?<![a-zA-Z0-9_.])([a-zA-Z0-9_.]++)\s*\((.*)\)"
 STRING_LITERAL = r'''"[^"]*"|'[^']*\''''
 TRAILING_COMMENT = r"//.*"
-
-# A line that ends inside the first argument of a call some rule looks at, or
-# before the value of a declaration.
-OPEN_CALL = (
-    r"(?i)(?:(?:^|[^\w$])(?:const|let|var)\s[^;]*[^=!<>]=\s*$|(?:query|execute|rawQuery|executeSql|exec|execSync|createHash|axios\.get|axios\.post|fetch"
-    r"|http\.get|https\.get)\s*\(\s*(`[^`]*)?$)"
+STRING_OR_COMMENT = (
+    r"""("[^"\\\n]*+(?:\\.[^"\\\n]*+){0,999}+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+){0,999}+'|`[^`\\]*+(?:\\[\s\S][^`\\]*+){0,999}+`)"""
+    r"|//[^\n]*|/\*[\s\S]*?\*/"
 )
 
+# A call some rule looks at.
+LOOKED_FOR = r"(?:query|execute|rawQuery|executeSql|exec|execSync|createHash|axios\.get|axios\.post|fetch|http\.get|https\.get)\s*\("
+CALL = "(?i)" + LOOKED_FOR
+# A line that ends inside the first argument of such a call, or before the value of a declaration.
+OPEN_CALL = r"(?i)(?:(?:^|[^\w$])(?:const|let|var)\s[^;]*[^=!<>]=\s*$|" + LOOKED_FOR + r"\s*(`[^`]*)?$)"
+# What can open or close a bracket, string, template or comment.
+TOKEN = CALL + r"""|\\.|//|/\*|\*/|\$\{|["'`()\[\]{},]"""
+# The openers that are open (C is a call looked for, c one behind its first
+# argument), the calls among them, and the calls that ended below their line.
+OPENED = "struct<stack:string,calls:array<struct<pos:int,first:int>>,done:array<struct<pos:int,first:int,last:int>>>"
+
 SCOPES = {"js": "is_js", "python": "is_python", "code": "(is_js OR is_python)"}
-SUBJECTS = {"line": "line", "trimmed": "trimmed", "code": "bare", "statement": "statement"}
+SUBJECTS = {"line": "line", "trimmed": "trimmed", "code": "bare", "statement": "argument"}
 COMMENTS = {
     C.HEURISTIC_SKIP: "heuristic_comment", C.SHARED_SKIP: "shared_comment",
     C.PYTHON_SKIP: "python_comment", C.NODE_SKIP: "node_comment",
@@ -59,16 +67,95 @@ def code_only(line: Column) -> Column:
     return F.regexp_replace(bare, X.java_pattern(TRAILING_COMMENT), "")
 
 
+def without_comments(code: Column) -> Column:
+    """Code of one or more lines with its comments out; strings stay."""
+    return F.regexp_replace(code, X.java_pattern(STRING_OR_COMMENT), "$1")
+
+
 def may_continue(content: Column) -> Column:
     """Whether any call or declaration of a file can go on below its line."""
-    return X.contains_any(content, ("(\n", "(\r\n", "`", "=\n", "=\r\n", "= \n"))
+    return X.contains_any(content, ("=\n", "=\r\n", "= \n")) | F.contains(content, F.lit("\n")) & X.matches(content, CALL)
+
+
+def _after(state: Column, token: Column, i: Column) -> Column:
+    """The state behind a token of line ``i``."""
+    stack, calls, done = state["stack"], state["calls"], state["done"]
+    top = F.substring(stack, -1, 1)
+    cut = F.substring(stack, F.lit(1), F.length(stack) - 1)
+    code = ~top.isin('"', "'", "`", "*", "/")
+    opens = code & (F.length(token) > 2) & F.endswith(token, F.lit("("))
+    closes = code & token.isin(")", "]", "}")
+    ends_call, ends_first = closes & top.isin("C", "c"), code & (token == ",") & (top == "C")
+    last, outer = F.try_element_at(calls, F.lit(-1)), F.try_element_at(calls, F.lit(-2))
+    first = F.coalesce(last["first"], i)
+
+    def but(n, *more):
+        return F.concat(F.slice(calls, F.lit(1), F.greatest(F.size(calls) - n, F.lit(0))), F.array(*more).cast("array<struct<pos:int,first:int>>"))
+
+    def call(pos, first):
+        return F.struct(pos.alias("pos"), first.cast("int").alias("first"))
+
+    # A call in another one of the same line is part of it.
+    within = outer["pos"] == last["pos"]
+    new_stack = (
+        F.when(top.isin('"', "'"), F.when(token == top, cut).otherwise(stack))
+        .when(top == "`", F.when(token == "`", cut).when(token == "${", F.concat(stack, F.lit("$"))).otherwise(stack))
+        .when(top == "*", F.when(token == "*/", cut).otherwise(stack))
+        .when(top == "/", stack)
+        .when(closes, cut)
+        .when(token == ",", F.when(top == "C", F.concat(cut, F.lit("c"))).otherwise(stack))
+        .when(opens, F.concat(stack, F.lit("C")))
+        .when((token == "*/") | F.startswith(token, F.lit("\\")), stack)
+        .otherwise(F.concat(stack, F.substring(token, -1, 1)))
+    )
+    new_calls = (
+        F.when(opens, F.concat(calls, F.array(call(i, F.lit(None)))))
+        .when(ends_first, but(1, call(last["pos"], i)))
+        .when(ends_call & within, but(2, call(outer["pos"], F.when(outer["first"].isNotNull(), F.greatest(outer["first"], first)))))
+        .when(ends_call, but(1)).otherwise(calls)
+    )
+    ended = F.struct(last["pos"].alias("pos"), first.alias("first"), i.alias("last"))
+    new_done = F.when(
+        ends_call & (i > last["pos"]) & ~F.coalesce(within, F.lit(False)), F.concat(done, F.array(ended))
+    ).otherwise(done)
+    return F.struct(new_stack.alias("stack"), new_calls.alias("calls"), new_done.alias("done")).cast(OPENED)
+
+
+def open_calls(lines: Column) -> Column:
+    """The calls looked for that go on below their line (OPENED), by one fold over the lines.
+
+    Brackets are counted outside strings and comments, however deep. Lines
+    between such calls are only searched for the next one.
+    """
+
+    def line_after(state, i):
+        line = F.get(lines, i)
+        found = F.aggregate(
+            F.regexp_extract_all(line, F.lit(X.java_pattern(TOKEN)), F.lit(0)), state, lambda s, token: _after(s, token, i)
+        )
+        # A string and a line comment end with the line, and all does when no call is open.
+        stack = found["stack"]
+        kept = F.when(F.size(found["calls"]) == 0, F.lit("")).when(
+            F.substring(stack, -1, 1).isin('"', "'", "/"), F.substring(stack, F.lit(1), F.length(stack) - 1)
+        ).otherwise(stack)
+        return F.struct(kept.alias("stack"), found["calls"].alias("calls"), found["done"].alias("done")).cast(OPENED)
+
+    def step(state, i):
+        line = F.get(lines, i)
+        idle = (F.size(state["calls"]) == 0) & (~X.matches(line, CALL) | X.starts_with_any(X.trim(line), C.NODE_SKIP))
+        return F.when(idle, state).otherwise(let(state, lambda s: line_after(s, i)))
+
+    start = F.struct(F.lit("").alias("stack"), F.array().alias("calls"), F.array().alias("done")).cast(OPENED)
+    return F.aggregate(F.sequence(F.lit(0), F.size(lines) - 1), start, step)
 
 
 def continuations(lines: Column) -> Column:
-    """Where a call or declaration goes on below its line: map of position to the text that follows.
+    """Where a call or declaration goes on below its line: map of position to the texts that follow.
 
-    The text is all lines up to the end of a template literal, else up to the next
-    line with a closing bracket or a semicolon; comment lines are left out.
+    ``argument`` ends with the line in which the call's first argument ends,
+    ``statement`` with that of its closing bracket; comment lines are left out. A
+    declaration, and a call without a closing bracket, takes all lines up to the end
+    of a template literal, else up to the next line with a closing bracket or a semicolon.
     """
 
     def positions(test):
@@ -93,15 +180,21 @@ def continuations(lines: Column) -> Column:
     ), "")
 
     def following(i, ticks, marks):
-        below = F.coalesce(F.get(lines, i + 1), F.lit(""))
-        odd = (F.length(below) - F.length(F.replace(below, F.lit("`"), F.lit("")))) % 2 == 1
+        second = F.coalesce(F.get(lines, i + 1), F.lit(""))
+        odd = (F.length(second) - F.length(F.replace(second, F.lit("`"), F.lit("")))) % 2 == 1
         inside = X.extract(F.get(lines, i), OPEN_CALL, 1) != ""
         first = F.when(inside, i).when(odd, i + 1)
         close = F.get(ticks, F.array_position(ticks, first).cast("int"))  # the tick after it
         end = F.call_function("locate", F.lit("x"), marks, F.coalesce(close, i + 1) + 1) - 1
         last = F.coalesce(F.when(end > i, end), close, i + 1)
-        text = F.array_join(F.filter(F.slice(lines, i + 2, last - i), lambda line: ~is_comment(line)), "\n")
-        return F.struct(i.alias("pos"), text.alias("text"))
+        return entry(i, last, last)
+
+    def below(i, last):
+        return F.array_join(F.filter(F.slice(lines, i + 2, last - i), lambda line: ~is_comment(line)), "\n")
+
+    def entry(i, first, last):
+        argument = F.when(first > i, below(i, first))
+        return F.struct(i.alias("pos"), F.struct(argument.alias("argument"), below(i, last).alias("statement")).alias("texts"))
 
     def texts(opens):
         found = let(positions(has_tick), lambda ticks: let(
@@ -109,7 +202,12 @@ def continuations(lines: Column) -> Column:
         ))
         return F.when(F.size(opens) > 0, found)
 
-    return F.map_from_entries(let(positions(is_open), texts))
+    def entries(found):
+        rest = F.array_except(F.array_union(positions(is_open), found["calls"]["pos"]), found["done"]["pos"])
+        ended = F.transform(found["done"], lambda c: entry(c["pos"], c["first"], c["last"]))
+        return F.concat(ended, F.coalesce(let(rest, texts), F.array()))
+
+    return F.map_from_entries(let(open_calls(lines), entries))
 
 
 def leftmost_call(trimmed: Column) -> Column:

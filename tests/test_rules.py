@@ -181,6 +181,31 @@ def test_calls_over_lines(scan_text):
     assert not any(f.rule_id == "C05" for f in scan_text(("a.ts", text)))
 
 
+# Calls over several lines, the rules of nodes that report them, the line and the whole call, by hand.
+OVER_LINES = [
+    ('db.query(\n sql(a)\n + id)', {("J02", 1, "db.query(\n sql(a)\n + id)")}),
+    ('db.query("SELECT x WHERE id = "\n + id)', {("J02", 1, 'db.query("SELECT x WHERE id = "\n + id)')}),
+    ('child.exec("ping "\n  + host, cb);', {("J03", 1, 'child.exec("ping "\n  + host, cb)')}),
+    ('fetch(\n join(a(b),\n  c(d))\n + req.query.x)', {("J06", 1, "fetch(\n join(a(b),\n  c(d))\n + req.query.x)")}),
+    ('db.query("("\n + id,\n cb)\nnext(1)', {("J02", 1, 'db.query("("\n + id,\n cb)')}),
+    ('db.query(base // 1) or so;\n + id)', {("J02", 1, "db.query(base \n + id)")}),
+    ('db.query(base /* ) */ +\n id)', {("J02", 1, "db.query(base  +\n id)")}),
+    ('db.query("a",\n b + c)', set()), ("db.query(a)\n + b", set()), ('log("db.query(")\nx = "a" + b', set()),
+    ('db.query(sql, (e) => {\n  exec("rm " + e);\n  const password = "abcdefghijklmnop";\n})',
+     {("J03", 2, 'exec("rm " + e)'), ("J10", 3, 'password = "abcd***"')}),
+    ('fetch(url, exec("a"\n + b))', {("J03", 1, 'exec("a"\n + b)')}),
+]
+
+
+def test_calls_up_to_their_closing_bracket(scan_text):
+    found = scan_text(*[(f"f{n}.ts", code) for n, (code, _) in enumerate(OVER_LINES)], quality=False)
+    own = {n: set() for n in range(len(OVER_LINES))}
+    for f in found:
+        if f.rule_id in LOOKED_FOR:
+            own[int(f.file_path[1:-3])].add((f.rule_id, f.line_no, f.code_snippet))
+    assert [(OVER_LINES[n][0], rows) for n, rows in own.items() if rows != OVER_LINES[n][1]] == []
+
+
 def test_first_arguments_and_declarations(scan_text):
     cases = CASES
     found = scan_text(*[(f"f{n}.ts", code) for n, (code, _) in enumerate(cases)], quality=False)
