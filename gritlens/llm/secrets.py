@@ -8,6 +8,9 @@ that decode to themselves or to each other end. Every character of a layer knows
 the stretch of the text it came from; a find is reported at that stretch, unless a
 rule found the same kind there already.
 
+Bytes that are no text break a layer's words and nothing else. Base64 is read over
+line ends and from any character of a run, whatever stands in front of it.
+
 Rules for odd rows: a null text is empty and has no spans. Rows that repeat a
 doc_id are searched each. Compressed layers of any size are opened in windows of
 ``WINDOW`` characters that overlap by ``OVERLAP``.
@@ -15,7 +18,6 @@ doc_id are searched each. Compressed layers of any size are opened in windows of
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
@@ -44,6 +46,13 @@ URL = re.compile(r"(?:[A-Za-z0-9._~+/=:&?@!$'()*,;-]|%[0-9A-Fa-f]{2})*%[0-9A-Fa-
 URL_UNIT = re.compile(r"%[0-9A-Fa-f]{2}")
 UNICODE_UNIT = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Such runs parted only by line ends and what the lines are indented by.
+BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+# How gzip and zlib begin in base64.
+PACKED = re.compile(r"H4[s-v]|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
+PIECE = 1 << 10
+# No secret, and no layer that could hold one, is shorter.
+READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12}")
 _WORDS = ("passw", "secret", "token", "api")
 
 _RUN = np.zeros(256, bool)
@@ -78,58 +87,98 @@ class Layer:
 
 
 def _from_bytes(data: bytes, place) -> Layer | None:
-    """A layer of UTF-8 text; ``place`` gives each byte's stretch. None if it is no plain text."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    if not text or any(c < " " and c not in "\t\n\r" or c == "\x7f" for c in text):
+    """A layer of text; ``place`` gives each byte's stretch. Every odd byte is a character that no rule takes."""
+    if not READABLE.search(data):
         return None
+    text = data.decode("utf-8", "surrogateescape")
     start, end, at = [], [], 0
     for c in text:
-        size = len(c.encode())
+        size = 1 if c < "\x80" or "\udc80" <= c <= "\udcff" else len(c.encode())
         start.append(place(at)[0])
         end.append(place(at + size - 1)[1])
         at += size
     return Layer(text, start, end)
 
 
-def _escaped(layer: Layer, unit: re.Pattern, a: int, b: int) -> Layer | None:
-    """The stretch a to b with its escapes undone: bytes for URLs, code units for Unicode."""
-    parts, places, at = [], [], a
-    for m in unit.finditer(layer.text, a, b):
-        for i in range(at, m.start()):
-            raw = layer.text[i].encode("utf-8", "surrogatepass")
-            parts.append(raw)
-            places += [(i, i + 1)] * len(raw)
-        raw = bytes([int(m[0][1:], 16)]) if m[0][0] == "%" else chr(int(m[0][2:], 16)).encode("utf-8", "surrogatepass")
-        parts.append(raw)
-        places += [m.span()] * len(raw)
+def _url_decoded(layer: Layer, a: int, b: int) -> Layer | None:
+    """The stretch a to b, which is ASCII, with its escapes undone."""
+    raw, places, at = bytearray(), [], a
+    for m in URL_UNIT.finditer(layer.text, a, b):
+        raw += layer.text[at : m.start()].encode()
+        places += [(i, i + 1) for i in range(at, m.start())]
+        raw.append(int(m[0][1:], 16))
+        places.append(m.span())
         at = m.end()
-    for i in range(at, b):
-        raw = layer.text[i].encode("utf-8", "surrogatepass")
-        parts.append(raw)
-        places += [(i, i + 1)] * len(raw)
-    return _from_bytes(b"".join(parts), lambda k: layer.stretch(*places[k]))
+    raw += layer.text[at:b].encode()
+    places += [(i, i + 1) for i in range(at, b)]
+    return _from_bytes(bytes(raw), lambda k: layer.stretch(*places[k]))
+
+
+def _unescaped(layer: Layer, a: int, b: int) -> Layer:
+    """The stretch a to b with its Unicode escapes undone; two halves of a character become one."""
+    chars, places, at = [], [], a
+    for m in UNICODE_UNIT.finditer(layer.text, a, b):
+        chars += layer.text[at : m.start()]
+        places += [(i, i + 1) for i in range(at, m.start())]
+        code = int(m[0][2:], 16)
+        if 0xDC00 <= code < 0xE000 and m.start() == at > a and "\ud800" <= chars[-1] <= "\udbff":
+            chars[-1] = chr(0x10000 + (ord(chars[-1]) - 0xD800 << 10) + code - 0xDC00)
+            places[-1] = places[-1][0], m.end()
+        else:
+            chars.append(chr(code))
+            places.append(m.span())
+        at = m.end()
+    chars += layer.text[at:b]
+    places += [(i, i + 1) for i in range(at, b)]
+    found = [layer.stretch(*place) for place in places]
+    return Layer("".join(chars), [x for x, _ in found], [y for _, y in found])
+
+
+def _decoded(raw: str) -> bytes:
+    """Base64 without padding; a last character that is no whole byte is left out."""
+    raw = raw[: len(raw) - (len(raw) % 4 == 1)]
+    return binascii.a2b_base64(raw + "=" * (-len(raw) % 4))
 
 
-def _inflated(data: bytes, whole: tuple[int, int]) -> Iterator[Layer]:
-    """Windows of what ``data`` (gzip or zlib) holds; every character stands for the whole stretch."""
-    opener, kept = zlib.decompressobj(47), b""
+def _opened(raw: str, at: int) -> Iterator[tuple[int, bytes]]:
+    """What gzip or zlib members from place ``at`` of a base64 run hold, in pieces up to the end or first fault.
+
+    With each piece comes the place up to which the run was read for it.
+    """
+    opener, size, start = zlib.decompressobj(47), PIECE, at
     try:
-        while True:
-            data = opener.decompress(data, WINDOW)
-            if not data and not opener.unconsumed_tail:
-                return
-            text = (kept + data).decode("utf-8", "ignore")
-            yield Layer(text, _Same(whole[0]), _Same(whole[1]))
-            kept, data = (kept + data)[-OVERLAP:], opener.unconsumed_tail
-            if not data:
-                return
+        while at < len(raw):
+            data = _decoded(raw[at : at + size])
+            at, size = min(at + size, len(raw)), min(2 * size, 1 << 20)
+            used = (at - start) * 3 // 4
+            while data:
+                out = opener.decompress(data, WINDOW)
+                data = opener.unused_data if opener.eof else opener.unconsumed_tail
+                yield start - (used - len(data)) * 4 // -3, out
+                if opener.eof:
+                    opener = zlib.decompressobj(47)
+        while out := opener.decompress(b"", WINDOW):
+            yield at, out
     except zlib.error:
         return
 
 
+def _inflated(raw: str, at: int, stretch) -> Iterator[Layer]:
+    """Windows of what is compressed from place ``at``; every character stands for the whole stretch."""
+    end = max((place for place, _ in _opened(raw, at)), default=at)
+    if end == at:
+        return
+    whole = stretch(at, min(end, len(raw)))
+    kept = data = b""
+    for _, piece in _opened(raw, at):
+        data += piece
+        if len(data) >= WINDOW:
+            yield Layer((kept + data).decode("utf-8", "surrogateescape"), _Same(whole[0]), _Same(whole[1]))
+            kept, data = (kept + data)[-OVERLAP:], b""
+    if READABLE.search(kept + data):
+        yield Layer((kept + data).decode("utf-8", "surrogateescape"), _Same(whole[0]), _Same(whole[1]))
+
+
 class _Same:
     """The same place for every character."""
 
@@ -144,7 +193,7 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
     text = layer.text
     if "%" in text:
         for m in URL.finditer(text):
-            found = _escaped(layer, URL_UNIT, *m.span())
+            found = _url_decoded(layer, *m.span())
             if found:
                 yield found
     if "\\" in text:
@@ -155,23 +204,34 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
                 stretch = (stretch[0], m.end())
                 continue
             if stretch:
-                yield from filter(None, [_around(layer, stretch)])
+                yield _around(layer, stretch)
             stretch = m.span()
         if stretch:
-            yield from filter(None, [_around(layer, stretch)])
+            yield _around(layer, stretch)
+    joined = 0
+    blocks = BLOCK.finditer(text) if "\n" in text else iter(())
+    block = next(blocks, None)
     for m in BASE64.finditer(text):
-        raw = m[0].rstrip("=")
-        if len(raw) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(raw.translate(_URL_SAFE) + "=" * (-len(raw) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        a = m.start()
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and data[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
-            yield from _inflated(data, layer.stretch(*m.span()))
-            continue
-        found = _from_bytes(data, lambda k, a=a: layer.stretch(a + k * 8 // 6, a + (k * 8 + 7) // 6 + 1))
+        while block and block.start() <= m.start():
+            places = [i for i in range(*block.span()) if text[i] not in "\r\n\t ="]
+            yield from _base64_layers(layer, "".join([text[i] for i in places]), places, True)
+            joined, block = block.end(), next(blocks, None)
+        yield from _base64_layers(layer, m[0].rstrip("="), range(*m.span()), m.start() >= joined)
+
+
+def _base64_layers(layer: Layer, raw: str, places, whole: bool) -> Iterator[Layer]:
+    """What a run holds that begins with any of its characters: all four ways to count them off.
+
+    Compressed data is opened in whole runs, not in single lines of them.
+    """
+    raw = raw.translate(_URL_SAFE)
+    for m in PACKED.finditer(raw) if whole else ():
+        yield from _inflated(raw, m.start(), lambda a, b: layer.stretch(places[a], places[b - 1] + 1))
+    for shift in range(4):
+        found = _from_bytes(
+            _decoded(raw[shift:]),
+            lambda k, a=shift: layer.stretch(places[a + k * 8 // 6], places[a + (k * 8 + 7) // 6] + 1),
+        )
         if found:
             yield found
 
@@ -179,14 +239,14 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
 _URL_SAFE = str.maketrans("-_", "+/")
 
 
-def _around(layer: Layer, stretch: tuple[int, int]) -> Layer | None:
+def _around(layer: Layer, stretch: tuple[int, int]) -> Layer:
     """The word that a stretch of escapes lies in, decoded."""
     a, b = stretch
     while a and not layer.text[a - 1].isspace():
         a -= 1
     while b < len(layer.text) and not layer.text[b].isspace():
         b += 1
-    return _escaped(layer, UNICODE_UNIT, a, b)
+    return _unescaped(layer, a, b)
 
 
 def hidden_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -206,7 +266,9 @@ def hidden_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
                 a, b = inner.stretch(a, b)
                 if not any(a < y and x < b for x, y in taken[kind]):
                     found.add((a, b, kind))
-    return sorted(found, key=_order)
+    # a secret that goes on in the next line of its block was also found up to the line's end
+    longest = {(a, kind): b for a, b, kind in sorted(found)}
+    return sorted(((a, b, kind) for (a, kind), b in longest.items()), key=_order)
 
 
 def _named(spans) -> str:

@@ -87,6 +87,23 @@ def test_layers():
     assert base64.b64decode(text[a:b] + "=" * (-(b - a) % 4)).decode().startswith("password=hunter2")
 
 
+def test_layers_with_odd_bytes():
+    encoded = base64.b64encode(HIDDEN.encode()).decode()
+    noise = bytes(random.Random(2).choices(range(256), k=300))
+    packed = gzip.compress(noise + b" " + HIDDEN.encode() + b" " + noise)
+    for text in ("caf%E9?token%3Dabcdef123", "password%3Dhunter22%00", "\\ud83d\\ude00,pass\\u0077ord=hunter22",
+                 "\\ud83d,pass\\u0077ord=hunter22", "path/" + encoded, "key_" + encoded, "some-path/to/" + encoded, "k" + encoded,
+                 base64.b64encode(b"\xff\x00" + HIDDEN.encode() + b"\x00").decode(),
+                 base64.encodebytes(noise + b" " + HIDDEN.encode()).decode(), base64.encodebytes(packed).decode(),
+                 base64.encodebytes(packed).decode().replace("\n", "\r\n  "), "some/path/" + base64.b64encode(packed).decode(),
+                 base64.b64encode(gzip.compress(b"one") + gzip.compress(HIDDEN.encode())).decode(),
+                 base64.encodebytes(b"x" * 50 + b" " + HIDDEN.encode()).decode()):
+        found = hidden("before " + text + "\n behind")
+        assert [k for _, _, k in found] == ["assign"], (text, found)
+    (a, b, _), = hidden("xx key_" + encoded)
+    assert (a, b) == (7, 7 + len(encoded.rstrip("=")))
+
+
 def test_layers_end():
     assert hidden("%25" * 400) == [] and hidden("%2525252525252541" * 50) == []
     assert hidden("\\u005cu005c" * 100) == []
