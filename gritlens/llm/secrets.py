@@ -13,7 +13,8 @@ line ends and from any character of a run, whatever stands in front of it.
 
 Rules for odd rows: a null text is empty and has no spans. Rows that repeat a
 doc_id are searched each. Compressed layers of any size are opened in windows of
-``WINDOW`` characters that overlap by ``OVERLAP``.
+about ``WINDOW`` bytes, cut only where nothing that is looked for goes on; memory
+grows with the longest stretch without such a place.
 """
 
 from __future__ import annotations
@@ -51,6 +52,9 @@ BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-
 # How gzip and zlib begin in base64.
 PACKED = re.compile(r"H4[s-v]|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
 PIECE = 1 << 10
+# Where a window may end: behind a byte that is no readable text; behind a line that no base64 run
+# ends; at a space that stands neither in a row of white space nor at the sign of an assignment.
+CUT = re.compile(rb"[^\t\n\r\x20-\x7e]|(?<![A-Za-z0-9+/_\r-])\n|(?<=[^\s:=]) (?=[^\s:=])")
 # No secret, and no layer that could hold one, is shorter.
 READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12}")
 _WORDS = ("passw", "secret", "token", "api")
@@ -85,12 +89,18 @@ class Layer:
     def stretch(self, a: int, b: int) -> tuple[int, int]:
         return self.start[a], self.end[b - 1]
 
+    def same(self) -> tuple[_Same, _Same] | None:
+        """The places if every character has the same."""
+        return (self.start, self.end) if isinstance(self.start, _Same) else None
 
-def _from_bytes(data: bytes, place) -> Layer | None:
-    """A layer of text; ``place`` gives each byte's stretch. Every odd byte is a character that no rule takes."""
+
+def _from_bytes(layer: Layer, data: bytes, place) -> Layer | None:
+    """A layer of text below ``layer``; ``place`` gives each byte's stretch. Every odd byte is a character that no rule takes."""
     if not READABLE.search(data):
         return None
     text = data.decode("utf-8", "surrogateescape")
+    if same := layer.same():
+        return Layer(text, *same)
     start, end, at = [], [], 0
     for c in text:
         size = 1 if c < "\x80" or "\udc80" <= c <= "\udcff" else len(c.encode())
@@ -111,7 +121,7 @@ def _url_decoded(layer: Layer, a: int, b: int) -> Layer | None:
         at = m.end()
     raw += layer.text[at:b].encode()
     places += [(i, i + 1) for i in range(at, b)]
-    return _from_bytes(bytes(raw), lambda k: layer.stretch(*places[k]))
+    return _from_bytes(layer, bytes(raw), lambda k: layer.stretch(*places[k]))
 
 
 def _unescaped(layer: Layer, a: int, b: int) -> Layer:
@@ -169,14 +179,33 @@ def _inflated(raw: str, at: int, stretch) -> Iterator[Layer]:
     if end == at:
         return
     whole = stretch(at, min(end, len(raw)))
-    kept = data = b""
-    for _, piece in _opened(raw, at):
-        data += piece
-        if len(data) >= WINDOW:
-            yield Layer((kept + data).decode("utf-8", "surrogateescape"), _Same(whole[0]), _Same(whole[1]))
-            kept, data = (kept + data)[-OVERLAP:], b""
-    if READABLE.search(kept + data):
-        yield Layer((kept + data).decode("utf-8", "surrogateescape"), _Same(whole[0]), _Same(whole[1]))
+    for window in _windows(piece for _, piece in _opened(raw, at)):
+        if READABLE.search(window):
+            yield Layer(window.decode("utf-8", "surrogateescape"), _Same(whole[0]), _Same(whole[1]))
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The pieces in windows of about ``WINDOW`` bytes or more, each up to the last CUT in it.
+
+    What overlaps into the next window is what stands behind the cut. Rows of spaces
+    are shortened to ``OVERLAP``: no rule counts them.
+    """
+    spaces = re.compile(rb" {%d,}" % OVERLAP)
+    parts, size, least = [], 0, WINDOW
+    for piece in pieces:
+        parts.append(piece)
+        size += len(piece)
+        if size < least:
+            continue
+        data = spaces.sub(b" " * OVERLAP, b"".join(parts))
+        at = 0
+        for back in (1 << 12, 1 << 16, len(data)):
+            at = at or max((m.end() for m in CUT.finditer(data, max(0, len(data) - back))), default=0)
+        if at:
+            yield data[:at]
+        parts, size = [data[at:]], len(data) - at
+        least = max(WINDOW, 2 * size)  # a stretch without a cut is not looked through at every piece
+    yield spaces.sub(b" " * OVERLAP, b"".join(parts))
 
 
 class _Same:
@@ -229,6 +258,7 @@ def _base64_layers(layer: Layer, raw: str, places, whole: bool) -> Iterator[Laye
         yield from _inflated(raw, m.start(), lambda a, b: layer.stretch(places[a], places[b - 1] + 1))
     for shift in range(4):
         found = _from_bytes(
+            layer,
             _decoded(raw[shift:]),
             lambda k, a=shift: layer.stretch(places[a + k * 8 // 6], places[a + (k * 8 + 7) // 6] + 1),
         )

@@ -122,6 +122,22 @@ def test_large_compressed_layer(monkeypatch):
     assert len(hidden(base64.b64encode(gzip.compress(big.encode())).decode())) >= 1
 
 
+def test_stretches_over_windows(monkeypatch):
+    """Encoded stretches in a compressed layer are whole wherever its windows end."""
+    monkeypatch.setattr(secrets, "WINDOW", 5000)
+    rng = random.Random(3)
+    noise = rng.randbytes(6000)
+    far = base64.b64encode(noise + b" " + HIDDEN.encode() + b" ").decode()
+    packed = base64.b64encode(gzip.compress(noise + HIDDEN.encode())).decode()
+    lines = base64.encodebytes(gzip.compress(noise + HIDDEN.encode())).decode()
+    url = "%20" * 3000 + "pass%77ord=hunter22"
+    for lead in (0, 4000, 4990, 5003):
+        front = "".join(rng.choice("ab cd\n") for _ in range(lead))
+        for inner in (far, packed, lines, url, "password" + " " * 9000 + "= hunter22"):
+            text = front + " " + inner + " " + "x y " * 2000
+            assert hidden(base64.b64encode(gzip.compress(text.encode())).decode()), (lead, inner[:20])
+
+
 PERSONAL = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
