@@ -2,7 +2,9 @@
 
 The rules give seed entities. The words in front of an entity are its pattern;
 patterns and identifier-like words that follow them anywhere in the corpus are the
-two sides of a graph. Rounds of scoring go back and forth over its edges: a
+two sides of a graph. Whatever has a digit, an @ or a separator, and addresses
+written out ("at", "dot"), count as identifier-like behind a pattern of at least
+``SUPPORT`` seeds; elsewhere only words of the shape ``WORD_LIKE`` do. Rounds of scoring go back and forth over its edges: a
 pattern is worth the mean confidence of what follows it, if enough of it is
 trusted; a word is as sure as its patterns together (seeds are sure). Words that
 stand behind a trusted pattern and are sure enough become spans of the kind
@@ -48,6 +50,16 @@ SIGNS = {
 IP_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 
 WORD_LIKE = r"(?<![A-Za-z0-9@._%+-])[A-Za-z]{0,6}+[-_#]?[0-9]{4}[A-Za-z0-9_-]*+(?![@.%+][A-Za-z0-9])"
+_SIGN = r"[@_#%+/.:-]"
+_AT, _DOT = r"\x20(?:at|\(at\)|\[at\])\x20", r"(?:\x20(?:dot|\(dot\)|\[dot\])\x20|\.)"
+# What may be an identifier behind a pattern of seeds: an address written out, or a
+# word with a digit or a separator and the further words with digits of its group.
+FOLLOWER = (
+    r"(?<![A-Za-z0-9@_#%+/.:-])(?:"
+    rf"(?i:[a-z0-9][a-z0-9._%+-]*+{_AT}[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)++)"
+    rf"|[#+(]?(?:[A-Za-z0-9]++(?:{_SIGN}++[A-Za-z0-9]++)++|[A-Za-z]*+[0-9][A-Za-z0-9]*+)"
+    r"(?:\)?\x20(?=[A-Z]*+[0-9])[A-Z0-9][A-Z0-9-]++)*+)"
+)
 CONTEXT = 64          # characters in front of a match that may hold its pattern
 ROUNDS = 3
 SUPPORT = 3           # trusted words that a pattern needs
@@ -129,6 +141,38 @@ def _candidates(text: Column, spans: Column) -> Column:
     return F.when(F.rlike(text, F.lit("[0-9]{4}")), words).otherwise(F.array().cast(SPAN))
 
 
+def _followers(text: Column, spans: Column) -> Column:
+    """What may be an identifier behind a pattern of seeds, outside the spans, with the words in front of it."""
+    hits = F.regexp_extract_all(text, F.lit(FOLLOWER), F.lit(0))
+    both = F.arrays_zip(F.slice(F.split(text, FOLLOWER, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
+    state = f"struct<at:int,tail:string,found:{SPAN}>"
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().alias("found")).cast(state)
+
+    def step(done, x):
+        first = done["at"] + F.length(x["gap"])
+        end = first + F.length(x["hit"])
+        span = F.struct(
+            F.lit(LEARNED).alias("kind"), first.alias("start"), end.alias("end"), x["hit"].alias("value"),
+            _pattern(F.concat(done["tail"], x["gap"])).alias("pattern"),
+        )
+        return F.struct(
+            end.alias("at"), F.substring(F.concat(done["tail"], x["gap"], x["hit"]), -CONTEXT, CONTEXT).alias("tail"),
+            F.concat(done["found"], F.array(span)).alias("found"),
+        ).cast(state)
+
+    found = F.aggregate(both, start, step, lambda done: done["found"])
+    return F.filter(
+        found, lambda w: (w["pattern"] != "") & ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
+    )
+
+
+def _widest(spans: Column) -> Column:
+    """The spans that no other one holds."""
+    return F.filter(spans, lambda s: ~F.exists(
+        spans, lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    ))
+
+
 def _scored(edges: DataFrame, stage: Stage, rounds: int, support: int) -> DataFrame:
     """(pattern, value, seed, score, sure) after ``rounds`` of going back and forth."""
     now = edges.withColumn("sure", F.col("seed").cast("double")).withColumn("score", F.lit(0.0))
@@ -149,14 +193,17 @@ def _scored(edges: DataFrame, stage: Stage, rounds: int, support: int) -> DataFr
 
 
 def _found(docs: DataFrame, stage: Stage) -> DataFrame:
-    """(row, doc_id, mark, base, words): what the rules and the look of words give, without the texts."""
+    """(row, doc_id, mark, base, words, followers): what the rules and the look of words give, without the texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"),
         text.alias("text"), rule_spans(text).alias("base"),
     )
     return stage.keep(
-        base.select("row", "doc_id", F.xxhash64("text").alias("mark"), "base", _candidates(F.col("text"), F.col("base")).alias("words")),
+        base.select(
+            "row", "doc_id", F.xxhash64("text").alias("mark"), "base",
+            _candidates(F.col("text"), F.col("base")).alias("words"), _followers(F.col("text"), F.col("base")).alias("followers"),
+        ),
         "found",
     )
 
@@ -164,9 +211,15 @@ def _found(docs: DataFrame, stage: Stage) -> DataFrame:
 def learned_words(found: DataFrame, stage: Stage, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
     """(row, doc_id, mark, start, end, value): identifiers that trusted patterns discover."""
     seeds = found.select(F.explode("base").alias("s")).select("s.pattern", F.lower("s.value").alias("value"), F.lit(1).alias("seed"))
-    places = found.select("row", "doc_id", "mark", F.explode("words").alias("s")).select(
-        "row", "doc_id", "mark", "s.start", "s.end", F.lower("s.value").alias("value"), "s.pattern"
-    )
+
+    def at(words):
+        return found.select("row", "doc_id", "mark", F.explode(words).alias("s")).select(
+            "row", "doc_id", "mark", "s.start", "s.end", F.lower("s.value").alias("value"), "s.pattern"
+        )
+
+    supported = seeds.filter("pattern <> ''").groupBy("pattern").agg(F.count_distinct("value").alias("n")).filter(F.col("n") >= support)
+    behind = stage.keep(at("followers").join(supported, "pattern", "left_semi").select(*at("words").columns), "followers")
+    places = at("words").union(behind)
     edges = seeds.union(places.select("pattern", "value", F.lit(0))).filter("pattern <> ''")
     edges = stage.keep(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
     good = _scored(edges, stage, rounds, support).filter(
@@ -189,7 +242,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     found = _found(docs, stage)
     learned = learned_words(found, stage).groupBy("row").agg(
         F.array_join(F.transform(
-            F.sort_array(F.collect_list(F.struct("start", "end"))),
+            _widest(F.sort_array(F.collect_set(F.struct("start", "end")))),
             lambda s: F.concat_ws(":", F.lit(LEARNED), s["start"].cast("string"), s["end"].cast("string")),
         ), ",").alias("learned")
     )

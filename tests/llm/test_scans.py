@@ -198,6 +198,18 @@ def test_learned_identifiers(spark):
     assert spans[12] == "" and spans[13] == "ip:13:21" and spans[0] == "email:13:21"
 
 
+def test_learned_identifiers_of_any_shape(spark):
+    shapes = ["555-123-4567", "123-45-6789", "DE44 5001 0517", "C01X00T47", "customer-12345", "ann at example dot org", "(555) 123-4567"]
+    rows = [f"my e-mail: u{i}@x.com and more" for i in range(9)] + [f"my e-mail: {shape} and more" for shape in shapes] + [
+        f"some other {shape} here" for shape in shapes]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.personal_data(frame).collect()}
+    assert [spans[9 + n] for n in range(len(shapes))] == [f"learned:11:{11 + len(shape)}" for shape in shapes]
+    assert all(spans[9 + len(shapes) + n] == "" for n in range(len(shapes)))
+    clean = {r["doc_id"]: r["text"] for r in pii.redacted(frame).collect()}
+    assert {clean[9 + n] for n in range(len(shapes))} == {"my e-mail: [LEARNED] and more"}
+
+
 def test_redaction(spark, odd_docs):
     frame = spark.createDataFrame([(i, t, "k") for i, t in enumerate(LEARNING + PERSONAL_TEXTS[:2])], "doc_id bigint, text string, kind string")
     found = {r["doc_id"]: r["text"] for r in pii.redacted(frame).collect()}
