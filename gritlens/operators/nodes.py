@@ -27,12 +27,8 @@ CALL_BODY = r"(?:\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)|\([\s\S]*)"
 # and what must follow it.
 CALLS = {
     "J01": (r"(?:^|[^\w$.])", r"(?:eval|Function|window\.eval)", r"\s*\("),
-    "J02": (r"(?i)", r"[\w$.]*(?:query|execute|rawQuery|executeSql)", r"\s*\(\s*" + C.FIRST_ARGUMENT_BUILT),
-    "J03": (r"(?i)", r"[\w$.]*(?:exec|execSync)", r"\s*\(\s*" + C.FIRST_ARGUMENT_BUILT),
     "J04": (r"(?i)", r"[\w$.]*createHash", r"""\s*\(\s*["']?(?:md5|sha1)["']?\s*(?:[,)]|$)"""),
     "J05": (r"(?:^|[^\w$.])", r"Math\.random", r"\s*\("),
-    "J06": (r"(?i)", r"[\w$.]*(?:axios\.get|axios\.post|fetch|http\.get|https\.get)",
-            r"\s*\(\s*" + C.FIRST_ARGUMENT_TO + C.REQUEST_INPUT),
 }
 CALLS["J11"] = CALLS["J01"]
 
@@ -49,7 +45,6 @@ def _call_text(rule_id: str, line: Column) -> Column:
 
 HASH_NAME = r"""(?i)createHash\s*\(\s*["']?(md5|sha1)"""
 REQUEST_ARGUMENT = r"(?i)(?:axios\.get|axios\.post|fetch|http\.get|https\.get)\s*\(\s*([^,)]*)"
-SQL_CONCATENATED = r"(?i)(?:query|execute|rawQuery|executeSql)\s*\(\s*" + C.CONCATENATED
 AWS_DECLARED = C.DECLARATION + r"""([\w$]+)(?:\s*:\s*[^=]+)?\s*=\s*["']([^"']*""" + C.AWS_KEY + r")"
 CREDENTIAL_DECLARED = (
     r"(?i)" + C.DECLARATION + r"([\w$]*(?:api_?key|secret_?key|auth_?token|jwt_?secret|db_?pass|password)[\w$]*)"
@@ -179,18 +174,15 @@ def node_values(rule_id: Column) -> dict[str, Column]:
         .when(X.matches(trimmed, C.FORMATTED), F.lit("FormattedValue (f-string)"))
         .otherwise(F.lit(".format()"))
     )
-    built = F.when(
-        X.matches(statement, SQL_CONCATENATED), F.lit("BinaryExpression (+) string concatenation")
-    ).otherwise(F.lit("TemplateExpression (${...}) variable interpolation"))
     assigned = X.extract(trimmed, C.PYTHON_ASSIGN)
     return {
-        "callee": F.coalesce(_by_rule(callee, rule_id), python_callee),
+        "callee": F.coalesce("call.callee", _by_rule(callee, rule_id), python_callee),
         "name": _by_rule(
             {"J09": X.extract(statement, AWS_DECLARED), "J10": X.extract(statement, CREDENTIAL_DECLARED),
              "P06": assigned, "P07": assigned},
             rule_id,
         ),
-        "detail": _by_rule({"J02": built, "P01": formatted}, rule_id),
+        "detail": _by_rule({"J02": F.col("call.kind"), "P01": formatted}, rule_id),
         "algorithm": _by_rule(
             {"J04": F.lower(X.extract(statement, HASH_NAME)),
              "P04": F.when(F.contains(python_callee, F.lit("md5")), F.lit("MD5")).otherwise(F.lit("SHA-1"))},
@@ -215,6 +207,8 @@ def snippets(rule_id: Column) -> Column:
         name: X.trim(F.coalesce(empty_as_null(_call_text(name, whole)), _call_text(name, without_comments(whole)))) for name in CALLS
     }
     calls["J11"] = X.trim(_call_text("J11", line))
+    # as do calls found by their first argument, if they stand in the statement as they were read
+    calls |= {name: X.trim(F.col("call.text")) for name in ("J02", "J03", "J06")}
     return F.coalesce(
         _by_rule(
             {

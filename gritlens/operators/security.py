@@ -39,7 +39,9 @@ def _line_columns(anchored: bool) -> dict[str, Column]:
     marks = {name: X.starts_with_any(F.col("trimmed"), skip) for skip, name in compiler.COMMENTS.items()}
     bare = needed("bare", compiler.code_only(F.col("line")))
     callee = needed("callee", compiler.leftmost_call(F.col("trimmed")))
-    return {**marks, "bare": bare, "callee": F.coalesce(callee, F.lit(""))}
+    asked = X.matches(F.col("argument"), compiler.CALL)
+    calls = F.when(compiler.needs("calls") & asked if anchored else F.col("is_js") & asked, compiler.asked_calls(F.col("_code")))
+    return {**marks, "bare": bare, "callee": F.coalesce(callee, F.lit("")), "calls": calls}
 
 
 def tested_lines(
@@ -51,35 +53,34 @@ def tested_lines(
     """
     code = paths.is_js(F.col("file_path")) | paths.is_python(F.col("file_path"))
     conditions = compiler.file_conditions(F.col("content"), F.col("_low"))
-    continued = F.lit(None).cast("map<int,struct<argument:string,statement:string>>")
-    if joined:
-        continued = F.when(
-            paths.is_js(F.col("file_path")) & compiler.may_continue(F.col("content")),
-            let(X.split_lines(F.col("content")), compiler.continuations),
-        )
     flagged = files.withColumn("_low", F.when(code, F.lower("content"))).select(
         "scan_id", "repo", "file_path",
         paths.is_js(F.col("file_path")).alias("is_js"), paths.is_python(F.col("file_path")).alias("is_python"),
         *[F.coalesce(F.when(code, test), F.lit(False)).alias(name) for name, test in conditions.items()],
         *[value.alias(name) for name, value in keep.items()],
-        continued.alias("_continued"),
         "content",
     )
     # Two steps: what stands next to a generator in one select runs per line. The
-    # split stays inside the generator, else it is copied into a filter below.
-    split = F.posexplode(X.split_lines(F.col("content"))).alias("pos", "line")
+    # lines, with what goes on below them, are made inside the generator: nothing of
+    # the file stands beside a line, and a filter below doesn't make them again.
+    split = X.split_lines(F.col("content"))
+    numbered = let(split, compiler.plain_lines)
+    if joined:
+        goes_on = F.col("is_js") & compiler.may_continue(F.col("content"))
+        numbered = F.when(goes_on, let(split, compiler.code_lines)).otherwise(numbered)
     return (
-        flagged.select("*", split).drop("content")
-        .withColumn("_below", F.try_element_at("_continued", "pos"))
-        .where(wanted | F.col("_below.argument").isNotNull())
+        flagged.select("*", F.posexplode(numbered).alias("pos", "_line")).drop("content")
+        .select("*", "_line.line", F.col("_line.argument").alias("_argument"), F.col("_line.statement").alias("_statement"))
+        .where(wanted | F.col("_argument").isNotNull())
         .withColumns({
             "trimmed": X.trim(F.col("line")),
-            "argument": F.coalesce(compiler.without_comments(F.concat("line", F.lit("\n"), "_below.argument")), F.col("line")),
-            "statement": F.coalesce(F.concat("line", F.lit("\n"), "_below.statement"), F.col("line")),
+            "argument": F.coalesce(compiler.without_comments(F.concat("line", F.lit("\n"), "_argument")), F.col("line")),
+            "statement": F.coalesce(F.concat("line", F.lit("\n"), "_statement"), F.col("line")),
         })
+        .withColumn("_code", F.when(F.col("is_js"), compiler.without_comments(F.col("statement"))))
         .withColumn("anchors", compiler.found_anchors(F.col("argument")))
         .withColumns(_line_columns(anchored))
-        .drop("_continued", "_below")
+        .drop("_line", "_argument", "_statement", "_code")
     )
 
 
@@ -118,9 +119,10 @@ def scan_items(
     of_lines = (
         tested_lines(staged, {}, wanted, anchored)
         .select(
-            "scan_id", "repo", "file_path", "pos", "line", "trimmed", "argument", "statement", "callee",
+            "scan_id", "repo", "file_path", "pos", "line", "trimmed", "argument", "statement", "callee", "calls",
             F.explode(compiler.kept_hits(anchored=anchored)).alias("rule_no"),
         )
+        .withColumn("call", compiler.call_of(F.col("rule_no"))).drop("calls")
         .withColumns({"n_lines": F.lit(None).cast("int"), "item": F.lit(None).cast(FILE_ITEM)})
     )
     return of_files.unionByName(of_lines)
@@ -144,6 +146,7 @@ def _file_entries(files: DataFrame, advisories: list[D.Advisory] | None, quality
     ).select(
         "scan_id", "repo", "file_path", F.lit(0).alias("pos"),
         *[text.alias(name) for name in ("line", "trimmed", "argument", "statement", "callee")],
+        F.lit(None).cast(compiler.CALLED).alias("call"),
         F.when(F.col("entry.rule_no") == FILE_ROW, F.col("n_lines")).alias("n_lines"),
         F.col("entry.rule_no").alias("rule_no"), F.col("entry.item").alias("item"),
     )

@@ -39,6 +39,7 @@ class Rule:
     instead: tuple[str, str] | None = None  # other pattern, good under a file-level condition
     guard: str | None = None    # name of a file-level condition
     group: str | None = None    # only the first match of a group counts
+    call: str | None = None     # name of what must be the case for the first argument of a call
 
 
 # ---------------------------------------------------------------------------
@@ -93,9 +94,11 @@ _SQUARE = r"\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*){0,8}\]"
 _OPERAND = r"""[^,()\[\]{}"'`+=<>?:&|;]"""
 CONCATENATED = rf"(?:{_OPERAND}*(?:{_STRING}|{_ROUND}|{_SQUARE})){{0,8}}{_OPERAND}*\+(?:[^+=]|$)"
 FIRST_ARGUMENT_BUILT = rf"(?:{CONCATENATED}|`[^`]*\$\{{)"
-# The text of a first argument up to some word in it: no comma and no closing bracket of the call before the word.
-FIRST_ARGUMENT_TO = rf"[^,()]*(?:{_ROUND}[^,()]*){{0,8}}(?:\([^()]*){{0,3}}"
 REQUEST_INPUT = r"(?:req\.query|req\.params|req\.body|url_param|user_url)"
+# Names of calls whose first argument is looked into.
+QUERIES = r"(?:query|execute|rawQuery|executeSql)"
+COMMANDS = r"(?:exec|execSync)"
+REQUESTS = r"(?:axios\.get|axios\.post|fetch|http\.get|https\.get)"
 # A declaration, up to any of its names.
 DECLARATION = r"(?:^|[^\w$])(?:const|let|var)\s+(?:[^;]*,\s*)?"
 JS_EVAL = r"(?:^|[^\w$.])(?:eval|Function|window\.eval)\s*\("
@@ -146,13 +149,12 @@ RULES: list[Rule] = [
              "CallExpression ({callee}) -> {detail}",
              "AST Node: CallExpression ('{callee}') with argument of type {detail}. Dynamic user variables concatenated directly into SQL queries risk full database compromise.",
              'Use parameterized queries: db.query("SELECT * FROM users WHERE id = $1", [userId]) or prepared statements.',
-             subject="statement", anchors=("+", "${"),
-             every=(r"(?i)(?:query|execute|rawQuery|executeSql)\s*\(\s*" + FIRST_ARGUMENT_BUILT,)),
+             subject="statement", anchors=("+", "${"), call="built_query"),
     _js_node("J03", "CRITICAL", "Command Injection via Shell Execution [AST Verified]", CWE_COMMAND, A03,
              "CallExpression ({callee})",
              "AST Node: CallExpression ('{callee}') executes an unvalidated shell string formed via dynamic concatenation.",
              "Use execFile() or spawn() passing arguments as an array instead of invoking a shell interpreter.",
-             subject="statement", anchors=("+", "${"), every=(r"(?i)(?:exec|execSync)\s*\(\s*" + FIRST_ARGUMENT_BUILT,)),
+             subject="statement", anchors=("+", "${"), call="built_command"),
     _js_node("J04", "MEDIUM", "Weak Cryptographic Hash Algorithm ({upper_algorithm}) [AST Verified]", CWE_HASH, A02,
              "CallExpression ({callee} with '{algorithm}')",
              "AST Node: CallExpression ('{callee}') initializes broken hash algorithm '{algorithm}'. Vulnerable to collision attacks.",
@@ -167,8 +169,7 @@ RULES: list[Rule] = [
              "CallExpression ({callee} with untrusted input)",
              "AST Node: CallExpression ('{callee}') initiates outbound network requests using untrusted client input '{argument}' without allowlist validation.",
              "Validate target hosts against a strict server-side allowlist and restrict internal private IP ranges (RFC 1918).",
-             subject="statement", anchors=("req.", "url_param", "user_url"),
-             every=(r"(?i)(?:axios\.get|axios\.post|fetch|http\.get|https\.get)\s*\(\s*" + FIRST_ARGUMENT_TO + REQUEST_INPUT,)),
+             subject="statement", anchors=("req.", "url_param", "user_url"), call="outer_request"),
     _js_node("J07", "HIGH", "Cross-Site Scripting (DOM XSS via innerHTML) [AST Verified]", CWE_XSS_LONG, A03,
              "BinaryExpression (= to {target})",
              "AST Node: BinaryExpression assigns unescaped data directly to '{target}', exposing web users to script execution.",

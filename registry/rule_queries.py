@@ -22,6 +22,19 @@ GUARD_SQL = {
 }
 
 
+# First arguments as patterns: brackets two deep, which is enough for the code of these corpora.
+_ROUND = r"\([^()]*(?:\([^()]*\)[^()]*){0,8}\)"
+FIRST_ARGUMENT_TO = rf"[^,()]*(?:{_ROUND}[^,()]*){{0,8}}(?:\([^()]*){{0,3}}"
+ARGUMENT_PATTERNS = {
+    "built_query": (R.QUERIES, R.FIRST_ARGUMENT_BUILT), "built_command": (R.COMMANDS, R.FIRST_ARGUMENT_BUILT),
+    "outer_request": (R.REQUESTS, FIRST_ARGUMENT_TO + R.REQUEST_INPUT),
+}
+CALL_PATTERNS = dict(nodes.CALLS) | {
+    rule.rule_id: (r"(?i)", r"[\w$.]*" + ARGUMENT_PATTERNS[rule.call][0], r"\s*\(\s*" + ARGUMENT_PATTERNS[rule.call][1])
+    for rule in R.RULES if rule.call
+}
+
+
 def rule_sql(rule: R.Rule) -> str:
     # No call goes on below its line in these corpora; see calls_over_lines.
     subject = {"line": "line", "statement": "line", "trimmed": "trimmed", "code": "code_text"}[rule.subject]
@@ -33,7 +46,8 @@ def rule_sql(rule: R.Rule) -> str:
     tests += [f"NOT starts_with(trimmed, {quoted(mark)})" for mark in rule.skip]
     tests += [rule.guard] if rule.guard else []
     tests += [test(rule.callee, "callee")] if rule.callee else []
-    found = " AND ".join(test(p) for p in rule.every) or "true"
+    every = rule.every + (("(?i)" + r"\s*\(\s*".join(ARGUMENT_PATTERNS[rule.call]),) if rule.call else ())
+    found = " AND ".join(test(p) for p in every) or "true"
     if rule.instead:
         found = f"({found} OR ({rule.instead[1]} AND {test(rule.instead[0])}))"
     tests.append(found)
@@ -219,12 +233,12 @@ def markup_targets(spark, sf_dir):
 
 
 def _callee_sql(rule_id: str, text: str) -> str:
-    before, name, after = nodes.CALLS[rule_id]
+    before, name, after = CALL_PATTERNS[rule_id]
     return f"regexp_extract({text}, {quoted(f'{before}({name}){after}')}, 1)"
 
 
 def _call_sql(rule_id: str) -> str:
-    before, name, _ = nodes.CALLS[rule_id]
+    before, name, _ = CALL_PATTERNS[rule_id]
     body = r"(?:\((?:[^()]+|\((?:[^()]+|\([^()]*\))*\))*\)|\(.*)"
     return f"trim(regexp_extract(line, {quoted(f'{before}({name}' + chr(92) + f's*{body})')}, 1), {C.BLANKS})"
 
@@ -232,7 +246,7 @@ def _call_sql(rule_id: str) -> str:
 _AWS, _CREDENTIAL = quoted(nodes.AWS_DECLARED), quoted(nodes.CREDENTIAL_DECLARED)
 _ASSIGN, _HASH = quoted(R.PYTHON_ASSIGN), quoted(nodes.HASH_NAME)
 SNIPPET_SQL = "CASE rule_id " + " ".join(
-    f"WHEN '{name}' THEN {_call_sql(name)}" for name in nodes.CALLS
+    f"WHEN '{name}' THEN {_call_sql(name)}" for name in CALL_PATTERNS
 ) + f"""
   WHEN 'J07' THEN trim(regexp_extract(line, {quoted(nodes.MARKUP_ASSIGNMENT)}, 1), {C.BLANKS})
   WHEN 'J08' THEN regexp_extract(line, '(dangerouslySetInnerHTML\\s*=\\s*\\{{(?:[^{{}}]+|\\{{[^{{}}]*\\}})*\\}}?)', 1)

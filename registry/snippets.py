@@ -134,6 +134,12 @@ FIRST_ARGUMENTS = [
     ("db.query(f(a + b))", set()), ("db.query(i++)", set()), ("db.query(a == b + c)", set()), ("db.query({text: a + b})", set()),
     ("db.query(x => x + 1)", set()), ("db.query('a + b')", set()), ("db.query(a); log(b + c)", set()),
     ("https.get(BASE); log(req.query.x)", set()), ('fetch("https://a.b"); save(req.body)', set()), ("fetch(req.query.url)", {"J06"}),
+    ("exec(path.join(dirname(fileURLToPath(u))) + cmd)", {"J03"}), ("db.query(a(b(c(x))) + id)", {"J02"}),
+    ("db.query(a(b(c(d(e(f(x))), [y[z[0]]]))) + id, cb)", {"J02"}), ("db.query(a(b(c(d(x + y)))))", set()), ("db.query(a + b == c)", set()),
+    ("db.query(`a${x}` + b)", {"J02"}), ("db.query(`a${b ? `c` : d(e)}`, f)", {"J02"}), ("exec(a(`b${c}`), d)", set()),
+    (r"db.query(s.replace(/[(\"]/g, '') + id)", {"J02"}), (r"db.query(s.replace(/\/'/, ''), a + b)", set()), ("db.query(a / 2, '/' + b)", set()),
+    ("fetch(a(b(c(d(e(req.body.u))))))", {"J06"}), ("fetch(a(b(c(d))), req.body)", set()), ("exec(fetch(a), fetch(b(req.params.x)))", {"J06"}),
+    ("db.query(a); db.query(b + c)", {"J02"}), ("db.query(exec(a + b), c)", {"J03"}),
     ("fetch(build(a, req.query.url))", {"J06"}), ("fetch(base, req.body)", set()), ("axios.get(host(1) + req.params.id)", {"J06"}),
 ]
 # Declarations likewise.
