@@ -39,8 +39,8 @@ CALL = "(?i)" + LOOKED_FOR
 # A line that ends inside the first argument of such a call, or before the value of a declaration.
 OPEN_CALL = r"(?i)(?:(?:^|[^\w$])(?:const|let|var)\s[^;]*[^=!<>]=\s*$|" + LOOKED_FOR + r"\s*(`[^`]*)?$)"
 # What can open or close a bracket, string, template, comment or regular expression;
-# a slash behind an operator or an opening bracket begins the latter.
-PATTERN_START = r"(?<=[(,=:\[!&|?{};+\-*%<>~^])[ \t]*+/(?![/*])"
+# a slash behind an operator or an opening bracket begins the latter (but in markup).
+PATTERN_START = r"(?<=[(,=:\[!&|?{;+\-*%~^])[ \t]*+/(?![/*>])"
 TOKEN = CALL + r"""|\\.|//|/\*|\*/|""" + PATTERN_START + r"""|/|\$\{|["'`()\[\]{},]"""
 SCOPES = {"js": "is_js", "python": "is_python", "code": "(is_js OR is_python)"}
 SUBJECTS = {"line": "line", "trimmed": "trimmed", "code": "bare", "statement": "argument"}
@@ -361,7 +361,7 @@ def _after_piece(state: Column, piece: Column) -> Column:
     return F.struct(
         behind.alias("at"), new_stack.alias("stack"), new_open.alias("open"),
         F.when(F.btrim(piece, F.lit(X.WHITESPACE)) == "", state["operator"]).otherwise(
-            X.matches(piece, r"^[(,=:\[!&|?{};+\-*%<>~^]$|[(=+!*%~^<>-]\s*$")).alias("operator"),
+            X.matches(piece, r"^[(,=:\[!&|?{;+\-*%~^]$|[(=+!*%~^-]\s*$")).alias("operator"),
         found("built_query", "q", over & top.isin("Q", "t"), last, F.when(top == "Q", F.lit(BINARY)).otherwise(F.lit(TEMPLATE))),
         found("built_command", "e", over & top.isin("E", "T"), last, F.when(top == "E", F.lit(BINARY)).otherwise(F.lit(TEMPLATE))),
         found("outer_request", "f", F.contains(stack, F.lit("f")) & X.matches(piece, "(?i)" + C.REQUEST_INPUT), request, F.lit("")),

@@ -139,7 +139,7 @@ FIRST_ARGUMENTS = [
     ("db.query(`a${x}` + b)", {"J02"}), ("db.query(`a${b ? `c` : d(e)}`, f)", {"J02"}), ("exec(a(`b${c}`), d)", set()),
     (r"db.query(s.replace(/[(\"]/g, '') + id)", {"J02"}), (r"db.query(s.replace(/\/'/, ''), a + b)", set()), ("db.query(a / 2, '/' + b)", set()),
     ("fetch(a(b(c(d(e(req.body.u))))))", {"J06"}), ("fetch(a(b(c(d))), req.body)", set()), ("exec(fetch(a), fetch(b(req.params.x)))", {"J06"}),
-    ("db.query(a); db.query(b + c)", {"J02"}), ("db.query(exec(a + b), c)", {"J03"}),
+    ("<p a={{b: x}} />; db.query(b + c)", {"J02"}), ("<p>{x}</p>; db.query(b + c)", {"J02"}), ("db.query(a); db.query(b + c)", {"J02"}), ("db.query(exec(a + b), c)", {"J03"}),
     ("fetch(build(a, req.query.url))", {"J06"}), ("fetch(base, req.body)", set()), ("axios.get(host(1) + req.params.id)", {"J06"}),
 ]
 # Declarations likewise.
