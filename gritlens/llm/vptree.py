@@ -15,7 +15,8 @@ the others are not indexed; a vector that a third of the rows share is k + 1 row
 
 Rules for odd rows: vectors that are null, zero or hold a null or non-finite
 component neither ask nor answer; vectors of different lengths do not meet. Rows
-that repeat an id and its vector are one. A row is never its own neighbour, nor is
+that repeat an id and its vector are one; an id with several vectors counts by the one
+nearest to the query. A row is never its own neighbour, nor is
 another row with its id. Null ids take no part. Without candidates a query has no
 rows.
 """
@@ -75,19 +76,20 @@ class Tree:
         self.nodes[number] = (low, high, inner, outer, bounds)
         return number
 
-    def search(self, asked: "Asked", ids: np.ndarray, relax: float) -> None:
-        """Improve ``asked`` with the points; ``ids`` in the points' first order."""
-        self._visit(0, np.arange(len(asked.unit)), asked, ids[self.order], relax)
+    def search(self, asked: "Asked", ids: np.ndarray, relax: float, rows: np.ndarray | None = None) -> None:
+        """Improve ``asked`` with the points; ``ids`` and ``rows`` (their numbers) in the points' first order."""
+        rows = np.arange(len(ids)) if rows is None else rows
+        self._visit(0, np.arange(len(asked.unit)), asked, ids[self.order], rows[self.order], relax)
 
-    def _visit(self, number: int, some: np.ndarray, asked: "Asked", ids: np.ndarray, relax: float) -> None:
+    def _visit(self, number: int, some: np.ndarray, asked: "Asked", ids: np.ndarray, rows: np.ndarray, relax: float) -> None:
         node = self.nodes[number]
         low, high = node[:2]
         if len(node) == 2:
-            asked.meet(some, np.einsum("ij,kj->ik", asked.unit[some], self._unit[low:high]), ids[low:high])
+            asked.meet(some, np.einsum("ij,kj->ik", asked.unit[some], self._unit[low:high]), ids[low:high], rows[low:high])
             return
         _, _, inner, outer, (a, b, c, d) = node
         cosine = np.einsum("ij,kj->ik", asked.unit[some], self._unit[low : low + 1])
-        asked.meet(some, cosine, ids[low : low + 1])
+        asked.meet(some, cosine, ids[low : low + 1], rows[low : low + 1])
         angle = np.arccos(np.clip(cosine[:, 0], -1, 1))
         halves = [(inner, np.maximum(np.maximum(a - angle, angle - b), 0)), (outer, np.maximum(np.maximum(c - angle, angle - d), 0))]
         if np.mean(halves[0][1]) > np.mean(halves[1][1]):
@@ -95,22 +97,23 @@ class Tree:
         for child, bound in halves:
             going = some[bound * relax <= asked.reach(some) + 1e-12]
             if len(going):
-                self._visit(child, going, asked, ids, relax)
+                self._visit(child, going, asked, ids, rows, relax)
 
 
 class Asked:
-    """Queries and the k best of each so far, by cosine and then smaller id."""
+    """Queries and the k best ids of each so far, by cosine and then smaller id; an id counts by its best row."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.unit, self.k = ids, vectors, unit(vectors), k
         self.score = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.row = np.full((len(ids), k), -1)
 
     def reach(self, some: np.ndarray) -> np.ndarray:
         worst = self.score[some, -1]
         return np.where(np.isinf(worst), np.pi, np.arccos(np.clip(worst, -1, 1)))
 
-    def meet(self, some: np.ndarray, cosine: np.ndarray, ids: np.ndarray) -> None:
+    def meet(self, some: np.ndarray, cosine: np.ndarray, ids: np.ndarray, numbers: np.ndarray) -> None:
         cosine = np.where(ids[None, :] == self.ids[some][:, None], -np.inf, cosine)
         better = np.flatnonzero(cosine.max(axis=1) >= self.score[some, -1])
         if not len(better):
@@ -118,10 +121,20 @@ class Asked:
         rows = some[better]
         score = np.concatenate([self.score[rows], cosine[better]], axis=1)
         found = np.concatenate([self.found[rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
+        row = np.concatenate([self.row[rows], np.broadcast_to(numbers, (len(rows), len(ids)))], axis=1)
         found = np.where(np.isinf(score), np.iinfo(np.int64).max, found)
+        if len(np.unique(ids)) < len(ids) or np.isin(self.found[rows], ids).any():
+            # of several rows of an id only the best has a place
+            by_id = np.lexsort((-score, found), axis=1)
+            sorted_ = np.take_along_axis(found, by_id, axis=1)
+            again = np.zeros(found.shape, bool)
+            np.put_along_axis(again[:, :], by_id[:, 1:], sorted_[:, 1:] == sorted_[:, :-1], axis=1)
+            score = np.where(again, -np.inf, score)
+            found = np.where(again, np.iinfo(np.int64).max, found)
         best = np.lexsort((found, -score), axis=1)[:, : self.k]
         self.score[rows] = np.take_along_axis(score, best, axis=1)
         self.found[rows] = np.take_along_axis(found, best, axis=1)
+        self.row[rows] = np.take_along_axis(row, best, axis=1)
 
 
 def _plant(table):
@@ -149,18 +162,20 @@ def _search(k: int, relax: float):
             return empty
         vectors = matrix(queries.column("embedding"))
         asked = Asked(queries.column("vec_id").to_numpy(), vectors, k)
-        places = {}
+        met: list[np.ndarray] = []
+        many = 0
         for ids, points, tree in zip(*(shards.column(c).to_pylist() for c in ("ids", "points", "tree"))):
             ids = np.frombuffer(ids, "<i8")
             points = np.frombuffer(points, np.float64).reshape(len(ids), -1)
-            _planted(points, *pickle.loads(tree)).search(asked, ids, relax)
-            places.update(zip(ids.tolist(), points))
+            _planted(points, *pickle.loads(tree)).search(asked, ids, relax, np.arange(many, many + len(ids)))
+            met.append(points)
+            many += len(ids)
         query, rank = np.nonzero(~np.isinf(asked.score))
         found = asked.found[query, rank]
         if not len(found):
             return empty
         # the score that counts is the cosine of the vectors as they are
-        score = cosines(vectors[query], np.stack([places[i] for i in found.tolist()]))
+        score = cosines(vectors[query], np.concatenate(met)[asked.row[query, rank]])
         return pa.table({
             "query_id": asked.ids[query], "query_key": queries.column("query_key").to_numpy()[query],
             "vec_id": found, "score": score,
@@ -206,7 +221,7 @@ def nearest(embeddings: DataFrame, asks: Column, k: int = 5, relax: float = RELA
     found = queries.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInArrow(_search(k, relax), RESULT)
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return (
-        found.dropDuplicates(["query_id", "query_key", "vec_id"])
+        found.groupBy("query_id", "query_key", "vec_id").agg(F.max("score").alias("score"))
         .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )

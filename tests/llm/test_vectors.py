@@ -59,6 +59,22 @@ def test_exact_search(spark, shard):
     assert np.allclose([f[3] for f in found], [e[3] for e in expected], atol=1e-12)
 
 
+@pytest.mark.parametrize("shard", [4096, 100])
+def test_repeated_ids_search(spark, shard):
+    """An id with several vectors has one place, that of its nearest vector."""
+    rng = np.random.default_rng(8)
+    rows = [(50, [1.0, 0.0], 1)] + [(7, [1.0, x], 1) for x in (0.01, 0.02, 0.9)] + [(int(i), [1.0, float(i)], 1) for i in range(1, 7)]
+    rows += [(int(rng.integers(100, 160)), [float(c) for c in np.float32(rng.normal(size=3))], 1) for _ in range(500)]
+    table = frame(spark, rows)
+    found = vptree.nearest(table, table["vec_id"] % 50 == 0, relax=1.0, shard=shard).collect()
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found)
+    expected = nearest([(i, np.float32(v).tolist(), l) for i, v, l in rows])
+    assert sum(f[0] == 50 for f in found) == 5
+    assert [f[:2] for f in found] == [e[:2] for e in expected]
+    assert sorted(f[:3] for f in found) == sorted(e[:3] for e in expected)
+    assert np.allclose(sorted(f[3] for f in found), sorted(e[3] for e in expected), atol=1e-12)
+
+
 def test_relaxed_recall(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"], None) for r in table.collect()]
@@ -73,7 +89,7 @@ def test_pruning_skips_points():
     met = []
     asked = vptree.Asked(np.array([-1]), points[100:101], 5)
     meet = asked.meet
-    asked.meet = lambda some, c, ids: (met.append(len(ids)), meet(some, c, ids))
+    asked.meet = lambda some, c, ids, rows: (met.append(len(ids)), meet(some, c, ids, rows))
     tree.search(asked, ids, 1.0)
     assert sum(met) < len(points) / 2
     assert 100 in asked.found[0] or asked.score[0, -1] > 1 - 1e-9
