@@ -6,7 +6,9 @@ best-fit decreasing and gets a lower bound on its number of sequences from
 dual-feasible functions. A partition at its bound is certified: no packing of its
 pieces is better. Partitions with a gap, and the loosest sequence of every other,
 give the documents of their loosest sequences into the next round, where they are
-dealt anew and packed again, until they fit one partition (or for ``ROUNDS``).
+dealt anew and packed again, until they fit one partition or the sum of all gaps no
+longer falls. Each piece tells the number of sequences that its partition was
+packed into and the partition's bound: where they are equal, it is certified.
 
 Only lengths and names travel; ids stay where they are made.
 
@@ -30,7 +32,6 @@ from gritlens.llm.store import Stage
 from gritlens.llm.textbuf import IS_WHITE, WHITE, Texts, per_process, run_hashes, small_slices
 
 GROUP = 40_000          # pieces packed in one task
-ROUNDS = 6
 CACHE = 400_000         # words whose ids a worker remembers
 JOINED = 2_000          # new words that are encoded at once
 SLICE_BYTES = 4 << 20
@@ -56,9 +57,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         n = self.tokenizer.get_vocab_size()
-        special = {i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = sorted({t.content for t in added.values() if t.content})  # their strings in a text are one id
+        special = {i for i, t in added.items() if t.special}
         byte_of = {c: b for b, c in _byte_characters().items()}
         tokens = {
             bytes(byte_of[c] for c in self.tokenizer.id_to_token(i)): i for i in range(n) if i not in special
@@ -146,6 +148,8 @@ def _ids_of_texts(words: WordIds, column: pa.Array, texts: Texts) -> Iterator[np
     ids, many = words.of(texts)
     at = np.concatenate([[0], np.cumsum(many)])
     whole = pc.match_substring_regex(column.fill_null(""), _RARE_SPACE.as_py()).to_numpy(zero_copy_only=False)
+    for token in words.added:
+        whole = whole | pc.match_substring(column.fill_null(""), token).to_numpy(zero_copy_only=False)
     for i in range(len(texts)):
         if whole[i]:
             yield words.encode(column[i].as_py())
@@ -258,34 +262,45 @@ def _pack(capacity: int):
     return run
 
 
-def packed(all_pieces: DataFrame, capacity: int = 2048, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces."""
+def packed(all_pieces: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFrame:
+    """Adds ``sequence_id``, ``offset``, ``partition_sequences`` and ``partition_bound`` to pieces.
+
+    The last two are those of the partition and round in which the piece was
+    packed for good; a piece as long as a sequence is a partition of its own.
+    """
     spark = all_pieces.sparkSession
     stage = Stage(spark, "packing")
     rows = stage.keep(all_pieces, "pieces")
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    one = F.lit(1).cast("bigint")
     full = rows.filter(F.col("length") >= capacity).select(
-        *all_pieces.columns, (-F.col("_row") - 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
+        *all_pieces.columns, (-F.col("_row") - 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"),
+        one.alias("partition_sequences"), one.alias("partition_bound"),
     )
     schema = f"{PIECE}, _row bigint, group bigint, number bigint, offset bigint, open boolean, gap bigint, used bigint"
     left = rows.filter(F.col("length") < capacity)
-    done, last = full, None
-    for turn in range(rounds):
+    done, turn, gaps = full, 0, None
+    while True:
         many = left.count()
         if not many:
             break
         groups = -(-many // group)
         dealt = left.withColumn("group", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(groups)))
         now = stage.keep(dealt.groupBy("group").applyInArrow(_pack(capacity), schema), f"round-{turn}")
+        before, gaps = gaps, now.groupBy("group").agg(F.first("gap").alias("gap")).agg(F.sum("gap")).first()[0]
         named = now.withColumn(
             "sequence_id", F.lit((turn + 1) << 48) + F.shiftleft("group", 20) + F.col("number")
         )
-        again = turn + 1 < rounds and groups > 1
+        again = groups > 1 and (before is None or gaps < before)
         closed = named.filter(~F.col("open")) if again else named
-        done = done.unionByName(closed.select(*all_pieces.columns, "sequence_id", "offset"))
+        done = done.unionByName(closed.select(
+            *all_pieces.columns, "sequence_id", "offset",
+            F.col("used").alias("partition_sequences"), (F.col("used") - F.col("gap")).alias("partition_bound"),
+        ))
         if not again:
             break
         left = now.filter("open").select(*all_pieces.columns, "_row")
+        turn += 1
     return done
 
 
