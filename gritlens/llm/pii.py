@@ -28,7 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gritlens.llm.store import Stage
+from gritlens.functions.lists import let
+from gritlens.llm.store import Stage, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 LEARNED = "learned"
@@ -60,7 +61,8 @@ FOLLOWER = (
     rf"|[#+(]?(?:[A-Za-z0-9]++(?:{_SIGN}++[A-Za-z0-9]++)++|[A-Za-z]*+[0-9][A-Za-z0-9]*+)"
     r"(?:\)?\x20(?=[A-Z]*+[0-9])[A-Z0-9][A-Z0-9-]++)*+)"
 )
-CONTEXT = 64          # characters in front of a match that may hold its pattern
+CONTEXT = 64          # characters in front of a match that may hold its pattern: whole words only
+PARTS = 32            # parts of a text in front of a match that are looked at; more than CONTEXT characters
 ROUNDS = 3
 SUPPORT = 3           # trusted words that a pattern needs
 TRUSTED, SURE = 0.75, 0.75
@@ -94,30 +96,75 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _pattern(gap: Column) -> Column:
-    """The last two words of what stands in front of a match, in lower case."""
-    near = F.substring(gap, -CONTEXT, CONTEXT)
-    return F.lower(F.regexp_extract(near, r"(?:^|\s)((?:\S+\s+)?\S+)\s*$", 1))
+def running(numbers: Column, add=lambda a, b: a + b) -> Column:
+    """What ``add`` makes of each number and those before it.
+
+    A fold copies what it has put together at each step, so it only goes over
+    stretches, as many as numbers in one, and then over these.
+    """
+    none = F.array().cast("array<int>")
+
+    def last(found):
+        return F.try_element_at(found, F.lit(-1))
+
+    def fold(xs, value):
+        return F.aggregate(xs, none, lambda done, x: F.concat(done, F.array(
+            F.when(F.size(done) > 0, add(last(done), value(x))).otherwise(value(x))
+        )))
+
+    def stretched(xs):
+        long_ = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(xs), long_)
+        return F.transform(starts, lambda at: fold(F.slice(xs, at, long_), lambda x: x))
+
+    def carried(parts):
+        return let(fold(parts, last), lambda ends: F.flatten(F.transform(parts, lambda part, i: F.when(
+            i == 0, part
+        ).otherwise(F.transform(part, lambda x: add(F.get(ends, i - 1), x))))))
+
+    return let(numbers, lambda xs: F.when(F.size(xs) > 0, let(stretched(xs), carried)).otherwise(none))
+
+
+def _pattern(parts: Column, i: Column, start: Column) -> Column:
+    """The last two words in front of match ``i``, in lower case; only whole ones, and none that a longer word hides.
+
+    ``parts`` has the ends of each gap and match. A match's pattern depends on the
+    ``CONTEXT`` characters in front of it alone, whatever else is found in the text.
+    """
+    earlier = F.slice(parts, F.greatest(i - PARTS, F.lit(0)) + 1, F.least(i, F.lit(PARTS)))
+    own = F.get(parts, i)["gap"]
+    joined = F.concat(F.array_join(F.transform(earlier, lambda p: F.concat(p["gap"], p["hit"])), ""), own)
+    near = F.when(F.length(own) >= CONTEXT, own).otherwise(F.substring(joined, -CONTEXT, CONTEXT))
+    words = r"((?:\S+\s+)?\S+)\s*$"
+    return F.lower(F.when(start <= CONTEXT, F.regexp_extract(near, r"(?:^|\s)" + words, 1)).otherwise(
+        F.regexp_extract(near, r"\s" + words, 1)
+    ))
 
 
 def _spans(text: Column, kind: str, match: str) -> Column:
     """All matches as an array of (kind, start, end, value, pattern); positions in code points."""
-    gaps = F.split(text, match, -1)
-    hits = F.regexp_extract_all(text, F.lit(match), F.lit(0))
-    both = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
-    ends = F.aggregate(
-        both, F.array().cast("array<int>"),
-        lambda done, x: F.concat(done, F.array(
-            F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + F.length(x["gap"]) + F.length(x["hit"])
-        )),
-    )
-    return F.transform(
-        F.arrays_zip(both.alias("x"), ends.alias("end")),
-        lambda z: F.struct(
-            F.lit(kind).alias("kind"), (z["end"] - F.length(z["x"]["hit"])).alias("start"), z["end"].alias("end"),
-            z["x"]["hit"].alias("value"), _pattern(z["x"]["gap"]).alias("pattern"),
-        ),
-    )
+
+    def ends(of):
+        return running(F.transform(of, lambda x: F.length(x["gap"]) + F.length(x["hit"])))
+
+    def near(of):
+        return F.transform(of, lambda x: F.struct(
+            F.substring(x["gap"], -CONTEXT, CONTEXT).alias("gap"), F.substring(x["hit"], -CONTEXT, CONTEXT).alias("hit")
+        ))
+
+    def placed(of):
+        return let(ends(of), lambda e: let(near(of), lambda parts: F.transform(of, lambda x, i: let(
+            F.get(e, i) - F.length(x["hit"]), lambda start: F.struct(
+                F.lit(kind).alias("kind"), start.alias("start"), F.get(e, i).alias("end"), x["hit"].alias("value"),
+                _pattern(parts, i, start).alias("pattern"),
+            )
+        ))))
+
+    def cut(hits):
+        gaps = F.slice(F.split(text, match, -1), F.lit(1), F.size(hits))
+        return F.when(F.size(hits) > 0, let(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), placed))
+
+    return F.coalesce(let(F.regexp_extract_all(text, F.lit(match), F.lit(0)), cut), F.array().cast(SPAN))
 
 
 def rule_spans(text: Column) -> Column:
@@ -131,46 +178,54 @@ def rule_spans(text: Column) -> Column:
     return F.concat(*[of(kind) for kind in KINDS])
 
 
+def _apart(words: Column, spans: Column) -> Column:
+    """The words that no span overlaps.
+
+    Of the spans that start in front of a word's end, one overlaps it if the
+    farthest end of theirs lies behind the word's start: a search in the sorted starts.
+    """
+
+    def farthest(sorted_):
+        return let(running(sorted_["end"], F.greatest), lambda ends: let(sorted_["start"], lambda starts: F.filter(
+            words, lambda w: ~F.coalesce(F.get(ends, before(starts, w["end"]) - 1) > w["start"], F.lit(False))
+        )))
+
+    def before(starts, end):
+        """How many starts are smaller."""
+        steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(starts) + 1)).cast("int") + 1)
+        found = F.aggregate(
+            steps, F.struct(F.lit(0).alias("low"), F.size(starts).alias("high")),
+            lambda s, _: let(F.floor((s["low"] + s["high"]) / 2).cast("int"), lambda middle: F.when(
+                F.coalesce(F.get(starts, middle) < end, F.lit(False)) & (middle < s["high"]),
+                F.struct((middle + 1).alias("low"), s["high"].alias("high")),
+            ).otherwise(F.struct(s["low"].alias("low"), F.least(middle, s["high"]).alias("high")))),
+        )
+        return found["low"]
+
+    few = F.filter(words, lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    places = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.when(F.size(spans) <= 16, few).otherwise(let(places, farthest))
+
+
 def _candidates(text: Column, spans: Column) -> Column:
     """Identifier-like words outside the spans."""
-    words = F.filter(
-        _spans(text, LEARNED, WORD_LIKE),
-        lambda w: (F.length(w["value"]) >= 6)
-        & ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])),
-    )
-    return F.when(F.rlike(text, F.lit("[0-9]{4}")), words).otherwise(F.array().cast(SPAN))
+    words = F.filter(_spans(text, LEARNED, WORD_LIKE), lambda w: F.length(w["value"]) >= 6)
+    return F.when(F.rlike(text, F.lit("[0-9]{4}")), let(words, lambda w: _apart(w, spans))).otherwise(F.array().cast(SPAN))
 
 
 def _followers(text: Column, spans: Column) -> Column:
     """What may be an identifier behind a pattern of seeds, outside the spans, with the words in front of it."""
-    hits = F.regexp_extract_all(text, F.lit(FOLLOWER), F.lit(0))
-    both = F.arrays_zip(F.slice(F.split(text, FOLLOWER, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
-    state = f"struct<at:int,tail:string,found:{SPAN}>"
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().alias("found")).cast(state)
-
-    def step(done, x):
-        first = done["at"] + F.length(x["gap"])
-        end = first + F.length(x["hit"])
-        span = F.struct(
-            F.lit(LEARNED).alias("kind"), first.alias("start"), end.alias("end"), x["hit"].alias("value"),
-            _pattern(F.concat(done["tail"], x["gap"])).alias("pattern"),
-        )
-        return F.struct(
-            end.alias("at"), F.substring(F.concat(done["tail"], x["gap"], x["hit"]), -CONTEXT, CONTEXT).alias("tail"),
-            F.concat(done["found"], F.array(span)).alias("found"),
-        ).cast(state)
-
-    found = F.aggregate(both, start, step, lambda done: done["found"])
-    return F.filter(
-        found, lambda w: (w["pattern"] != "") & ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    )
+    found = F.filter(_spans(text, LEARNED, FOLLOWER), lambda w: w["pattern"] != "")
+    return let(found, lambda w: _apart(w, spans))
 
 
 def _widest(spans: Column) -> Column:
-    """The spans that no other one holds."""
-    return F.filter(spans, lambda s: ~F.exists(
-        spans, lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
-    ))
+    """The different spans (start, end) that no other one holds, in order: those that end behind all that start before."""
+    longest_first = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"))))
+    return let(longest_first, lambda of: let(running(F.transform(of, lambda s: -s["minus"]), F.greatest), lambda ends: F.transform(
+        F.filter(of, lambda s, i: (i == 0) | (F.get(ends, i - 1) < -s["minus"])),
+        lambda s: F.struct(s["start"].alias("start"), (-s["minus"]).alias("end")),
+    )))
 
 
 def _scored(edges: DataFrame, stage: Stage, rounds: int, support: int) -> DataFrame:
@@ -242,7 +297,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     found = _found(docs, stage)
     learned = learned_words(found, stage).groupBy("row").agg(
         F.array_join(F.transform(
-            _widest(F.sort_array(F.collect_set(F.struct("start", "end")))),
+            _widest(F.collect_set(F.struct("start", "end"))),
             lambda s: F.concat_ws(":", F.lit(LEARNED), s["start"].cast("string"), s["end"].cast("string")),
         ), ",").alias("learned")
     )
@@ -256,40 +311,57 @@ def personal_data(docs: DataFrame) -> DataFrame:
     )
 
 
+CHUNK = 4096  # characters that a piece of a long text is cut from
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with the names of the kinds in place of the spans (start, end, kind), of which the first of overlapping ones counts."""
+    many = F.size(spans) > CHUNK // 64
+
+    def put(of, ends, chunks):
+        # chunks are only cut for texts with many spans, in which each piece would be looked for from the text's start
+        def piece(low, high):
+            first = F.floor(low / CHUNK).cast("int")
+            some = F.array_join(F.slice(chunks, first + 1, F.floor(high / CHUNK).cast("int") - first + 1), "")
+            return F.when(many, F.substring(some, low - first * CHUNK + 1, high - low)).otherwise(
+                F.substring(text, low + 1, high - low)
+            )
+
+        parts = F.transform(of, lambda s, i: let(
+            F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)),
+            lambda at: F.when(s["start"] >= at, F.concat(piece(at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit("")),
+        ))
+        tail = F.try_element_at(ends, F.lit(-1))
+        return F.concat(F.array_join(parts, ""), piece(tail, F.length(text)))
+
+    count = F.ceil(F.length(text) / CHUNK).cast("int")
+    chunks = F.when(many, F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.substring(text, c * CHUNK + 1, CHUNK)))
+    return let(F.array_sort(spans), lambda of: let(
+        running(of["end"], F.greatest), lambda ends: let(chunks, lambda cut: put(of, ends, cut))
+    ))
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with ``[EMAIL]`` and the like in place of personal data; null texts stay null."""
     stage = Stage(docs.sparkSession, "redaction")
+    found = _found(docs, stage)
+    place = "struct<start:int,end:int,kind:string>"
     learned = stage.keep(
-        learned_words(_found(docs, stage), stage)
-        .groupBy("doc_id", "mark").agg(F.collect_set(F.struct(F.lit(LEARNED).alias("kind"), "start", "end")).alias("_learned")),
+        learned_words(found, stage).groupBy("doc_id", "mark").agg(
+            F.collect_set(F.struct("start", "end", F.lit(LEARNED).alias("kind"))).cast(f"array<{place}>").alias("learned")
+        ),
         "learned",
     )
-    keyed = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).withColumn("_id", F.col("doc_id").cast("bigint"))
+    text = F.col("row.text")
+    keyed = docs.select(whole_row(docs).alias("row")).select(
+        "row", F.xxhash64(F.coalesce(text, F.lit(""))).alias("own"), F.col("row.doc_id").cast("bigint").alias("id")
+    )
     if learned.isEmpty():
-        joined = keyed.withColumn("_learned", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+        joined = keyed.withColumn("learned", F.array().cast(f"array<{place}>"))
     else:
-        joined = keyed.join(
-            learned.withColumnRenamed("doc_id", "_key").withColumnRenamed("mark", "_key_mark"),
-            F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_mark") == F.col("_key_mark")), "left",
-        )
-    base = F.transform(rule_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    more = F.transform(
-        F.coalesce("_learned", F.array().cast("array<struct<kind:string,start:int,end:int>>")),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
-    )
-    marked = joined.withColumn("_spans", F.array_sort(F.concat(base, more)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(done, s):
-        clear = s["start"] >= done["at"]
-        part = F.concat(F.substring(F.col("text"), done["at"] + 1, s["start"] - done["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(
-            F.greatest(done["at"], s["end"]).alias("at"),
-            F.when(clear, F.concat(done["parts"], F.array(part))).otherwise(done["parts"]).alias("parts"),
-        )
-
-    def finish(done):
-        return F.concat(F.array_join(done["parts"], ""), F.substring(F.col("text"), done["at"] + 1, F.length("text")))
-
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, finish)).otherwise(F.col("text"))
-    return marked.select(*[clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+        joined = keyed.join(learned, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("mark")), "left")
+    base = F.transform(rule_spans(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    spans = F.concat(base, F.coalesce("learned", F.array().cast(f"array<{place}>")))
+    marked = joined.select("row", spans.alias("spans"))
+    clean = F.when(F.size("spans") > 0, _replaced(text, F.col("spans"))).otherwise(text)
+    return marked.select(F.col("row").withField("text", clean).alias("row")).select("row.*")
