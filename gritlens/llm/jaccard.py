@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritlens.llm.graph import components, roots
-from gritlens.llm.store import Stage, tasks_for
+from gritlens.llm.store import Stage, tasks_for, whole_row
 from gritlens.llm.textbuf import mix, shingles, small_slices
 
 LIST = 32                   # a shingle of more documents than this is frequent
@@ -535,15 +535,15 @@ def one_of_each_group(docs: DataFrame, width: int = 5, threshold: str = "0.75")
     """The document with the smallest doc_id of each group, and every one without words."""
     labelled = _labelled(docs, width, threshold)
     first = F.min(F.struct("doc_id", "mark")).alias("first")
-    kept = labelled.filter("n_shingles > 0").groupBy("label").agg(first).select("first.*", F.lit(True).alias("_words")).union(
+    kept = labelled.filter("n_shingles > 0").groupBy("label").agg(first).select("first.*", F.lit(True).alias("words")).union(
         labelled.filter("n_shingles = 0").select("doc_id", "mark", F.lit(False)).distinct()
     )
-    kept = kept.withColumnRenamed("doc_id", "_kept_id").withColumnRenamed("mark", "_kept_mark")
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")) & (_mark() == F.col("_kept_mark"))
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("id"), _mark().alias("own"), whole_row(docs).alias("row"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("mark"))
     # equal rows of one document stay once
-    turn = F.row_number().over(Window.partitionBy("_kept_id", "_kept_mark").orderBy("_kept_id"))
-    found = docs.join(kept, same).withColumn("_turn", F.when(F.col("_words"), turn).otherwise(1)).filter("_turn = 1")
-    return found.select(*docs.columns)
+    turn = F.row_number().over(Window.partitionBy("id", "own").orderBy("id"))
+    found = keyed.join(kept, same).withColumn("turn", F.when(F.col("words"), turn).otherwise(1)).filter("turn = 1")
+    return found.select("row.*")
 
 
 def _split_often(partial):

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gritlens.llm.store import Stage
+from gritlens.llm.store import Stage, row_hash, whole_row
 from gritlens.plans.skew import running_totals
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -168,12 +168,10 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     pass its target by part of one document. Rows equal in every column share the
     decision of the one taken most.
     """
-    mark = "_mix_key"
-    row_hash = F.xxhash64(*[F.col(c) for c in docs.columns])
-    found = mix(docs, [row_hash.alias(mark)])
-    times = found.taken.select("row", "epoch").distinct().groupBy("row").agg(F.count("*").alias("_mix_times"))
-    decided = found.documents.join(times, "row").groupBy(mark).agg(F.max("_mix_times").alias("_mix_times"))
+    found = mix(docs, [row_hash(docs).alias("mark")])
+    times = found.taken.select("row", "epoch").distinct().groupBy("row").agg(F.count("*").alias("times"))
+    decided = found.documents.join(times, "row").groupBy("mark").agg(F.max("times").alias("times"))
+    keyed = docs.select(row_hash(docs).alias("mark"), whole_row(docs).alias("row"))
     return (
-        docs.withColumn(mark, row_hash).join(decided, mark)
-        .withColumn("_mix_copy", F.explode(F.sequence(_long(1), F.col("_mix_times")))).select(*docs.columns)
+        keyed.join(decided, "mark").select("row", F.explode(F.sequence(_long(1), F.col("times")))).select("row.*")
     )

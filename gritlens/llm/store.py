@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gritlens.session import scratch_path
 
@@ -29,6 +30,23 @@ class Stage:
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets one of an operator's; ``row.*`` gives them back."""
+    return F.struct(*[_column(c) for c in df.columns])
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; those of types that have none are hashed as text."""
+    hashless = ("map<", "variant")
+    return F.xxhash64(*[
+        _column(f.name).cast("string") if any(t in f.dataType.simpleString() for t in hashless) else _column(f.name) for f in df.schema
+    ])
+
+
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def tasks_for(df: DataFrame) -> int:
     """Shuffle partitions set for the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -2,12 +2,18 @@ import pytest
 
 FOLDER = "/root/testdata/sf0.001"
 
-COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, row string, class string, size int"
+#: Extra columns whose names operators use, or once used, themselves.
+CLASHING = ["_mark", "_id", "_spans", "_learned", "_turn", "_words", "_kept_id", "_kept_mark", "_mix_key", "_mix_copy", "_mix_times",
+            "mark", "id", "own", "spans", "learned", "turn", "words", "times", "label", "_row", "a.b", "features", "raw"]
+COLUMNS = (
+    "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, row string, class string, size int, m map<string,int>, "
+    + ", ".join(f"`{c}` string" for c in CLASHING)
+)
 
 
 def odd(rows):
     """Rows of documents with extra columns whose names operators use themselves."""
-    return [(i, t, "en", s, None if t is None else len(t), 0.5, "r", None, 7) for i, t, s in rows]
+    return [(i, t, "en", s, None if t is None else len(t), 0.5, "r", None, 7, {"k": 1}, *[f"v {c}" for c in CLASHING]) for i, t, s in rows]
 
 
 PROSE = "The reentry of thisher and the ondered is a wheath, then the ster of anonter was there for all to see. "
