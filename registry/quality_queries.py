@@ -47,10 +47,26 @@ def long_functions(spark, sf_dir):
     )
 
 
-@query("complex_functions", f"""WITH {C.WORDS_SQL}, {SEGMENTS_SQL}
-SELECT m.file_path, CAST(fs AS INTEGER) AS line_no, CASE WHEN bc >= 15 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, t AS code_snippet,
-  'High Cyclomatic Complexity (' || name || ': CC ' || bc || ')' AS title
-FROM m JOIN names USING (file_path, fs) WHERE bc >= 10 AND line_no = fs + 15""")
+# Only code lines up to the sixteenth of a function count, so they are summed, not
+# followed line by line, and texts are looked at for functions that qualify.
+COMPLEX_SQL = f"""code AS (
+  SELECT file_path, line_no, line, regexp_matches(line, {START}) AS is_fn,
+    regexp_matches(line, {quoted(R.BRANCH)}) AS is_br
+  FROM lines WHERE NOT regexp_matches(line, {quoted("^[" + C.WHITESPACE.replace(chr(10), "") + "]*(//|#|/[*]|[*]|$)")})),
+seg AS (SELECT file_path, line_no, is_br, max(CASE WHEN is_fn THEN line_no END)
+  OVER (PARTITION BY file_path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS fs FROM code),
+counted AS (SELECT file_path, fs, 1 + count(*) FILTER (is_br) AS bc FROM seg WHERE line_no <= fs + 15
+  GROUP BY file_path, fs HAVING bool_or(line_no = fs + 15)),
+complex AS (SELECT file_path, fs, bc FROM counted WHERE bc >= 10)"""
+
+
+@query("complex_functions", f"""WITH {C.WORDS_SQL}, {COMPLEX_SQL}
+SELECT x.file_path, CAST(fs AS INTEGER) AS line_no, CASE WHEN bc >= 15 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+  trim(l.line, {C.BLANKS}) AS code_snippet,
+  'High Cyclomatic Complexity (' || coalesce(nullif(regexp_extract(f.line, {START}, 1), ''), nullif(regexp_extract(f.line, {START}, 2), ''),
+    nullif(regexp_extract(f.line, {START}, 3), ''), 'anonymous') || ': CC ' || bc || ')' AS title
+FROM complex x JOIN code f ON f.file_path = x.file_path AND f.line_no = fs
+JOIN code l ON l.file_path = x.file_path AND l.line_no = fs + 15""")
 def complex_functions(spark, sf_dir):
     return _of_rule(spark, sf_dir, "Q02").select("file_path", "line_no", "severity", "code_snippet", "title")
 
