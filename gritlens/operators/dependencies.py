@@ -269,6 +269,33 @@ def dependency_findings(files: DataFrame, advisories: DataFrame) -> DataFrame:
     return hit.select(*keep, F.coalesce(*found).alias("item"))
 
 
+def open_advisories(files: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Every advisory that is open for a declared version: one row per dependency and advisory.
+
+    ``advisories`` has ecosystem, package, introduced, fixed_version and what is to be
+    told. An advisory is open from ``introduced`` (null: from the first version) up to
+    but not including ``fixed_version`` (null: not fixed yet). Versions become keys that
+    sort as the versions do, so the join is one on the package with an interval in
+    it; adaptive execution sends the small side out or splits a package that most
+    manifests name.
+    """
+    other = [c for c in advisories.columns if c not in ("ecosystem", "package")]
+    known = advisories.select(
+        "ecosystem", F.lower("package").alias("package_key"), F.struct(*other).alias("advisory"),
+        versions.key(F.col("introduced")).alias("low"), versions.key(F.col("fixed_version")).alias("high"),
+    )
+    declared = dependencies(files).withColumns({
+        "ecosystem": F.col("dep.ecosystem"), "package_key": F.lower("dep.package"), "version_key": versions.key(F.col("dep.version")),
+    })
+    inside = (
+        (declared["ecosystem"] == known["ecosystem"]) & (declared["package_key"] == known["package_key"])
+        & (F.col("low").isNull() | (F.col("low") <= F.col("version_key")))
+        & (F.col("high").isNull() | (F.col("version_key") < F.col("high")))
+    )
+    carried = [c for c in files.columns if c not in ("content", "language", "size")]
+    return declared.join(known, inside).select(*carried, "dep", "advisory")
+
+
 def project_audit(files: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
     """Per repository: dependencies counted, vulnerable ones, and the total.
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gritlens.operators import lines, nodes, security
+from gritlens.operators import custom_rules, lines, nodes, security
 from gritlens.rules import catalogue as R
 from gritlens.rules.compiler import LINE_RULES, STRING_LITERAL
 from registry import corpora as C
 from registry.base import query, quoted, table
-from registry.snippets import CASES, LINES, LOOKED_FOR
+from registry.snippets import CASES, CUSTOM_FOUND, CUSTOM_RULES, LINES, LOOKED_FOR, SNIPPETS
 
 CODE_SQL = f"regexp_replace(regexp_replace(line, {quoted(STRING_LITERAL)}, '\"\"', 'g'), '//.*', '')"
 CALL_SQL = r"""CASE WHEN trimmed LIKE 'def %' THEN '' ELSE regexp_extract(trimmed, '([a-zA-Z0-9_.]+)\s*\((.*)\)', 1) END"""
@@ -304,3 +304,25 @@ def calls_over_lines(spark, sf_dir):
     )
     found = _security(files).where(F.col("rule_id").isin("J02", "J03", "J04", "J06"))
     return found.select("file_path", "rule_id", "line_no", "code_snippet")
+
+
+CUSTOM_EXPECTED = [(i, rule) for i, _, _, line in SNIPPETS for rule, found in CUSTOM_FOUND.items() if line in found]
+
+
+@query("custom_rules", f"""WITH expected(i, rule_id) AS (VALUES {C.values(CUSTOM_EXPECTED)}),
+named(r, rule_id) AS (VALUES {C.values([(n, rule[0]) for n, rule in enumerate(CUSTOM_RULES)])})
+SELECT doc_id, e.rule_id, CASE WHEN r_regionkey % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity, r_name || ': ' || e.rule_id AS title
+FROM documents JOIN expected e ON doc_id % {C.COUNT} = i JOIN named USING (rule_id) JOIN region ON r_regionkey = r""")
+def custom_rules_(spark, sf_dir):
+    """Rules that come from a table (a row per region), on the first lines of files; what they find is written by hand."""
+    own = spark.createDataFrame(
+        [(n, *rule) for n, rule in enumerate(CUSTOM_RULES)], "r int, rule_id string, scope string, anchors array<string>, pattern string, unless string"
+    )
+    text = F.lit("")
+    rules = table(spark, sf_dir, "region").join(F.broadcast(own), F.col("r_regionkey") == F.col("r")).select(
+        "rule_id", F.when(F.col("r_regionkey") % 2 == 0, "HIGH").otherwise("LOW").alias("severity"), F.lit("SECURITY").alias("category"),
+        F.concat("r_name", F.lit(": "), "rule_id").alias("title"), text.alias("description"), text.alias("recommendation"),
+        F.lit(None).cast("string").alias("cwe"), F.lit(None).cast("string").alias("owasp"), "scope", "anchors", "pattern", "unless",
+    )
+    found = custom_rules.custom_findings(C.seeded_files(spark, sf_dir), rules).where("line_no = 1")
+    return found.select(F.regexp_extract("file_path", "doc_([0-9]+)", 1).cast("bigint").alias("doc_id"), "rule_id", "severity", "title")

@@ -150,3 +150,20 @@ DECLARED = [
 ]
 LOOKED_FOR = ("J02", "J03", "J06", "J09", "J10")
 CASES = FIRST_ARGUMENTS + DECLARED
+
+# Rules of users: (id, scope, anchors, pattern, what clears the line).
+CUSTOM_RULES = [
+    ("X-YAML", "all", ["yaml.load"], r"\byaml\.load\s*\(", "(?i)SafeLoader"),
+    ("X-SHORT-HASH", "code", ["md5", "sha1"], r"(?i)\b(?:md5|sha1)\b", None),
+    ("X-EXEC", "js", ["exec("], r"(?:^|[^\w.])exec\(", None),
+    ("X-ORIGIN", "all", ["origin"], r"origin\s*:\s*'\*'", None),
+    ("X-UNLINK", "js", [], r"\bunlink\b", None),
+]
+# The lines each of them finds, by hand.
+CUSTOM_FOUND = {
+    "X-YAML": ["yaml.load(content)", "yaml.load(c)"],
+    "X-SHORT-HASH": ["crypto.createHash('md5')", "h = hashlib.sha1(x)", "createHash('sha1')"],
+    "X-EXEC": ["exec('ping ' + req.query.host, cb)", "exec(req.body.c)"],
+    "X-ORIGIN": ["cors({origin: '*', credentials: true})", "cors({origin: '*'})", "cors({ origin: '*', credentials: true })"],
+    "X-UNLINK": ["fs.unlink(req.params.f)", "fs.unlink(safe)"],
+}

@@ -71,3 +71,26 @@ def test_own_advisories_by_join(spark):
            D.Advisory("npm", "hot", "2.0.0", "CVE-2", "LOW", "t", "a", "b")]
     found = D.dependency_findings(files, D.advisories_table(spark, own)).collect()
     assert len(found) == 10 and {r.item.texts["cve"] for r in found} == {"CVE-1"}
+
+
+def test_every_open_advisory(spark):
+    """All advisories of a package whose range holds the version, by hand."""
+    files = spark.createDataFrame(
+        [("r", "package.json", manifest(dependencies={"Hot": "^1.10.0", "cold": "2"})), ("r", "requirements.txt", "hot==1.2\n")],
+        "repo string, file_path string, content string",
+    )
+    advisories = spark.createDataFrame([
+        ("npm", "hot", "1.2", "1.10.1", "open"), ("npm", "HOT", None, "1.10", "fixed"), ("npm", "hot", "1.10", None, "never fixed"),
+        ("npm", "hot", "1.10.0.1", "2", "later"), ("npm", "hot", None, None, "always"), ("pypi", "hot", "1.2.0", "1.2.0.1", "pip"),
+        ("npm", "cold", "2.0.0", "2.0", "empty range"), (None, "hot", None, None, "none"), ("npm", None, None, None, "none"),
+    ], "ecosystem string, package string, introduced string, fixed_version string, cve string")
+    found = D.open_advisories(files, advisories).select("dep.ecosystem", "advisory.cve").collect()
+    assert sorted(tuple(r) for r in found) == [("npm", "always"), ("npm", "never fixed"), ("npm", "open"), ("pypi", "pip")]
+    assert D.open_advisories(files, advisories.limit(0)).count() == 0
+
+
+def test_version_keys(spark):
+    names = ["", "*", "1", "1.0", "1.0.0", "1.2.3", "v1.2.3", "1.10", "1.9.9", "1..2", "0.0.1", "4.17.21-beta.1"]
+    frame = spark.createDataFrame(list(itertools.product(names, names)), "a string, b string")
+    rows = frame.select("a", "b", (versions.key(F.col("a")) < versions.key(F.col("b"))).alias("less")).collect()
+    assert [(r.a, r.b) for r in rows if r.less != less(r.a, r.b)] == []
