@@ -1,9 +1,9 @@
 """Secrets in texts, also below layers of encoding.
 
 Three rules find secrets in the text itself. Then a worklist unwraps it: stretches
-in URL, Unicode or base64 encoding, and compressed data within base64, become new
-layers, which are searched by the same rules and unwrapped in turn until nothing
-new comes up. A layer that a text has had before is not opened again, so texts
+in URL, Unicode or base64 encoding, UTF-16 within decoded bytes, and what is
+compressed (gzip, zlib, bzip2) within any decoded bytes become new layers, which are
+searched by the same rules and unwrapped in turn until nothing new comes up. A layer that a text has had before is not opened again, so texts
 that decode to themselves or to each other end. Every character of a layer knows
 the stretch of the text it came from; a find is reported at that stretch, unless a
 rule found the same kind there already.
@@ -14,16 +14,21 @@ line ends and from any character of a run, whatever stands in front of it.
 Rules for odd rows: a null text is empty and has no spans. Rows that repeat a
 doc_id are searched each. Compressed layers of any size are opened in windows of
 about ``WINDOW`` bytes, cut only where nothing that is looked for goes on; memory
-grows with the longest stretch without such a place.
+grows with the longest stretch without such a place. What is compressed again as a
+whole is read as a stream, however large; compressed data that begins in the midst
+of a larger layer is read up to the end of its window.
 """
 
 from __future__ import annotations
 
 import binascii
+import bz2
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +50,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 URL = re.compile(r"(?:[A-Za-z0-9._~+/=:&?@!$'()*,;-]|%[0-9A-Fa-f]{2})*%[0-9A-Fa-f]{2}(?:[A-Za-z0-9._~+/=:&?@!$'()*,;-]|%[0-9A-Fa-f]{2})*")
 URL_UNIT = re.compile(r"%[0-9A-Fa-f]{2}")
-UNICODE_UNIT = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+UNICODE_UNIT = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 # Such runs parted only by line ends and what the lines are indented by.
 BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
@@ -57,6 +62,11 @@ PIECE = 1 << 10
 CUT = re.compile(rb"[^\t\n\r\x20-\x7e]|(?<![A-Za-z0-9+/_\r-])\n|(?<=[^\s:=]) (?=[^\s:=])")
 # No secret, and no layer that could hold one, is shorter.
 READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12}")
+# How compressed data begins, and text of two bytes a character.
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY")
+HEAD = 10  # bytes of the longest
+WIDE = re.compile("(?:[\t\n\r\x20-\x7e]\0){12,}|(?:\0[\t\n\r\x20-\x7e]){12,}")
+WIDE_BYTES = re.compile(WIDE.pattern.encode())
 _WORDS = ("passw", "secret", "token", "api")
 
 _RUN = np.zeros(256, bool)
@@ -81,10 +91,10 @@ def _order(span):
 class Layer:
     """A decoded text, and for each character the stretch of the original that it came from."""
 
-    __slots__ = ("text", "start", "end")
+    __slots__ = ("text", "start", "end", "decoded")
 
-    def __init__(self, text: str, start, end):
-        self.text, self.start, self.end = text, start, end
+    def __init__(self, text: str, start, end, decoded: bool = True):
+        self.text, self.start, self.end, self.decoded = text, start, end, decoded
 
     def stretch(self, a: int, b: int) -> tuple[int, int]:
         return self.start[a], self.end[b - 1]
@@ -94,9 +104,14 @@ class Layer:
         return (self.start, self.end) if isinstance(self.start, _Same) else None
 
 
+def _may_hold(data: bytes) -> bool:
+    """Whether there can be a secret or a further layer in decoded bytes."""
+    return bool(READABLE.search(data) or MAGIC.search(data) or WIDE_BYTES.search(data))
+
+
 def _from_bytes(layer: Layer, data: bytes, place) -> Layer | None:
     """A layer of text below ``layer``; ``place`` gives each byte's stretch. Every odd byte is a character that no rule takes."""
-    if not READABLE.search(data):
+    if not _may_hold(data):
         return None
     text = data.decode("utf-8", "surrogateescape")
     if same := layer.same():
@@ -130,8 +145,11 @@ def _unescaped(layer: Layer, a: int, b: int) -> Layer:
     for m in UNICODE_UNIT.finditer(layer.text, a, b):
         chars += layer.text[at : m.start()]
         places += [(i, i + 1) for i in range(at, m.start())]
-        code = int(m[0][2:], 16)
-        if 0xDC00 <= code < 0xE000 and m.start() == at > a and "\ud800" <= chars[-1] <= "\udbff":
+        code = min(int(m[0][2:].strip("{}"), 16), 0x110000)
+        if code == 0x110000:  # no character
+            chars.append("\ufffd")
+            places.append(m.span())
+        elif 0xDC00 <= code < 0xE000 and m.start() == at > a and "\ud800" <= chars[-1] <= "\udbff":
             chars[-1] = chr(0x10000 + (ord(chars[-1]) - 0xD800 << 10) + code - 0xDC00)
             places[-1] = places[-1][0], m.end()
         else:
@@ -179,9 +197,107 @@ def _inflated(raw: str, at: int, stretch) -> Iterator[Layer]:
     if end == at:
         return
     whole = stretch(at, min(end, len(raw)))
-    for window in _windows(piece for _, piece in _opened(raw, at)):
-        if READABLE.search(window):
-            yield Layer(window.decode("utf-8", "surrogateescape"), _Same(whole[0]), _Same(whole[1]))
+    yield from _streamed(lambda: (piece for _, piece in _opened(raw, at)), whole)
+
+
+def _streamed(opened: Callable[[], Iterator[bytes]], whole: tuple[int, int]) -> Iterator[Layer]:
+    """The windows of a stream, and those of the streams it is made of as long as each is compressed again."""
+    seen = set()
+    while True:
+        for window in _windows(opened()):
+            if _may_hold(window):
+                yield Layer(window.decode("utf-8", "surrogateescape"), _Same(whole[0]), _Same(whole[1]))
+        head = b""
+        for piece in opened():
+            head += piece[: WINDOW - len(head)]
+            if len(head) >= WINDOW:
+                break
+        mark = hashlib.sha1(head).digest()
+        if mark in seen or not MAGIC.match(head):
+            return
+        seen.add(mark)
+        opened = lambda below=opened: _Reader().members(below())
+
+
+class _Reader:
+    """Reads compressed members one behind the other; ``used`` counts the bytes that were read for what came out."""
+
+    def __init__(self):
+        self.used = 0
+
+    def members(self, pieces: Iterator[bytes]) -> Iterator[bytes]:
+        data, opener = b"", None
+        try:
+            for piece in pieces:
+                data += piece
+                while data:
+                    if opener is None:
+                        if len(data) < HEAD and len(piece) >= HEAD:
+                            break
+                        if not MAGIC.match(data):
+                            return
+                        opener = bz2.BZ2Decompressor() if data[:1] == b"B" else zlib.decompressobj(47)
+                    before = len(data)
+                    if isinstance(opener, bz2.BZ2Decompressor):
+                        out = opener.decompress(data, WINDOW)
+                        while out and not opener.eof and not opener.needs_input:
+                            yield out
+                            out = opener.decompress(b"", WINDOW)
+                        data = opener.unused_data if opener.eof else b""
+                    else:
+                        out = opener.decompress(data, WINDOW)
+                        data = opener.unused_data if opener.eof else opener.unconsumed_tail
+                    self.used += before - len(data)
+                    if out:
+                        yield out
+                    if opener.eof:
+                        opener = None
+        except (zlib.error, OSError, EOFError, ValueError):
+            return
+
+
+def _members(layer: Layer) -> Iterator[Layer]:
+    """What is compressed within the bytes of a layer, wherever it begins."""
+    views = [(layer.text.encode("utf-8", "surrogateescape"), True)] if _encodable(layer.text) else []
+    if not layer.text.isascii() and max(layer.text) < "\u0100":
+        views.append((layer.text.encode("latin-1"), False))  # escapes that stand for bytes
+    for data, wide in views:
+        ends, until = None, 0
+        for m in MAGIC.finditer(data):
+            at, reader = m.start(), _Reader()
+            if at < until:  # read as a part of what begins before
+                continue
+            size = sum(len(out) for out in reader.members(iter([data[at:]])))
+            if size < HEAD:
+                continue
+            until = at + reader.used
+            low, high = at, until
+            if wide and not layer.same():
+                ends = ends or list(accumulate(1 if c < "\x80" or "\udc80" <= c <= "\udcff" else len(c.encode()) for c in layer.text))
+                low, high = bisect_right(ends, low), bisect_right(ends, high - 1) + 1
+            elif wide:
+                low, high = 0, 1
+            yield from _streamed(lambda a=at, d=data: _Reader().members(iter([d[a:]])), layer.stretch(low, high))
+
+
+def _encodable(text: str) -> bool:
+    try:
+        text.encode("utf-8", "surrogateescape")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _narrowed(layer: Layer) -> Iterator[Layer]:
+    """Text of two bytes a character, as one of one."""
+    for m in WIDE.finditer(layer.text):
+        a, b = m.span()
+        text = m[0].replace("\0", "")
+        if same := layer.same():
+            yield Layer(text, *same)
+        else:
+            pairs = [layer.stretch(i, i + 2) for i in range(a, b, 2)]
+            yield Layer(text, [x for x, _ in pairs], [y for _, y in pairs])
 
 
 def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -220,6 +336,10 @@ class _Same:
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
     text = layer.text
+    if layer.decoded:
+        yield from _members(layer)
+        if "\0" in text:
+            yield from _narrowed(layer)
     if "%" in text:
         for m in URL.finditer(text):
             found = _url_decoded(layer, *m.span())
@@ -284,7 +404,7 @@ def hidden_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     taken = {kind: [(a, b) for a, b, k in base if k == kind] for kind in KINDS}
     found: set[tuple[int, int, str]] = set()
     seen = {hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest()}
-    work = [Layer(text, range(len(text)), range(1, len(text) + 1))]
+    work = [Layer(text, range(len(text)), range(1, len(text) + 1), decoded=False)]
     while work:
         for inner in _unwrapped(work.pop()):
             mark = hashlib.sha1(inner.text.encode("utf-8", "surrogatepass") + repr((inner.start[0], inner.end[0])).encode()).digest()

@@ -1,6 +1,7 @@
 """Secrets and personal data against plain searches."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import random
@@ -104,6 +105,37 @@ def test_layers_with_odd_bytes():
     assert (a, b) == (7, 7 + len(encoded.rstrip("=")))
 
 
+def test_layers_in_any_order():
+    """Two wrappings, each in each other one, and the ways to write an escape."""
+    percent = lambda data: "".join(f"%{b:02x}" for b in data).encode()
+    wrap = {
+        "gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "base64": base64.b64encode, "url": percent,
+        "escape": lambda data: "".join(f"\\x{b:02x}" for b in data).encode(),
+        "utf16": lambda data: data.decode("latin-1").encode("utf-16-le"), "utf16be": lambda data: data.decode("latin-1").encode("utf-16-be"),
+    }
+    binary = {"gzip", "zlib", "bz2", "utf16", "utf16be"}
+    for outer in ("base64", "url", "escape"):
+        for middle in wrap:
+            for inner in wrap:
+                if middle.startswith("utf16") and inner in binary:
+                    continue
+                text = wrap[outer](wrap[middle](wrap[inner](HIDDEN.encode()))).decode()
+                found = hidden("before " + text + " behind")
+                assert [k for _, _, k in found] == ["assign"], (outer, middle, inner, found)
+                assert all(7 <= a < b <= 7 + len(text) for a, b, _ in found), (outer, middle, inner, found)
+    deep = HIDDEN.encode()
+    for _ in range(8):
+        deep = zlib.compress(gzip.compress(deep))
+    assert len(hidden(base64.b64encode(deep).decode())) == 1
+    for unit in ("\\u{%x}", "\\U%08x", "\\u%04x", "\\x%02x"):
+        text = "pass" + unit % ord("w") + "ord=hunter2hunter2"
+        assert [k for _, _, k in hidden(text)] == ["assign"], unit
+    assert hidden("\\U00110000 \\u{ffffff} x^y x^z") == []
+    middle = b"some text " * 5 + gzip.compress(HIDDEN.encode()) + b" more " * 9
+    (a, b, _), = hidden("x " + base64.b64encode(middle).decode())
+    assert 2 + len(base64.b64encode(b"some text " * 5)) - 8 <= a < b <= 2 + len(base64.b64encode(middle[:-54])) + 4
+
+
 def test_layers_end():
     assert hidden("%25" * 400) == [] and hidden("%2525252525252541" * 50) == []
     assert hidden("\\u005cu005c" * 100) == []
