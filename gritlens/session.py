@@ -31,11 +31,13 @@ def build_session(master: str | None = None, app: str = "gritlens", **settings:
 def scratch_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
-    Only a session that names none (a test on one machine) gets a folder of its
-    own, once, which goes when Python ends.
+    Only a session on one machine that names none (a test) gets a folder of its own,
+    once, which goes when Python ends; on a cluster no other machine would see it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gritlens-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)

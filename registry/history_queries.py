@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gritlens.operators import history, reports
+from gritlens.operators import history, reports, search_index
 from gritlens.session import scratch_path
 from gritlens.sources import sinks
 from registry import corpora as C
@@ -216,6 +216,16 @@ def findings_search_cve(spark, sf_dir):
     return found.select("finding_id", "severity", "category", F.col("dependency_info.cve").alias("cve"))
 
 
+@query("findings_search_indexed", f"""WITH {C.FINDINGS_SQL} SELECT finding_id, severity, category, title FROM findings
+WHERE (contains(lower(title), 'njection') OR contains(lower(file_path), 'njection') OR contains(lower(code_snippet), 'njection')
+  OR contains(lower(description), 'njection') OR contains(lower(coalesce(node_type, '')), 'njection') OR contains(lower(coalesce(cve, '')), 'njection'))""")
+def findings_search_indexed(spark, sf_dir):
+    """A text looked up by the triples of its characters; only findings that have all of them are read."""
+    path = scratch_path(spark, "search-index")
+    search_index.write_index(C.stored_findings(spark, sf_dir), path)
+    return search_index.search(spark, path, "nJection").select("finding_id", "severity", "category", "title")
+
+
 @query("stored_scans", f"""WITH {C.SCANS_SQL} SELECT scan_id, repo, overall, CAST(started_at AS DATE) AS day FROM scans
 WHERE CAST(started_at AS DATE) >= DATE '1998-01-01'""")
 def stored_scans(spark, sf_dir):
