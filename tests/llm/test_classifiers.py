@@ -1,12 +1,16 @@
 """Held-out accuracy of both classifiers, and what they do with odd rows."""
 
+import math
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gritlens.llm import features, quality, toxicity
+from gritlens.llm.textbuf import Texts
 
 
 def held_out(doc_id):
@@ -85,3 +89,47 @@ def test_additive_model():
     assert (0, 1) in model.pairs
     assert np.mean((model.score(x) > 0.5) == y) > 0.85
     assert np.allclose(quality.fit(x[:0], y[:0], np.zeros(0, bool)).score(x), 1e-3, atol=1e-3)
+
+
+def test_quality_scores_by_hand(more_documents, labels):
+    """Each score is the base and one number of each table, looked up with plain loops."""
+    model = quality.learn(more_documents, labels)
+    assert len(model.tables) == len(features.SHAPE) and model.pairs
+    texts = {r["doc_id"]: r["text"] for r in more_documents.collect()}
+    found = quality.quality_scores(more_documents, labels).collect()
+    for r in found[::7]:
+        x = quality.text_features(Texts.of(pa.array([texts[r["doc_id"]]], pa.string())))[0]
+        bin_ = lambda edges, value: sum(1 for e in edges if e <= value)
+        z = model.base + sum(table[bin_(edges, v)] for table, edges, v in zip(model.tables, model.edges, x))
+        z += sum(table[bin_(model.coarse[i], x[i]), bin_(model.coarse[j], x[j])] for (i, j), table in model.pairs.items())
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def tree_value(lines, x):
+    """What a tree in its printed form says about a row of features."""
+    at, depth = 0, 0
+    while True:
+        line = lines[at]
+        if "Predict:" in line:
+            return float(line.split("Predict:")[1])
+        feature, sign, value = re.search(r"If \(feature (\d+) (<=|>) ([-0-9.E]+)\)", line).groups()
+        holds = x[int(feature)] <= float(value) if sign == "<=" else x[int(feature)] > float(value)
+        if holds:
+            at += 1
+        else:
+            indent = len(line) - len(line.lstrip())
+            at = next(i for i in range(at + 1, len(lines)) if lines[i].lstrip().startswith("Else") and len(lines[i]) - len(lines[i].lstrip()) == indent) + 1
+
+
+def test_toxicity_scores_by_hand(more_toxic):
+    """Each score is the curve at the sum of the printed trees, walked one by one."""
+    docs, labels = more_toxic
+    model = toxicity.Model(docs, labels)
+    trees = [(w, t.toDebugString.rstrip().split("\n")[1:]) for w, t in zip(model.trees.treeWeights, model.trees.trees)]
+    bounds, values = model.curve.boundaries, model.curve.predictions
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in model.score(docs).collect()[::40]:
+        x = toxicity.features(Texts.of(pa.array([texts[r["doc_id"]]], pa.string())), model.entries, model.weights)[0]
+        margin = sum(w * tree_value(t, x) for w, t in trees)
+        raw = round(1 / (1 + math.exp(-2 * margin)), 3)
+        assert abs(r["score"] - float(np.interp(raw, bounds, values))) < 2e-3 * max(1, np.abs(np.diff(values)).max() / max(np.diff(bounds).min(), 1e-3))
