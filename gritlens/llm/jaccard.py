@@ -12,8 +12,9 @@ Skew. Equal sets are one class before anything is compared. Frequent shingles
 (more than ``LIST`` documents) come last in the order; the few that still reach
 a prefix join no pairs, they only tie their documents to one candidate group.
 A group is compared in chunks of bounded size; chunks whose documents are known
-to be connected are not compared again. So neither a passage nor a group of near
-copies, however large, makes its pairs.
+to be connected are not compared again, so a group of near copies, however large,
+doesn't make its pairs. A group whose members share a passage but mostly don't link
+does: its chunks meet in tiles, and the cost grows with the square of the group.
 
 Rules for odd rows: a null or empty text, or one without words, has an empty set
 and links with nothing. Rows that repeat a doc_id are rows of their own; a

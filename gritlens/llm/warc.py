@@ -7,8 +7,10 @@ far, so a reader checks and continues from any chunk, and neither side ever
 holds a whole record apart from the row it was given. Of records with equal
 payloads the one with the largest page_id is a response, the others revisit it.
 
-Writing moves digests, not payloads: one row per page goes through the shuffle
-that finds equal payloads, combined by payload before it. Reading parses records
+One row per page goes through the shuffle that finds equal payloads, combined by
+payload before it. The repeated digests are then joined to the pages: while they are
+few enough to be broadcast no payload moves, beyond that all are shuffled by their
+digest once. Reading parses records
 of one chunk where they lie; only records of several chunks are brought together,
 and are parsed chunk by chunk.
 
