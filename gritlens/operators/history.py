@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritlens.session import written
@@ -66,14 +66,26 @@ def merge_table(
     ).parquet(path)
 
 
-def insert_ignore(existing: DataFrame, incoming: DataFrame, key: str, arrived: str) -> DataFrame:
-    """The incoming rows to append: first arrival of every key not yet stored."""
+def insert_ignore(
+    existing: DataFrame, incoming: DataFrame, key: str, arrived: str, folder: tuple[str, Column] | None = None
+) -> DataFrame:
+    """The incoming rows to append: first arrival of every key not yet stored.
+
+    ``folder`` names the column that the stored table is partitioned by and gives its
+    value for an incoming row. Where a key always lies in one folder, as finding ids
+    in that of their scan, only folders that the batch touches are read.
+    """
     columns = incoming.columns
     first = (
         incoming.groupBy(key)
         .agg(F.min_by(F.struct(*columns), F.col(arrived)).alias("_row"))
         .select("_row.*")
     )
+    if folder:
+        name, value = folder
+        # no more values than the table has folders
+        touched = [row[0] for row in incoming.select(value).distinct().collect()]
+        existing = existing.where(F.col(name).isin(touched))
     return first.join(existing.select(key), key, "left_anti").select(*columns)
 
 

@@ -34,6 +34,21 @@ def test_insert_ignore(spark):
     assert [tuple(r) for r in history.insert_ignore(old, new, "id", "seq").collect()] == [("b", 1, "first")]
 
 
+def test_insert_ignore_reads_touched_folders_only(spark, tmp_path):
+    """Finding ids lie in the folder of their scan: other folders stay unread, the result is the same."""
+    path = str(tmp_path / "findings")
+    schema = "finding_id string, scan_id string, seq int"
+    old = spark.createDataFrame([(f"s{n % 40}-f{n}", f"s{n % 40}", 0) for n in range(400)], schema)
+    sinks.write_findings(old, path)
+    new = spark.createDataFrame([("s3-f3", "s3", 1), ("s3-new", "s3", 2), ("s3-new", "s3", 1), ("s99-f0", "s99", 1)], schema)
+    stored = spark.read.parquet(path)
+    found = history.insert_ignore(stored, new, "finding_id", "seq", ("scan_bucket", sinks.scan_bucket(F.col("scan_id"))))
+    assert sorted(map(tuple, found.collect())) == [("s3-new", "s3", 1), ("s99-f0", "s99", 1)]
+    assert sorted(found.collect()) == sorted(history.insert_ignore(stored, new, "finding_id", "seq").collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "scan_bucket" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+
+
 def test_newest_remediation_only(spark):
     found = spark.createDataFrame([("a", "old"), ("b", "kept")], "finding_id string, remediation string")
     new = spark.createDataFrame([("a", "z", 1), ("a", "b", 2), ("a", None, 3)], "finding_id string, remediation string, seq int")
