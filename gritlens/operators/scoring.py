@@ -79,6 +79,7 @@ def with_scores(sums: DataFrame) -> DataFrame:
 
 SCORE_NAMES = ["overall", *SCORED]
 COUNT_NAMES = [s.lower() for s in SEVERITIES]
+ADDED = ["total_files", "total_lines", *COUNT_NAMES, *[f"{name}_penalty" for name in SCORED]]
 
 
 def _sums(items: DataFrame, *by: str) -> DataFrame:
@@ -94,7 +95,8 @@ def _sums(items: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def _scored(sums: DataFrame) -> DataFrame:
+def scored(sums: DataFrame) -> DataFrame:
+    """Scan totals from sums by scan."""
     return with_scores(sums).select(
         "scan_id", "repo", "total_files", "total_lines", *COUNT_NAMES, *SCORE_NAMES
     )
@@ -102,7 +104,7 @@ def _scored(sums: DataFrame) -> DataFrame:
 
 def scan_totals(items: DataFrame) -> DataFrame:
     """One row per scan from ``scan_items``: files, lines, counts, scores."""
-    return _scored(_sums(items, "scan_id", "repo"))
+    return scored(_sums(items, "scan_id", "repo"))
 
 
 def file_totals(items: DataFrame) -> DataFrame:
@@ -112,8 +114,7 @@ def file_totals(items: DataFrame) -> DataFrame:
 
 def totals_of_files(files: DataFrame) -> DataFrame:
     """Scan totals from ``file_totals`` of all files."""
-    added = ["total_files", "total_lines", *COUNT_NAMES, *[f"{name}_penalty" for name in SCORED]]
-    return _scored(files.groupBy("scan_id", "repo").agg(*[F.sum(c).cast("bigint").alias(c) for c in added]))
+    return scored(files.groupBy("scan_id", "repo").agg(*[F.sum(c).cast("bigint").alias(c) for c in ADDED]))
 
 
 def as_scans(totals: DataFrame, source_type: str = "TABLE") -> DataFrame:
