@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritlens.operators import security
+from gritlens.plans.skew import running_totals
 
 REPORTED = ["SECURITY", "DEPENDENCY"]
 MIN_SAMPLES, MIN_PRECISION, MIN_RECALL = 10, 0.85, 0.80
@@ -40,21 +41,49 @@ def outcome(truth: Column, predicted: Column) -> Column:
     )
 
 
+def sample_titles(samples: DataFrame) -> DataFrame:
+    """The titles of each sample's findings as rows (id, number from 1, title), in emission order.
+
+    Nothing of a sample meets in one row: the order is counted over stretches, so a sample may
+    have any number of findings.
+    """
+    found = security.as_findings(security.scan_items(sample_files(samples), quality=False), *security.EMIT_ORDER)
+    rows = found.select(F.col("repo").alias("id"), "title", *security.EMIT_ORDER)
+    numbered = running_totals(rows, ["id"], security.EMIT_ORDER, {"number": F.lit(1)})
+    return numbered.select("id", F.col("number").cast("int").alias("number"), "title")
+
+
+def sample_outcomes(samples: DataFrame) -> DataFrame:
+    """``sample_results`` without the titles: one count per sample, combined before the shuffle."""
+    found = predictions(sample_files(samples)).withColumnRenamed("repo", "id")
+    reported = F.coalesce(F.col("found") > 0, F.lit(False))
+    return samples.join(found, "id", "left").select(
+        "id", "name", "language",
+        _label(F.col("is_vulnerable")).alias("ground_truth"),
+        _label(reported).alias("predicted"),
+        outcome(F.col("is_vulnerable"), reported).alias("status"),
+    )
+
+
+def _label(flag: Column) -> Column:
+    return F.when(flag, F.lit("VULNERABLE")).otherwise(F.lit("SAFE"))
+
+
 def sample_results(samples: DataFrame) -> DataFrame:
-    """Truth, prediction, status and titles in emission order per sample."""
+    """Truth, prediction, status and titles in emission order per sample, the titles in one row.
+
+    For samples of a size to be looked at; ``sample_outcomes`` and ``sample_titles`` have no such bound.
+    """
     files = sample_files(samples)
     found = security.as_findings(security.scan_items(files, quality=False), *security.EMIT_ORDER)
     titles = F.array_sort(F.collect_list(F.struct(*security.EMIT_ORDER, "title", "category")))
     per_sample = found.groupBy(F.col("repo").alias("id")).agg(titles.alias("_t"))
     reported = F.coalesce(F.exists("_t", lambda x: x["category"].isin(REPORTED)), F.lit(False))
 
-    def label(flag):
-        return F.when(flag, F.lit("VULNERABLE")).otherwise(F.lit("SAFE"))
-
     return samples.join(per_sample, "id", "left").select(
         "id", "name", "language",
-        label(F.col("is_vulnerable")).alias("ground_truth"),
-        label(reported).alias("predicted"),
+        _label(F.col("is_vulnerable")).alias("ground_truth"),
+        _label(reported).alias("predicted"),
         outcome(F.col("is_vulnerable"), reported).alias("status"),
         F.coalesce(F.transform("_t", lambda x: x["title"]), F.array().cast("array<string>")).alias("titles"),
     )

@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from gritlens.operators import scoring, security
 from gritlens.session import written
 
+COMPACTED = -1  # before every batch, so that whatever arrives later takes its place
+
 
 def start_findings(
     files: DataFrame, out: str, checkpoint: str, quality: bool = True, **trigger
@@ -62,6 +64,21 @@ def _latest_files(spark: SparkSession, path: str) -> DataFrame:
     return newest.select("scan_id", "file_path", "_row.*")
 
 
+def compact(spark: SparkSession, path: str, to: str) -> None:
+    """Copy the newest state of a history, one folder per log, to the folder ``to``.
+
+    Rows that later batches replaced stay behind. Meant between two runs of the stream: the next
+    one goes on below ``to`` with the same checkpoint. A batch that is run again there only takes
+    the place of equal rows. Readers of ``path`` are not disturbed; it may go when they are done.
+    """
+    newest = written(_latest_files(spark, path), "newest-files")
+    found = spark.read.parquet(f"{path}/findings").join(
+        newest.select("scan_id", "file_path", "batch_id"), ["scan_id", "file_path", "batch_id"], "left_semi"
+    )
+    for name, rows in (("findings", found), ("files", newest)):
+        rows.drop("batch_id").write.mode("overwrite").parquet(f"{to}/{name}/batch_id={COMPACTED}")
+
+
 def stored_scans(spark: SparkSession, path: str) -> DataFrame:
     """Scan totals and scores over the newest state of their files."""
     return scoring.totals_of_files(_latest_files(spark, path))

@@ -82,6 +82,34 @@ SELECT doc_id, CASE WHEN truth THEN 'VULNERABLE' ELSE 'SAFE' END AS ground_truth
   coalesce(titles, '') AS titles FROM results JOIN files USING (doc_id) LEFT JOIN ranked USING (file_path)""")
 def evaluation_details(spark, sf_dir):
     """The detail rows of labelled samples: the seeded documents as samples."""
+    results = evaluation.sample_results(_samples(spark, sf_dir))
+    return results.select(
+        _doc_id(), "ground_truth", "predicted", "status", F.array_join("titles", "|").alias("titles"),
+    )
+
+
+@query("evaluation_outcomes", f"""WITH {SAMPLES_SQL}
+SELECT doc_id, CASE WHEN truth THEN 'VULNERABLE' ELSE 'SAFE' END AS ground_truth, CASE WHEN predicted THEN 'VULNERABLE' ELSE 'SAFE' END AS predicted,
+  CASE WHEN truth = predicted THEN 'CORRECT' WHEN predicted THEN 'FALSE_POSITIVE' ELSE 'FALSE_NEGATIVE' END AS status FROM results""")
+def evaluation_outcomes(spark, sf_dir):
+    """Truth, prediction and status of every sample, from one count each."""
+    results = evaluation.sample_outcomes(_samples(spark, sf_dir))
+    return results.select(_doc_id(), "ground_truth", "predicted", "status")
+
+
+@query("evaluation_titles", f"""WITH {SAMPLES_SQL}
+SELECT f.doc_id, CAST(row_number() OVER (PARTITION BY f.file_path ORDER BY emit_block, line_no, rule_no) AS INTEGER) AS number, {TITLE_SQL} AS title
+FROM kept JOIN files f ON kept.file_path = f.file_path WHERE f.doc_id IN (SELECT doc_id FROM results)""")
+def evaluation_titles(spark, sf_dir):
+    """The titles of every sample as rows in emission order."""
+    return evaluation.sample_titles(_samples(spark, sf_dir)).select(_doc_id(), "number", "title")
+
+
+def _doc_id():
+    return F.substring_index("id", ".", 1).cast("bigint").alias("doc_id")
+
+
+def _samples(spark, sf_dir):
     files = C.seeded_files(spark, sf_dir)
     labels = table(spark, sf_dir, "labels")
     doc_id = F.regexp_extract("file_path", r"doc_(\d+)\.", 1)
@@ -91,8 +119,4 @@ def evaluation_details(spark, sf_dir):
         extension.alias("extension"), (F.col("toxic") == 1).alias("is_vulnerable"), F.col("content").alias("code"),
     )
     python = F.when(F.col("extension") == "py", F.lit("Python")).otherwise(F.lit("JavaScript"))
-    results = evaluation.sample_results(samples.withColumn("language", python))
-    return results.select(
-        F.substring_index("id", ".", 1).cast("bigint").alias("doc_id"), "ground_truth", "predicted", "status",
-        F.array_join("titles", "|").alias("titles"),
-    )
+    return samples.withColumn("language", python)

@@ -56,3 +56,19 @@ def stream_history(spark, sf_dir):
     path = scratch_path(spark, "stream-history")
     continuous.start_history(_arriving_files(spark, sf_dir), path, scratch_path(spark, "stream-state")).awaitTermination()
     return continuous.stored_scans(spark, path)
+
+
+@query("stream_history_compacted", TOTALS_SQL)
+def stream_history_compacted(spark, sf_dir):
+    """The same where the first batch was compacted before the second came, and sent again with it."""
+    files, state = scratch_path(spark, "arriving"), scratch_path(spark, "stream-state")
+    first, path = scratch_path(spark, "stream-history"), scratch_path(spark, "stream-compacted")
+    seeded = C.seeded_files(spark, sf_dir)
+    half = F.pmod(F.xxhash64("file_path"), F.lit(2)) == 0
+    seeded.where(half).write.parquet(files)
+    stream = spark.readStream.schema(seeded.schema).parquet(files)
+    continuous.start_history(stream, first, state).awaitTermination()
+    continuous.compact(spark, first, path)
+    seeded.write.mode("append").parquet(files)
+    continuous.start_history(stream, path, state).awaitTermination()
+    return continuous.stored_scans(spark, path)

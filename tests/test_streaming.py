@@ -48,3 +48,33 @@ def test_history_over_batches(spark, tmp_path):
     run([("r1", "a.js", "eval(x)")], state)
     assert scan() == {"scan-r1": (88, 1, 2, 2)}
     assert continuous.stored_findings(spark, path).where("category = 'SECURITY'").count() == 1
+
+
+def test_compacted_history(spark, tmp_path):
+    """Replaced rows stay behind; the stream goes on in the new folder; a batch that runs again there changes nothing."""
+    source, path, new, state = (str(tmp_path / n) for n in ("in", "history", "compacted", "state"))
+
+    def run(rows, path):
+        if rows:
+            spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(source)
+        continuous.start_history(spark.readStream.schema(SCHEMA).parquet(source), path, state).awaitTermination()
+
+    def known(path):
+        scans = sorted(map(tuple, continuous.stored_scans(spark, path).collect()))
+        return scans, sorted(r.finding_id for r in continuous.stored_findings(spark, path).collect())
+
+    run([("r1", "a.js", "eval(x)\neval(y)"), ("r1", "b.js", "eval(x)")], path)
+    run([("r1", "a.js", "eval(x)")], path)
+    continuous.compact(spark, path, new)
+    assert known(new) == known(path)
+    assert spark.read.parquet(f"{new}/files").count() == 2 and spark.read.parquet(f"{new}/findings").count() == 2
+    last = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for name in (last.name, f".{last.name}.crc"):
+        (last.parent / name).unlink(missing_ok=True)
+    run([], new)
+    assert known(new) == known(path)
+    run([("r1", "a.js", "ok()"), ("r2", "c.js", "eval(x)")], new)
+    scans, found = known(new)
+    assert [(r[0], r[2]) for r in scans] == [("scan-r1", 2), ("scan-r2", 1)] and len(found) == 2
+    continuous.compact(spark, new, str(tmp_path / "twice"))
+    assert known(str(tmp_path / "twice")) == (scans, found)
