@@ -52,9 +52,10 @@ def rescan(files: DataFrame, path: str, run: int, **options) -> None:
     """Scan what changed since run ``run - 1``; run 0 scans everything.
 
     A file is known by its scan and path. Of rows that share both, the one with the
-    largest digest counts, once. Contents of unchanged files are not shuffled while the
-    list of changed ones is small enough to send to every task, as adaptive execution
-    measures; beyond that Spark drops unchanged ones by a filter of its own where it can.
+    largest digest counts, once. Changed files are told by eight bytes each, so that a long
+    list of them can still be sent to every task, as Spark measures; contents are shuffled
+    only beyond that. A file that is taken for a changed one by chance of its eight bytes is
+    scanned in vain: its row isn't replaced and its findings of this run aren't read.
     ``options`` go to ``security.scan_items``; a change of them (or of rules) needs a new run 0.
     """
     spark = files.sparkSession
@@ -68,7 +69,8 @@ def rescan(files: DataFrame, path: str, run: int, **options) -> None:
         changed = written(_matching(present, stored, "left_anti", *KEY, "digest"), "changed")
     # in run 0 all files are scanned; a join is needed only to choose among rows of one path
     if run or not present.where(~F.col("digest").eqNullSafe(F.col("_least"))).isEmpty():
-        files = _matching(files, changed, "left_semi", *KEY, "digest")
+        mark = F.xxhash64(*KEY, "digest")
+        files = files.join(changed.select(mark.alias("_mark")), mark == F.col("_mark"), "left_semi")
     items = written(security.scan_items(files, **options), "scan-items")
     fresh = written(_scanned(items, changed, run), "scanned")
     found = security.as_findings(items).dropDuplicates(["finding_id"])
