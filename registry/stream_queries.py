@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gritlens.session import scratch_path
 from gritlens.streaming import continuous
 from registry import corpora as C
-from registry.base import query, table
+from registry.base import query
 from registry.rule_queries import KEPT_SQL
 from registry.score_queries import QUALITY_SQL, TOTALS_SQL
 
@@ -15,11 +15,20 @@ FOUND_SQL = f"{C.SEEDED_SQL}, {KEPT_SQL}"
 
 
 def _arriving_files(spark, sf_dir):
-    """The seeded documents, read as a stream of two batches that cut through repositories."""
+    """The seeded documents, read as a stream of two batches that cut through repositories.
+
+    Both halves lie in as many files as the table has parts; a batch takes as many files
+    as the larger number of both, and files are taken in the order they were written.
+    """
     folder = scratch_path(spark, "arriving")
-    documents = table(spark, sf_dir, "documents")
-    documents.repartition(2, "doc_id").write.parquet(folder)
-    arriving = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    documents = C.documents(spark, sf_dir)
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    documents.where(half == 0).write.parquet(folder)
+    stored = spark.read.schema(documents.schema)
+    first = len(stored.parquet(folder).inputFiles())
+    documents.where(half == 1).write.mode("append").parquet(folder)
+    batch = max(first, len(stored.parquet(folder).inputFiles()) - first)
+    arriving = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", batch).parquet(folder)
     s = C.snippet_table(spark)
     return arriving.join(s, F.col("doc_id") % C.COUNT == F.col("i")).select(
         F.col("source").alias("repo"),

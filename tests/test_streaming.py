@@ -1,5 +1,8 @@
+from pyspark.sql import functions as F
+
 from gritlens.operators import security
 from gritlens.streaming import continuous
+from registry import stream_queries
 
 SCHEMA = "repo string, file_path string, content string"
 FIRST = [("r1", "a.js", "eval(x)"), ("r2", "b.py", "x = 1")]
@@ -78,3 +81,21 @@ def test_compacted_history(spark, tmp_path):
     assert [(r[0], r[2]) for r in scans] == [("scan-r1", 2), ("scan-r2", 1)] and len(found) == 2
     continuous.compact(spark, new, str(tmp_path / "twice"))
     assert known(str(tmp_path / "twice")) == (scans, found)
+
+
+def test_arriving_files_are_many(spark, tmp_path):
+    """Two batches of many files each, so that no task reads half of the documents."""
+    documents = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('s', id % 3) AS source")
+    documents.union(documents.limit(1).selectExpr("cast(null as bigint)", "text", "source")).write.parquet(f"{tmp_path}/documents.parquet")
+    files, sources, rows = [], [], []
+
+    def look(batch, _):
+        files.append(batch.select(F.input_file_name()).distinct().count())
+        sources.append({r.repo for r in batch.select("repo").distinct().collect()})
+        rows.extend(r.file_path for r in batch.select("file_path").collect())
+
+    arriving = stream_queries._arriving_files(spark, str(tmp_path))
+    arriving.writeStream.foreachBatch(look).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert len(files) == 2 and min(files) > 2
+    assert sources == [{"s0", "s1", "s2"}] * 2
+    assert len(rows) == len(set(rows)) == 400
