@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritlens.operators.scoring import COUNT_NAMES, SCORE_NAMES, report_bands
-from gritlens.plans.skew import running_totals
+from gritlens.plans.skew import row_numbers
 
 FINDING_ORDER = ["file_path", "line_no", "finding_id"]
 
@@ -126,7 +126,7 @@ def finding_texts() -> Column:
 
 def numbered(findings: DataFrame, order: list[str] = FINDING_ORDER) -> DataFrame:
     """Findings with their ``number`` in their scan, from 1; no scan is one task's."""
-    return running_totals(findings, ["scan_id"], order, {"number": F.lit(1)})
+    return row_numbers(findings, "scan_id", order, "number")
 
 
 def document_rows(

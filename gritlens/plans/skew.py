@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from gritlens.session import written
 
+LARGE = 100_000  # rows of a group that one task numbers; larger groups are cut into stretches
+
+
 def running_totals(
     df: DataFrame,
     group: list[str],
@@ -53,3 +56,32 @@ def running_totals(
             name, F.col(f"_off_{name}") + F.sum(f"_add_{name}").over(within)
         )
     return joined.select(*df.columns, *totals)
+
+
+def row_numbers(df: DataFrame, group: str, order: list[str], name: str, large: int = LARGE) -> DataFrame:
+    """Rows with their place in their group, from 1, in ``order``; rows without a group go.
+
+    The rows are shuffled once. Groups of up to ``large`` rows are numbered by a window.
+    Larger ones, told by a count before, are sorted over all tasks and cut into stretches;
+    a row's place is its distance from the first row of its group and stretch, and the
+    rows before. There is one such first row for each stretch and large group, so they fit
+    a broadcast.
+    """
+    rows = df.where(F.col(group).isNotNull())
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    hot = written(counts.where(F.col("_n") > large).select(group), "large-groups")
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint")
+    if hot.isEmpty():
+        return rows.withColumn(name, place)
+    few = rows.join(F.broadcast(hot), group, "left_anti").withColumn(name, place)
+    many = rows.join(F.broadcast(hot), group, "left_semi")
+    ranged = many.repartitionByRange(*[F.col(c) for c in [group, *order]]).sortWithinPartitions(group, *order)
+    ranged = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "stretches")
+    ranged = ranged.withColumn("_stretch", F.shiftright("_at", 33))  # the task that numbered the row
+    firsts = ranged.groupBy(group, "_stretch").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint"))).drop("_n")
+    placed = ranged.join(F.broadcast(firsts), [group, "_stretch"]).withColumn(
+        name, F.col("_at") - F.col("_first") + F.col("_before") + 1
+    )
+    return few.unionByName(placed.select(*df.columns, name)).select(*df.columns, name)

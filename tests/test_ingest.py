@@ -137,3 +137,21 @@ def test_line_numbers(spark):
 def test_archive_preparation(spark):
     files = make(spark, [("z", "main/src/a.py", "1"), ("z", "main/node_modules/b.js", "2"), ("z", "main/../../c.py", "3"), ("z", "main/d.py", "4")])
     assert {r.file_path for r in ingest.prepare_archive(files, ingest.ARCHIVE_LIMITS).collect()} == {"src/a.py", "d.py"}
+
+
+def test_row_numbers_over_large_and_small_groups(spark):
+    """Groups above the bound are cut into stretches, the others not; rows without a group go."""
+    rows = [("hot", i * 7919 % 5000) for i in range(5000)] + [(f"g{i % 40}", i // 40) for i in range(400)] + [(None, 1)]
+    rows += [("warm", i) for i in range(101)] + [("warm", None)]
+    frame = spark.createDataFrame(rows, "g string, o int").repartition(16)
+    for large in (100, 10_000):
+        out = [tuple(r) for r in skew.row_numbers(frame, "g", ["o"], "n", large).collect()]
+        expected = [(g, o, o + 1) for g, o in rows if g not in (None, "warm")]
+        expected += [("warm", i, i + 2) for i in range(101)] + [("warm", None, 1)]
+        assert sorted(out, key=repr) == sorted(expected, key=repr)
+
+
+def test_row_numbers_shuffle_rows_once(spark):
+    frame = spark.range(1000).selectExpr("id % 7 AS g", "id AS o", "repeat('x', 100) AS content")
+    plan = skew.row_numbers(frame, "g", ["o"], "n")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
