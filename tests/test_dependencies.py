@@ -94,3 +94,20 @@ def test_version_keys(spark):
     frame = spark.createDataFrame(list(itertools.product(names, names)), "a string, b string")
     rows = frame.select("a", "b", (versions.key(F.col("a")) < versions.key(F.col("b"))).alias("less")).collect()
     assert [(r.a, r.b) for r in rows if r.less != less(r.a, r.b)] == []
+
+
+def test_advisories_are_tested_once_per_version(spark):
+    """Intervals meet different versions only; dependencies join by equality."""
+    files = spark.createDataFrame(
+        [("r", f"p{n}/package.json", manifest(dependencies={"hot": f"1.{n % 3}"})) for n in range(300)],
+        "repo string, file_path string, content string",
+    )
+    advisories = spark.createDataFrame(
+        [("npm", "hot", f"1.{n % 3}", f"1.{n % 3 + 1}", f"CVE-{n}") for n in range(60)],
+        "ecosystem string, package string, introduced string, fixed_version string, cve string",
+    )
+    found = D.open_advisories(files, advisories)
+    assert found.count() == 300 * 20 and found.distinct().count() == 300 * 20
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "version_key" in join and " < " not in join and "turn" in join
