@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritlens.llm.store import Stage
+from gritlens.llm.store import Stage, small_batches
 from gritlens.llm.textbuf import IS_WHITE, WHITE, Texts, per_process, run_hashes, small_slices
 
 GROUP = 40_000          # pieces packed in one task
 CACHE = 400_000         # words whose ids a worker remembers
 JOINED = 2_000          # new words that are encoded at once
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 # The pattern that cuts text into words before byte-level merges.
@@ -73,26 +73,39 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # sorted; a fifth of what a dict of them takes
+        self.place = np.zeros(0, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.first = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+        self.used = self.many = 0
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def add(self, hashes: list[int], texts: list[bytes]) -> None:
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of some hashes are not remembered."""
+        if not len(self.known):
+            return np.ones(len(hashes), bool)
+        return self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] != hashes
+
+    def remember(self, hashes: np.ndarray) -> None:
+        """``hashes`` are those of the last stretches kept, in order."""
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known, self.place = np.insert(self.known, at, hashes[order]), np.insert(self.place, at, len(self.place) + order)
+
+    def add(self, texts: list[bytes]) -> None:
         """Encode new stretches, many in one text: each begins a token, so ids divide at their bytes."""
         for at in range(0, len(texts), JOINED):
             some = texts[at : at + JOINED]
             ids = np.array(self.merges.encode_ordinary(b"".join(some).decode()), np.uint32)
             ends = np.cumsum(self.token_bytes[ids])
             cut = np.searchsorted(ends, np.cumsum([len(x) for x in some]), "left") + 1
-            self.keep(hashes[at : at + JOINED], ids, np.diff(cut, prepend=0))
+            self.keep(ids, np.diff(cut, prepend=0))
 
-    def keep(self, hashes: list[int], flat: np.ndarray, length: np.ndarray) -> None:
-        n, m = len(self.place), len(length)
+    def keep(self, flat: np.ndarray, length: np.ndarray) -> None:
+        n, m = self.many, len(length)
         while n + m > len(self.length):
             self.length, self.first = np.resize(self.length, 2 * len(self.length)), np.resize(self.first, 2 * len(self.first))
         while self.used + len(flat) > len(self.flat):
@@ -101,7 +114,7 @@ class WordIds:
         self.first[n : n + m] = self.used + np.cumsum(length) - length
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.place.update(zip(hashes, range(n, n + m)))
+        self.many += m
 
     def of(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has)."""
@@ -115,21 +128,21 @@ class WordIds:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         hashes, first, inverse = np.unique(run_hashes(data, start, end), return_index=True, return_inverse=True)
-        known = hashes.tolist()
-        if len(self.place) > CACHE:
+        if self.many > CACHE:
             self.clear()
-        new = [i for i, h in enumerate(known) if h not in self.place]
-        if new:
+        new = np.flatnonzero(self.missing(hashes))
+        if len(new):
             raw = data.tobytes()
-            found = [(known[i], raw[start[first[i]] : end[first[i]]]) for i in new]
+            found = [raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())]
             # the start of a text has no white space before it, its end may have some behind
-            whole = [x for x in found if x[1][0] in WHITE and x[1][-1] not in WHITE]
-            self.add([h for h, _ in whole], [x for _, x in whole])
-            for h, x in found:
-                if not (x[0] in WHITE and x[-1] not in WHITE):
+            whole = np.array([x[0] in WHITE and x[-1] not in WHITE for x in found])
+            self.add([x for x, w in zip(found, whole) if w])
+            for x, w in zip(found, whole):
+                if not w:
                     ids = self.encode(x.decode())
-                    self.keep([h], ids, np.array([len(ids)]))
-        place = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))[inverse]
+                    self.keep(ids, np.array([len(ids)]))
+            self.remember(np.concatenate([hashes[new[whole]], hashes[new[~whole]]]))
+        place = self.place[np.searchsorted(self.known, hashes)][inverse]
         length = self.length[place]
         total = np.cumsum(length)
         inside = np.arange(int(total[-1])) - np.repeat(total - length, length)
@@ -192,6 +205,7 @@ PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Each document's pieces; only the first of a long document may be short."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_pieces(tokenizer, capacity, end_id), PIECE)
 
 

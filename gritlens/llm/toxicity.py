@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritlens.llm.features import DIGIT, FIT_ROWS, LETTER, SHAPE, remainder, shape, share, training_rows, with_labels
-from gritlens.llm.store import Stage
+from gritlens.llm.store import Stage, small_batches
 from gritlens.llm.textbuf import IS_WHITE, LOWER, Texts, Words, mix, run_hashes, small_slices, word_hashes
 
 LEXICON = 512        # entries at most
@@ -150,8 +150,8 @@ def features(texts: Texts, entries: np.ndarray, weights: np.ndarray) -> np.ndarr
 
 
 
-def _with_features(entries: np.ndarray, weights: np.ndarray, others: int):
-    """Replaces column 1 (the text) by its features and keeps the ``others`` columns behind it."""
+def _with_features(entries: np.ndarray, weights: np.ndarray, others: int, text: bool = False):
+    """Puts features behind columns 0 and 1 (the text), or in the text's place, and keeps the ``others`` columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +160,10 @@ def _with_features(entries: np.ndarray, weights: np.ndarray, others: int):
                 found = pa.ListArray.from_arrays(
                     pa.array(np.arange(0, flat.size + 1, flat.shape[1]), pa.int32()), pa.array(flat.ravel())
                 )
+                first = 2 if text else 1
                 yield pa.record_batch(
-                    [rows.column(0), found, *[rows.column(2 + i) for i in range(others)]],
-                    names=[rows.schema.names[0], "features", *rows.schema.names[2 : 2 + others]],
+                    [*rows.columns[:first], found, *rows.columns[2 : 2 + others]],
+                    names=[*rows.schema.names[:first], "features", *rows.schema.names[2 : 2 + others]],
                 )
 
     return run
@@ -173,6 +174,7 @@ class Model:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS):
         stage = Stage(docs.sparkSession, "toxicity")
+        small_batches(docs.sparkSession)
         rows = training_rows(labels, label, fit_rows)
         labelled = stage.keep(with_labels(docs, rows), "labelled")
         self.entries, self.weights = learn_lexicon(labelled.filter("part = 0"))
@@ -202,23 +204,24 @@ class Model:
             "rawPrediction", "probability", "prediction"
         )
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, score, and the other columns but text) for each row."""
+    def score(self, docs: DataFrame, text: bool = False) -> DataFrame:
+        """(doc_id, score, and the other columns, the text only if asked for) for each row."""
         others = [c for c in docs.columns if c not in ("doc_id", "text")]
         rows = docs.select("doc_id", "text", *others)
         kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
         if self.trees is None:
-            return rows.drop("text").withColumn("score", F.lit(float(self.mean)))
+            return (rows if text else rows.drop("text")).withColumn("score", F.lit(float(self.mean)))
+        kept = ["doc_id", "text"] if text else ["doc_id"]
         schema = ", ".join(
-            ["`doc_id` " + kinds["doc_id"], "features array<double>", *[f"`{c}` {kinds[c]}" for c in others]]
+            [*[f"`{c}` {kinds[c]}" for c in kept], "features array<double>", *[f"`{c}` {kinds[c]}" for c in others]]
         )
-        found = rows.mapInArrow(_with_features(self.entries, self.weights, len(others)), schema)
+        found = rows.mapInArrow(_with_features(self.entries, self.weights, len(others), text), schema)
         found = self._raw(found.withColumn("features", array_to_vector("features")))
         if self.curve is not None:
             found = self.curve.transform(found).withColumn("score", F.col("prediction")).drop("prediction")
         else:
             found = found.withColumn("score", F.col("raw"))
-        return found.select("doc_id", *others, F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
+        return found.select(*kept, *others, F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -234,6 +237,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents whose score is under the threshold, with all their columns."""
     model = Model(docs, labels, fit_rows=fit_rows)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), whole)
-    return model.score(keyed).filter(F.col("score") < threshold).select("_row.*")
+    # a text goes to Python and back once: the row beside it is without it
+    columns = [F.col(f"`{c}`") if c != "text" else F.lit(0).alias("text") for c in docs.columns]
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.struct(*columns).alias("_row"))
+    kept = model.score(keyed, text=True).filter(F.col("score") < threshold)
+    return kept.select(F.col("_row").withField("text", F.col("text")).alias("_row")).select("_row.*")

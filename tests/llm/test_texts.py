@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gritlens.llm import graph, textbuf
+from gritlens.llm import graph, packing, textbuf, toxicity
 from gritlens.llm.graph import components, roots
 from gritlens.llm.store import Stage
 
@@ -93,3 +93,41 @@ def test_components(spark, monkeypatch, few):
     assert {r["node"]: r["component"] for r in found} == smallest([e for e in edges if e[0] != e[1]])
     assert len(found) == len({r["node"] for r in found})
     assert components(frame.limit(0), Stage(spark, "test")).count() == 0
+
+
+def test_few_components_shuffle_nothing(spark):
+    """Their nodes are bounded: no aggregate at each use, and joins with them broadcast."""
+    frame = spark.createDataFrame([(i, i + 1) for i in range(0, 3000, 3)], "a bigint, b bigint")
+    named = components(frame, Stage(spark, "test"))
+    rows = spark.range(100_000).repartition(4)
+    plan = rows.join(named, rows["id"] == named["node"], "left")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert sorted(map(tuple, named.collect())) == sorted((i + k, i) for i in range(0, 3000, 3) for k in (0, 1))
+
+
+def test_workers_get_small_batches(spark, labels):
+    """Rows of long texts reach Python in batches of a bounded size, and the text of a row once."""
+    docs = spark.range(0, 400, 1, 1).selectExpr("id as doc_id", "concat(id, repeat(' some words', 8000)) as text", "'a' as source")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"bytes": [batch.nbytes]})
+
+    kept = toxicity.without_toxic(docs, labels)
+    assert max(r["bytes"] for r in docs.mapInArrow(sizes, "bytes bigint").collect()) < 6 << 20
+    plan = kept._jdf.queryExecution().analyzed().toString()
+    assert "struct(doc_id" in plan and not re.search(r"struct\([^)]*text, text#", plan)
+    assert kept.columns == docs.columns
+    found = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert found and all(t == str(i) + " some words" * 8000 for i, t in found.items())
+
+
+def test_word_memory(monkeypatch):
+    """Ids are the same with every word remembered, some, and after forgetting."""
+    words = packing.WordIds(packing.public_vocabulary("byte_bpe_50k.json"))
+    monkeypatch.setattr(packing, "CACHE", 40)
+    texts = ["one two three", " two  one four\n", "", "five sixth one", "three " * 30 + "last"] + [f"w{i} one x{i}y" for i in range(60)]
+    for some in (texts, texts[::-1], texts[3:], texts):
+        ids, many = words.of(textbuf.Texts.of(pa.array(some)))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == [words.encode(t).tolist() for t in some]
+        assert (np.diff(words.known.astype(object)) > 0).all() and len(words.known) == len(words.place) == words.many
