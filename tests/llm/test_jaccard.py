@@ -1,10 +1,15 @@
 """The similarity join against all pairs."""
 
 import random
+import re
+import time
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from gritlens.llm import jaccard
+from gritlens.llm.store import SHUFFLE_CLEANUP, Stage
 from llm_brute import groups
 
 
@@ -68,3 +73,52 @@ def test_one_of_each_group(odd_docs):
         # groups that share their name by a repeated doc_id stay apart by their texts
         expected += [min(members, key=lambda m: (m[0] is not None, m[0] or 0))] if key != 9 else members
     assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def left_behind(spark, before=frozenset()):
+    """Shuffle files of the session that were not there before; they are removed in the background."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    for _ in range(50):
+        files = {p.name for d in blocks.localDirsString() for p in Path(d).rglob("shuffle_*")} - before
+        if not files:
+            break
+        time.sleep(0.2)
+    return files
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    before = frozenset(left_behind(spark))
+    kept = Stage(spark, "test").keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert not left_behind(spark, before)
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) is None
+    assert sorted(r["count"] for r in kept.collect()) == [142] + [143] * 6
+
+
+def test_large_tables_go_when_read(spark):
+    """The counts of shingles, the candidates and the sets are no longer there when the links are known."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    texts = near_copies(40, 60, 2, 3)
+    before = set(folder.iterdir())
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert "jaccard-rows" in left
+    assert not left & {"jaccard-described", "jaccard-frequent", "jaccard-candidates", "jaccard-sets"}
+
+
+def test_documents_are_shuffled_once(spark):
+    """From its scan to the result, a document passes one exchange: the join and the window are dealt alike."""
+    docs = spark.createDataFrame([(1, "one two"), (1, "one two"), (2, "one two"), (None, "three")], "doc_id bigint, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.one_of_each_group(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert sorted(map(tuple, kept.collect()), key=repr) == [(1, "one two"), (None, "three")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = [re.search("[A-Za-z]", x).start() for x in plan if x.strip()]
+    at = next(i for i, x in enumerate(plan) if " AS row#" in x)
+    above, exchanges = depth[at], 0
+    for i in range(at - 1, -1, -1):
+        if depth[i] < above:
+            above, exchanges = depth[i], exchanges + (" Exchange " in plan[i])
+    assert exchanges == 1
