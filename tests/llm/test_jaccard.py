@@ -5,6 +5,7 @@ import re
 import time
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,24 @@ def test_documents_are_shuffled_once(spark):
         if depth[i] < above:
             above, exchanges = depth[i], exchanges + (" Exchange " in plan[i])
     assert exchanges == 1
+
+
+def test_numbers_come_to_the_driver_packed(spark, monkeypatch):
+    """Frequent shingles and words of the Bloom filter: a row for each batch, not one for each number."""
+    frame, rows = type(spark.range(1)), []
+    collect = frame.collect
+
+    def counted(self):
+        found = collect(self)
+        rows.append(len(found))
+        return found
+
+    monkeypatch.setattr(frame, "collect", counted)
+    words = jaccard.membership_filter(spark.range(20_000))
+    assert len(words) > 4000 and jaccard.in_filter(words, np.arange(20_000)).all()
+    assert not jaccard.in_filter(words, np.arange(10**6, 10**6 + 1000)).all()
+    monkeypatch.setattr(jaccard, "LIST", 1)
+    text = " ".join(f"w{i}" for i in range(3000))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "y " + text)], "doc_id bigint, text string")
+    assert {r["component_id"] for r in jaccard.similarity_groups(docs).collect()} == {1}
+    assert max(rows) <= 100
